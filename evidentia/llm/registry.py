@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 import evidentia.llm
 
-from . import token_counts
+from . import packing, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(evidentia.llm)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 

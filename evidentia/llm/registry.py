@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import evidentia.llm
 
-from . import packing, token_counts
+from . import line_dedup, packing, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(evidentia.llm)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,8 +30,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_line_dedup": op6_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.LINE_DEDUP_SQL,
+}

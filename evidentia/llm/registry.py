@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import evidentia.llm
 
-from . import line_dedup, packing, token_counts
+from . import line_dedup, packing, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(evidentia.llm)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = source_mix.mix_sources(read(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
 
@@ -30,6 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": op2_source_mix,
     "op6_line_dedup": op6_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import evidentia.llm
 
-from . import line_dedup, packing, source_mix, token_counts
+from . import line_dedup, near_dedup, packing, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
@@ -26,6 +26,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op6_line_dedup": op6_line_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }

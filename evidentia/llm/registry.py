@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import evidentia.llm
 
-from . import fingerprints, line_dedup, near_dedup, packing, source_mix, token_counts
+from . import fingerprints, line_dedup, near_dedup, packing, quality, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
@@ -23,6 +23,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
 
@@ -46,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op4_quality": op4_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import evidentia.llm
 
-from . import fingerprints, line_dedup, near_dedup, packing, quality, source_mix, token_counts
+from . import fingerprints, line_dedup, near_dedup, neighbours, packing, quality, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
@@ -23,6 +23,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_nearest": neighbours.NEAREST_SQL,
     "op6_line_dedup": line_dedup.LINE_DEDUP_SQL,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import evidentia.llm
 
-from . import fingerprints, line_dedup, near_dedup, neighbours, packing, quality, source_mix, token_counts
+from . import fingerprints, line_dedup, lm_scores, near_dedup, neighbours, packing, quality, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
@@ -32,6 +32,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
+    "op5_lm_scores": op5_lm_scores,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,

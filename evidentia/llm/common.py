@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,6 +65,15 @@ def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(task, schema)
 
 
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in each Python worker and kept for its later tasks (models and caches, not results)."""
+    kept = sys.modules.setdefault("_evidentia_worker", types.ModuleType("_evidentia_worker")).__dict__
+    name = repr(key)
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 import evidentia.llm
 
-from . import fingerprints, line_dedup, lm_scores, near_dedup, neighbours, packing, quality, source_mix, token_counts
+from . import fingerprints, licences, line_dedup, lm_scores, near_dedup, neighbours, packing, quality, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(evidentia.llm)
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = source_mix.mix_sources(read(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": op1_licence_scan,
     "op2_source_mix": op2_source_mix,
     "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,

@@ -221,22 +221,23 @@ def classify(
     held_fold: int = 2,
     keep: bool = False,
 ) -> DataFrame:
-    """(id, held_out, score, predicted) for each row, or with `keep` the input's columns and score, predicted.
+    """(id, held_out, score, predicted) for each row, or with `keep` the input's columns and __score, __predicted.
 
     The score depends on the text alone. Null and empty texts get the network's score of padding. Ids may be null (not
     held out) or repeat. One narrow stage; a text of any length is scored whole in slabs.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")] if keep else [id_col]
+    names = docs.columns if keep else [id_col]
+    mark = "__" if keep else ""
     weights = {"net": net}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = weights["net"].score([t.encode() for t in texts_of(batch.column(0))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= accept).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= accept).astype(np.int32))], [*names, f"{mark}score", f"{mark}predicted"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    source = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in names])
-    scored = map_batches(source, task, f"{schema}, score double, predicted int")
+    source = docs.select(F.col(text_col).alias("__body"), *[F.col(f"`{c}`") for c in names])
+    scored = map_batches(source, task, f"{schema}, {mark}score double, {mark}predicted int")
     if keep:
         return scored
     return scored.select(id_col, (fold_of(F.col(id_col), folds) == held_fold).alias("held_out"), "score", "predicted")

@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import evidentia.llm
 
 from . import fingerprints, licences, line_dedup, lm_scores, near_dedup, neighbours, packing, quality, source_mix, token_counts
@@ -16,6 +17,7 @@ from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(evidentia.llm)
+cloudpickle.register_pickle_by_value(corpus_pipeline)
 
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLE_SQL: dict[str, str] = {
     "op3_nearest": neighbours.NEAREST_SQL,
     "op6_line_dedup": line_dedup.LINE_DEDUP_SQL,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -11,13 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, runs, texts_of, written
+from .common import map_batches, per_worker, runs, texts_of, written
 
 #: A private-use character: its three bytes become tokens of their own that no other text gives in this order.
 MARK = "\ue000"
 
-#: After an ASCII letter these begin a pre-token of their own.
-STOPS = b".,"
+#: Bytes of UTF-8 below U+0180, and first bytes of characters from there on. Letters before have no compositions and, but for U+0130, lower forms of one letter.
+LOW, HIGH = bytes(range(0xC6)), bytes(range(0xC6, 0x100))
+#: A stop between a Latin letter and a blank: after a letter it begins a pre-token of its own.
+STOP = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u017f])[.,](?=[ \n])")
+
+
+def simpler(text: str) -> bytes:
+    """A text with the same ids and fewer different chunks: in lower case, as the normalizer makes it, and with a blank
+    before stops, where that is sure to change nothing; other texts as they are."""
+    data = text.encode()
+    if b"<" in data or b"\xc4\xb0" in data or (not text.isascii() and len(data.translate(None, HIGH)) < len(data)):
+        return data
+    return STOP.sub(r" \g<0>", text.lower()).encode()
+
+
+def plain_word(chunk: bytes) -> bool:
+    """Letters below U+0180 in lower case only: neither the normalizer nor the pre-tokenizer changes or cuts them."""
+    text = chunk.decode()
+    return text.isalpha() and text == text.lower() and (chunk.isascii() or not chunk.translate(None, LOW))
 
 
 class ChunkEncoder:
@@ -25,45 +45,52 @@ class ChunkEncoder:
 
     The pre-tokenizer of the word-level vocabulary matches nothing across ASCII blanks and drops them, its
     normalizer composes nothing with them, and no special string holds one. A text's ids are therefore its chunks'
-    ids one after another, and a chunk that was seen before need not be encoded again; nor an ASCII one that differs
-    in case (the normalizer lowers it) or in a last stop. The cache is emptied when it holds `most` chunks, which bounds the memory and changes no result.
+    ids one after another, and a chunk that was seen before need not be encoded again. When the cache holds `most`
+    chunks, those seen once are forgotten, which bounds the memory and changes no result.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 500_000) -> None:
+    def __init__(self, tokenizer_path: str, most: int = 700_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task its core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.known = most, {}
+        self.most, self.known, self.often = most, {}, set()
+        # for lower-case Latin words the normalizer changes nothing and the pattern takes the whole word
+        self.words = Tokenizer.from_file(tokenizer_path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [x.encode().split() for x in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        new = set().union(*chunks) - self.known.keys()
+        chunks = [simpler(x).split() for x in texts]
+        seen = set().union(*chunks)
+        self.often |= seen & self.known.keys()
+        new = seen - self.known.keys()
         for chunk in [x for x in new if MARK.encode() in x]:
             self.known[chunk] = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             new.discard(chunk)
-        plain = {x: (x[:-1] if x[-1:] in STOPS and x[-2:-1].isalpha() else x).lower() for x in new if x.isascii() and b"<" not in x}
-        new = (new - plain.keys()) | set(plain.values()) | {bytes([x]) for x in STOPS}
-        self.learn(list(new - self.known.keys()))
-        for chunk, base in plain.items():
-            self.known[chunk] = self.known[base] if len(chunk) == len(base) else self.known[base] + self.known[chunk[-1:]]
+        words = {x for x in new if plain_word(x)}
+        self.learn(list(words), self.words)
+        self.learn(list(new - words), self.tokenizer)
         ids = self.known.__getitem__
-        return [b"".join(map(ids, x)) for x in chunks]
+        out = [b"".join(map(ids, x)) for x in chunks]
+        if len(self.known) > self.most:  # keep what came up again, if that is not too much itself
+            self.known = {x: self.known[x] for x in self.often} if 2 * len(self.often) < self.most else {}
+            self.often = set()
+        return out
 
-    def learn(self, new: list[bytes], at_once: int = 2_000) -> None:
+    def learn(self, new: list[bytes], tokenizer: Any, at_once: int = 2_000) -> None:
         """Encode unseen chunks many at a time, with a mark between them that none of them holds."""
         n = len(self.mark)
         for start in range(0, len(new), at_once):
             part = new[start : start + at_once]
-            (found,) = self.tokenizer.encode_batch_fast([f" {MARK} ".join([x.decode() for x in part] + [""])], add_special_tokens=False)
+            (found,) = tokenizer.encode_batch_fast([f" {MARK} ".join([x.decode() for x in part] + [""])], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             held = ids[: len(ids) - n + 1] == self.mark[0]
             for k in range(1, n):
@@ -80,7 +107,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = ChunkEncoder(tokenizer_path), 0
+        encoder, seen = per_worker(("chunks", tokenizer_path), lambda: ChunkEncoder(tokenizer_path)), 0
         for batch in batches:
             texts = texts_of(batch.column(1))
             for first, last in runs([len(x) for x in texts], 8 << 20):
@@ -119,7 +146,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(values: list[int], counts: dict[int, int], room: int, width: int, depth: int = 6) -> list[tuple[int, ...]]:
+def fillings(values: list[int], counts: dict[int, int], room: int, width: int, start: int = 0, depth: int = 6) -> list[tuple[int, ...]]:
     """Undominated ways to fill `room` beside a bin's largest piece, best filled first.
 
     A filling is dominated when one unused size takes the place of some of its pieces at no less fill: a set whose sum
@@ -130,13 +157,13 @@ def fillings(values: list[int], counts: dict[int, int], room: int, width: int, d
     used: dict[int, int] = {}
     budget = 40 * width
 
-    def extend(start: int, left: int, chosen: tuple[int, ...]) -> None:
+    def extend(first: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal budget
         budget -= 1
         total, fits = room - left, False
         if len(chosen) < depth and budget > 0:
             tried = 0
-            for i in range(start, len(values)):
+            for i in range(max(first, bisect_left(values, -left, key=lambda v: -v)), len(values)):
                 v = values[i]
                 if v <= left and counts[v] > used.get(v, 0):
                     fits, tried = True, tried + 1
@@ -148,7 +175,7 @@ def fillings(values: list[int], counts: dict[int, int], room: int, width: int, d
         if not fits and total not in found:
             found[total] = chosen
 
-    extend(0, room, ())
+    extend(start, room, ())
     best = sorted(found.items(), key=lambda x: (-x[0], len(x[1])))
     kept: list[tuple[int, ...]] = []
     for total, chosen in best[:width]:
@@ -177,25 +204,26 @@ def pack_block(sizes: list[int], capacity: int, *, node_limit: int = 20_000, wid
         values = sorted(counts, reverse=True)
         # each level: what the bin took, the fillings still to try, the waste before it
         path: list[list] = []
-        nodes, wasted = 0, 0
+        nodes, remaining = 0, len(sizes)
 
-        def open_bin(waste: int) -> list:
-            top = next((v for v in values if counts[v]), None)
-            if top is None:
-                return [None, [], waste, 0]
+        def open_bin(waste: int, start: int) -> list:
+            while not counts[values[start]]:
+                start += 1
+            top = values[start]
             counts[top] -= 1
-            return [top, fillings(values, counts, capacity - top, width)[::-1], waste, ()]
+            return [top, fillings(values, counts, capacity - top, width, start)[::-1], waste, (), start]
 
-        path.append(open_bin(0))
+        path.append(open_bin(0, 0))
+        remaining -= 1
         while path and nodes < node_limit and best_count > bound:
             level = path[-1]
-            if level[3]:
-                for v in level[3]:
-                    counts[v] += 1
-                level[3] = ()
+            for v in level[3]:
+                counts[v] += 1
+            remaining += len(level[3])
+            level[3] = ()
             if not level[1]:
-                if level[0] is not None:
-                    counts[level[0]] += 1
+                counts[level[0]] += 1
+                remaining += 1
                 path.pop()
                 continue
             chosen = level[1].pop()
@@ -205,9 +233,11 @@ def pack_block(sizes: list[int], capacity: int, *, node_limit: int = 20_000, wid
                 continue
             for v in chosen:
                 counts[v] -= 1
+            remaining -= len(chosen)
             level[3] = chosen
-            if any(counts.values()):
-                path.append(open_bin(wasted))
+            if remaining:
+                path.append(open_bin(wasted, level[4]))
+                remaining -= 1
             elif len(path) < best_count:
                 best_count, best_shape = len(path), [(x[0], *x[3]) for x in path]
     if best_shape is None:

@@ -103,11 +103,11 @@ def equal_pairs(statements: DataFrame) -> DataFrame:
         "template_id", "sql",
         F.regexp_extract("sql", rf"(?i)\b(?:insert\s+into|update|merge\s+into|delete\s+from|create\s+table)\s+{names}", 1).alias("target"),
         F.regexp_extract("sql", r"(?i)^\s*(insert|update|merge|delete|create)", 1).alias("verb"),
-        F.regexp_extract_all("sql", F.lit(rf"(?i)\b(?:from|join|using)\s+{names}(?:\s+(?:as\s+)?(?!on\b|where\b|join\b|inner\b|left\b|right\b|set\b|when\b)[A-Za-z_]\w*)?"), F.lit(0)).alias("sources"),
+        F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:from|join|using)\s+([^()]*?)(?=\s+(?:where|on|join|inner|left|right|full|group|order|union|set|when|using)\b|\s*\)|$)"), F.lit(1)).alias("sources"),
         F.regexp_extract_all("sql", F.lit(r"[A-Za-z_]\w*\.[A-Za-z_]\w*\s*=\s*[A-Za-z_]\w*\.[A-Za-z_]\w*"), F.lit(0)).alias("equalities"),
     )
-    part = F.regexp_replace("source", r"(?i)^(?:from|join|using)\s+", "")
-    sources = tabled.select("template_id", F.explode("sources").alias("source")).select(
+    part = F.btrim(F.regexp_replace("source", r"(?i)\s+as\s+", " "))
+    sources = tabled.select("template_id", F.explode(F.flatten(F.transform("sources", lambda x: F.split(x, ",")))).alias("source")).select(
         "template_id", F.upper(F.element_at(F.split(part, " "), 1)).alias("table"), F.upper(F.element_at(F.split(part, " "), -1)).alias("alias")
     ).filter("table <> 'DUAL'").distinct()
     written = tabled.filter("target <> ''").select("template_id", F.upper("target").alias("dst_table"), F.when(F.lower("verb").isin("insert", "create"), "INSERT_SELECT").otherwise(F.upper("verb")).alias("relation_type"))

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evidentia.plans import lineage_plans, search_plans
+
+FAMILIES = (search_plans, lineage_plans)
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, runs, texts_of, written
+from .common import map_batches, per_worker, runs, texts_of, written
 from .components import components
 from .shingles import U64, WordHashes, linked, mixed, shingle_sets
 
@@ -49,7 +50,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
     bands = coordinates // rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = per_worker(("word hashes",), WordHashes)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for first, last in runs([len(x) for x in texts], 4 << 20):
@@ -108,7 +109,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, membe
     rows = rows.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, pivot = WordHashes(), None, None
+        hashes, at, pivot = per_worker(("word hashes",), WordHashes), None, None
         for batch in batches:
             groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             bs, texts_here = batch.column(2).to_pylist(), texts_of(batch.column(3))
@@ -128,6 +129,53 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, membe
     return map_batches(rows, task, "a long, b long, share double, is_link boolean")
 
 
+def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, slab: int = 4096) -> Iterator[tuple[int, int]]:
+    """Linked pairs of left x right (places in sets), from products of a shingle incidence matrix a slab at a time."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.bincount(place, minlength=len(values)) > 1
+    column = np.cumsum(shared) - 1
+    live = shared[place]
+    rows, columns = owner[live], column[place[live]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(columns, np.arange(0, shared.sum() + slab, slab))
+    for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+        hit = np.zeros((len(sets), slab), np.float32)
+        hit[rows[x:y], columns[x:y] - k * slab] = 1
+        common += hit[left] @ hit[right].T
+    size = np.array([len(s) for s in sets], np.float64)
+    union = size[left][:, None] + size[right][None] - common
+    for i, j in zip(*np.nonzero((100 * common.astype(np.float64) >= percent * union) & (common > 0)), strict=True):
+        yield int(left[i]), int(right[j])
+
+
+def linked_in_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256, few_rows: int = 500_000) -> DataFrame:
+    """(a, b): links between members(home, doc, component) of one home that lie in different components.
+
+    A home's members are dealt into blocks and every two of its blocks meet in one task, which holds two blocks of
+    texts and compares them as matrices. A group of m members is m * m / block rows, not a row for each pair.
+    """
+    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("component").alias("hi"), F.min("component").alias("lo")).filter("lo < hi")
+    dealt = members.join(sizes.select("home", "blocks"), "home").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = written(
+        met.select("home", "doc", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "blocks"
+    )
+    few = wanted.count() <= few_rows
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "doc")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets([t or "" for t in group["text"]], width, per_worker(("word hashes",), WordHashes))
+        i, own, component, doc = int(group["i"].iloc[0]), group["own"].to_numpy(), group["component"].to_numpy(), group["doc"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == int(group["j"].iloc[0]))
+        found = [sorted((int(doc[x]), int(doc[y]))) for x, y in links_within(sets, left, right, percent) if component[x] != component[y]] if len(left) and len(right) else []
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
+
+    return rows.groupBy("home", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -144,10 +192,11 @@ def near_duplicates(
        Documents of equal sets (128-bit sums) are one class, its smallest id standing for it.
     2. Each band bucket links its members to its smallest id only, so a group of any size gives a pair per member and
        band at most, and those are verified on full sets. Components are formed from the links found.
-    3. Buckets whose members then lie in one component are done. In the others, every pair across components is still
-       due: it is kept unless the distances to the bucket's pivot rule it out by the triangle inequality of the Jaccard
-       distance, or the 128 one-bit minima differ in more places than a similar pair can (five standard deviations
-       below the threshold). What is left is verified in the same way, and components are formed again.
+    3. Buckets whose members then lie in one component are done. In the others, pairs across components are still due.
+       Members whose smallest pivot is the same (a text and its many copies at all distances) are compared block by
+       block, as matrices. Pairs of different homes are kept unless the distances to the bucket's pivot rule them out
+       by the triangle inequality of the Jaccard distance, or the 128 one-bit minima differ in more places than a
+       similar pair's can (five standard deviations); those are verified one by one. Then components are formed again.
 
     A pair at the threshold is missed with probability (1 - 0.75**4)**32 = 5e-6, less above it. Null, empty and
     blank texts have no shingles and are linked with nothing. Rows of the same id are one document, which all
@@ -173,31 +222,36 @@ def near_duplicates(
     far = buckets.join(pivots, ["band", "key"]).join(own.withColumnRenamed("node", "doc"), "doc", "left")
     far = far.withColumn("component", F.coalesce("component", "doc"))
     mixed_buckets = far.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    reach = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.lit(1.0).alias("one"), "share")
+    reach = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "share")
     side = (
         far.join(mixed_buckets, ["band", "key"])
+        .filter("doc <> pivot")  # the pivot's own pairs are verified already
         .join(reach, ["pivot", "doc"], "left")
-        .withColumn("away", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(1.0 - F.col("share")))
-        .select("band", "key", "doc", "component", "bits_a", "bits_b", "away")
+        .select("band", "key", "pivot", "doc", "component", "bits_a", "bits_b", (1.0 - F.col("share")).alias("away"))
     )
-    side = written(side.filter("away > 0"), "across")  # the pivot's own pairs are verified already
+    homes = side.groupBy("doc").agg(F.min("pivot").alias("home"))
+    side = written(side.join(homes, "doc"), "across")
+    at_home = linked_in_blocks(side.select("home", "doc", "component").distinct(), texts, width, percent)
     x, y = side.alias("x"), side.alias("y")
     gap = 1 - percent / 100 + 1e-9
     differ = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
     used = min(128, coordinates)
     odds = (1 - percent / 100) / 2
     most_differing = used * odds + 5 * (used * odds * (1 - odds)) ** 0.5
+    same_bucket = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc"))
+    due = (F.col("x.component") != F.col("y.component")) & (F.col("x.home") != F.col("y.home"))
+    possible = (F.abs(F.col("x.away") - F.col("y.away")) <= gap) & (differ <= most_differing)
     across = written(
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc"))
-               & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.away") - F.col("y.away")) <= gap) & (differ <= most_differing))
+        x.join(y, same_bucket & due & possible)
         .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         .distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti"),
         "pairs",
     )
-    second = written(verified(across, texts, width, percent), "verified")
-    links = first.filter("is_link").select("a", "b").unionByName(second.filter("is_link").select("a", "b"))
-    final = own if second.filter("is_link").isEmpty() else components(links)
+    further = verified(across, texts, width, percent).filter("is_link").select("a", "b")
+    second = written(further.unionByName(at_home), "verified")
+    links = first.filter("is_link").select("a", "b").unionByName(second)
+    final = own if second.isEmpty() else components(links)
 
     group = member.select("doc", "chief").distinct().join(final.withColumnRenamed("node", "chief"), "chief", "left")
     found = group.groupBy("doc").agg(F.min(F.coalesce("component", "chief")).alias("component_id"))

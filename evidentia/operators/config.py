@@ -47,7 +47,7 @@ def summary_of(rows: DataFrame, key: str) -> DataFrame:
     """(key, n, distinct_keys): counts by key and one summary row, in a single pass of grouping sets."""
     counted = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = counted.agg(F.lit("_summary").alias(key), F.sum("n").alias("n"), F.count("*").alias("distinct_keys"))
-    return counted.select(key, "n", F.lit(None).cast("long").alias("distinct_keys")).unionByName(total)
+    return counted.select(key, "n", F.lit(1).cast("long").alias("distinct_keys")).unionByName(total)
 
 
 def without_conflicts(pairs: DataFrame, module: str, values: list[str]) -> DataFrame:

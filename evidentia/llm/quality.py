@@ -164,11 +164,15 @@ class Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int, folds: int, held_fold: int) -> DataFrame:
-    """A bounded sample of labelled rows outside the held-out fold: the `most` first by a hash of id and label."""
+    """(text, label): a bounded sample of labelled rows outside the held-out fold, the `most` first by a hash of id and label.
+
+    The sample is drawn from the labels alone; its at most `most` ids are broadcast, so texts are filtered where they
+    lie and only the sample's leave the executors.
+    """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label is not null and id is not null").distinct()
-    marks = marks.filter(fold_of(F.col("id"), folds) != held_fold)
+    drawn = marks.filter(fold_of(F.col("id"), folds) != held_fold).orderBy(F.xxhash64("id", "label"), "id", "label").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    return texts.join(marks, "id").orderBy(F.xxhash64("id", "label"), F.xxhash64("text")).limit(most).select("text", "label")
+    return texts.join(F.broadcast(drawn), "id").select("id", "text", "label").limit(most)
 
 
 def slices(good: list[bytes], most: int, seed: int) -> list[bytes]:
@@ -205,6 +209,7 @@ def train(
     net = Network()
     if not rows:
         return net
+    rows.sort(key=lambda r: (r["id"], r["label"], r["text"]))  # tasks end in any order
     texts, marks = [r["text"].encode() for r in rows], [int(r["label"] == 1) for r in rows]
     short = slices([t for t, m in zip(texts, marks, strict=True) if m], sample_slices, net.seed)
     return net.fit(texts + short, np.array(marks + [1] * len(short)))

@@ -31,6 +31,15 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers packed byte place by byte place, as their upper bytes are mostly equal."""
+    return packed(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
 def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(count.astype(np.float64))[1], BUCKETS - 1) * (count > 0)
 
@@ -126,7 +135,7 @@ def requests_of(batches: DataFrame, bits: int) -> DataFrame:
                     order, edges = dealt(keys, bits)
                     k, n = keys[order], counts[order].astype(np.uint32)
                     # sorted keys pack well as differences
-                    cols.append([packed(np.diff(k[x:y], prepend=U64(0)).view(np.uint8).reshape(-1, 8).T) for x, y in zip(edges, edges[1:], strict=False)])
+                    cols.append([planes(np.diff(k[x:y], prepend=U64(0))) for x, y in zip(edges, edges[1:], strict=False)])
                     cols.append([packed(n[x:y]) for x, y in zip(edges, edges[1:], strict=False)])
                 cols[0], cols[1] = list(range(1 << bits)), [number] * (1 << bits)
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -137,17 +146,14 @@ def requests_of(batches: DataFrame, bits: int) -> DataFrame:
 
 def totals_of(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int, int]:
     """Each part's keys' summed counts, in the order of its keys; distinct keys counted at all; sum of all counts."""
-    lists = []
     with np.errstate(over="ignore"):
-        for data in keys:
-            planes = unpacked(data, np.uint8)
-            lists.append(np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1), dtype=U64))
-    numbers = [unpacked(c, "<u4") for c in counts]
+        lists = [np.cumsum(numbers(data), dtype=U64) for data in keys]
+    given_counts = [unpacked(c, "<u4") for c in counts]
     distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(numbers), minlength=len(distinct))
+    total = np.bincount(place, weights=np.concatenate(given_counts), minlength=len(distinct))
     given = total[place].astype(np.uint64)
     cuts = np.cumsum([len(x) for x in lists])[:-1]
-    return [packed(x) for x in np.split(given, cuts)], int((total > 0).sum()), int(total.sum())
+    return [planes(x) for x in np.split(given, cuts)], int((total > 0).sum()), int(total.sum())
 
 
 def replies_of(requests: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def counts_for(b: Batch, replies: pd.DataFrame, bits: int) -> tuple[np.ndarray,
     for keys, column in ((mixed(b.vocabulary), "words"), (b.keys(), "pairs")):
         order, _ = dealt(keys, bits)
         counts = np.empty(len(keys), np.int64)
-        counts[order] = np.concatenate([unpacked(x, "<u8") for x in replies[column]]).astype(np.int64)
+        counts[order] = np.concatenate([numbers(x) for x in replies[column]]).astype(np.int64)
         found.append(counts)
     words, pairs = found
     # every training token but the end is a context as often as it is a token; BEGIN is one for each training document
@@ -218,7 +224,7 @@ def score_documents(
     text_col: str = "text",
     folds: int = 7,
     held_fold: int = 2,
-    batch_chars: int = 20_000_000,
+    batch_chars: int = 6_000_000,
     bucket_bytes: int = 12_000_000,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.

@@ -11,7 +11,7 @@ U64 = np.uint64
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied by `words_of` when it holds many words, which changes no result."""
 
-    most = 1_000_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -141,9 +141,11 @@ class Network:
         grads["table"] = table
         return loss, grads
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, *, epochs: int = 16, batch: int = 32, rate: float = 0.01) -> Network:
-        """Adam on class-balanced cross entropy; the seed fixes weights and order, so reruns agree."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, *, epochs: int = 16, batch: int = 32, rate: float = 0.01, steps: int = 1_000) -> Network:
+        """Adam on class-balanced cross entropy; the seed fixes weights and order, so reruns agree. Small samples are gone
+        through more often, up to four times, to make `steps` steps."""
         rng = np.random.default_rng(self.seed)
+        epochs = min(4 * epochs, max(epochs, -(-steps * batch // max(1, len(texts)))))
         share = labels.mean()
         weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) if 0 < share < 1 else np.ones(len(labels))
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -211,7 +213,7 @@ def train(
         return net
     rows.sort(key=lambda r: (r["id"], r["label"], r["text"]))  # tasks end in any order
     texts, marks = [r["text"].encode() for r in rows], [int(r["label"] == 1) for r in rows]
-    short = slices([t for t, m in zip(texts, marks, strict=True) if m], sample_slices, net.seed)
+    short = slices([t for t, m in zip(texts, marks, strict=True) if m], min(sample_slices, len(texts) // 5), net.seed)
     return net.fit(texts + short, np.array(marks + [1] * len(short)))
 
 

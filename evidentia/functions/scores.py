@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Weights, thresholds and kind sets that the results must agree with.
@@ -123,3 +123,28 @@ def sequence_usage(last: Column, low: Column, high: Column) -> Column:
     kind = "decimal(38,0)"
     a, b, c = (x.cast("string").try_cast(kind) for x in (last, low, high))
     return F.when(c - b > 0, F.round(((a - b) * 100).cast("double") / (c - b).cast("double"), 2))
+
+
+def lineage_provider_score(matched: DataFrame, n_terms: int) -> DataFrame:
+    """One row (n, score) over matched tables(recovery_mode, branched, has_comment, evidence_count)."""
+    weight = looked_up(F.col("recovery_mode"), RECOVERY, 0.4) - F.when(F.col("branched"), F.lit(0.2)).otherwise(0.0)
+    n = F.count("*")
+    recall = F.least(F.lit(1.0), n / F.lit(max(1, n_terms))) if n_terms else F.when(n > 0, 1.0).otherwise(0.0)
+    share = lambda hit: F.coalesce(F.avg(hit.cast("double")), F.lit(0.0))
+    score = 0.30 * recall + 0.25 * share(weight) + 0.20 * share(F.col("has_comment")) + 0.15 * share(F.col("evidence_count") >= 2)
+    return matched.agg(n.alias("n"), F.round(F.least(F.lit(1.0), score), 4).alias("score"))
+
+
+def config_provider_score(found: Column, expected: Column, quality: Column) -> Column:
+    """With the two parts that are not measured yet at one half."""
+    recall = F.least(found / F.greatest(expected, F.lit(1)), F.lit(1.0))
+    return F.round(0.30 * recall + 0.25 * quality + 0.20 * 0.5 + 0.15 * 0.5, 4)
+
+
+def code_provider_score(top_match: Column) -> Column:
+    return F.round(0.9 * top_match, 4)
+
+
+def mismatch_ratio(samples: DataFrame) -> DataFrame:
+    """Share of samples(stored, found) that differ; 0 without samples."""
+    return samples.agg(F.coalesce(F.avg((~F.col("stored").eqNullSafe(F.col("found"))).cast("double")), F.lit(0.0)).alias("mismatch"))

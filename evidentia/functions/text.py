@@ -114,3 +114,40 @@ def bounded_summary(text: Column, most: int) -> Column:
 def value_type(value: Column) -> Column:
     low = F.lower(F.btrim(value))
     return F.when(low.isin("true", "false"), "bool").when(low.rlike(r"^[-+]?\d+$"), "int").otherwise("string")
+
+
+def term_expansions(term: Column, most: int = 2) -> Column:
+    """The term, then its prefixes without the last words, the longest first, of two words at least."""
+    words = F.regexp_extract_all(term, F.lit(r"[A-Z]+(?![a-z])[0-9]*_*|[A-Z]?[a-z0-9]+_*|[A-Z]_*|[^A-Za-z0-9_]+|_+"), F.lit(0))
+    counts = F.when(F.size(words) > 2, F.slice(F.sequence(F.size(words) - 1, F.lit(2), F.lit(-1)), 1, most)).otherwise(F.array().cast("array<int>"))
+    prefixes = F.transform(counts, lambda k: F.regexp_replace(F.array_join(F.slice(words, 1, k), ""), "_+$", ""))
+    return F.array_distinct(F.concat(F.array(term), prefixes))
+
+
+def glossary_hits(text: Column, terms: list[str]) -> Column:
+    """The glossary's terms that the text holds, sorted."""
+    return F.array_sort(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)))
+
+
+def table_like_tokens(text: Column, prefixes: list[str]) -> Column:
+    """Upper-case tokens with an underscore or a known prefix."""
+    known = "|".join(prefixes) or "(?!)"
+    return F.filter(F.array_distinct(shouty_tokens(text)), lambda t: F.contains(t, F.lit("_")) | t.rlike(f"^(?:{known})"))
+
+
+def acronyms(text: Column, prefixes: list[str]) -> Column:
+    """The other upper-case tokens."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]+(?![A-Za-z0-9_])"), F.lit(0))), table_like_tokens(text, prefixes))
+
+
+def corpus_of(path: Column, corpora: dict[str, str]) -> Column:
+    """The corpus whose folder is the longest prefix of a path; '' for none."""
+    out = F.lit("")
+    for name, folder in sorted(corpora.items(), key=lambda x: len(x[1])):
+        out = F.when(F.startswith(path, F.lit(folder)), name).otherwise(out)
+    return out
+
+
+def requirement_text(text: Column) -> Column:
+    """Three and more blank lines become one, ends are bare."""
+    return F.btrim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n(?:[ \t]*\n){3,}", "\n\n"), F.lit(" \n\t"))

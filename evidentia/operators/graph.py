@@ -17,8 +17,9 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, reverse:
     """
     here, there = ("callee", "caller") if reverse else ("caller", "callee")
     of_node = Window.partitionBy(here)
-    capped = edges.withColumns({"place": F.row_number().over(of_node.orderBy("row_id")), "degree": F.count("*").over(of_node)}).filter(F.col("place") <= fanout)
-    capped = capped.select("caller", "callee", "row_id", (F.col("degree") > fanout).alias("truncated"))
+    # one edge more than the cap tells a cut; the limit by rank is also put before the shuffle, so a hub stays small
+    probed = edges.withColumn("place", F.row_number().over(of_node.orderBy("row_id"))).filter(F.col("place") <= fanout + 1)
+    capped = probed.withColumn("truncated", F.max("place").over(of_node) > fanout).filter(F.col("place") <= fanout).select("caller", "callee", "row_id", "truncated")
     frontier = visited = seeds.select("root", "node").distinct()
     found = []
     for hop in range(1, depth + 1):

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import mask, text
+from evidentia.functions import mask, scores, text
 from evidentia.operators import requirements
 from evidentia.plans.lineage_plans import values
 from evidentia.plans.search_plans import table
@@ -156,7 +156,47 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(bursts.schema).parquet(out)
 
 
+def term_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, "term string", [("DynamicChargingBatchOperation",), ("SMS_REMINDER",), ("SMSReminderJob",), ("plain",), ("a_b_c_d",)])
+    return rows.select("term", F.array_join(text.term_expansions(F.col("term")), ",").alias("expansions"))
+
+
+TERM_EXPANSION = """SELECT * FROM (VALUES ('DynamicChargingBatchOperation', 'DynamicChargingBatchOperation,DynamicChargingBatch,DynamicCharging'), ('SMS_REMINDER', 'SMS_REMINDER'),
+  ('SMSReminderJob', 'SMSReminderJob,SMSReminder'), ('plain', 'plain'), ('a_b_c_d', 'a_b_c_d,a_b_c,a_b')) t(term, expansions)"""
+
+
+def provider_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.when(F.col("p_size") > 25, "literal").otherwise("concat").alias("recovery_mode"), (F.col("p_size") % 2 == 0).alias("branched"), (F.col("p_partkey") % 4 == 0).alias("has_comment"), (F.col("p_partkey") % 3).alias("evidence_count"))
+    score = scores.lineage_provider_score(parts, 4000)
+    return score.withColumns({"config": scores.config_provider_score(F.lit(3), F.lit(4), F.lit(0.8)), "code": scores.code_provider_score(F.lit(0.6))})
+
+
+PROVIDER_SCORES = """
+WITH m AS (SELECT CASE WHEN p_size > 25 THEN 1.0 ELSE 0.7 END::DOUBLE - CASE WHEN p_size % 2 = 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS w, (p_partkey % 4 = 0)::INT::DOUBLE AS c, (p_partkey % 3 >= 2)::INT::DOUBLE AS e FROM part)
+SELECT count(*) AS n, round(0.3::DOUBLE * least(1.0::DOUBLE, count(*) / 4000.0::DOUBLE) + 0.25::DOUBLE * avg(w) + 0.2::DOUBLE * avg(c) + 0.15::DOUBLE * avg(e), 4) AS score, 0.6::DOUBLE AS config, 0.54::DOUBLE AS code FROM m
+"""
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as markdown and read back."""
+    rows = values(spark, "case_id string, signature string, root_cause string", [("c1", "slow", "index"), ("c2", 'quote " here', "x\ny")])
+    return files.cases_from_markdown(files.case_markdown(rows).select(F.col("markdown").alias("content")), "case_id string, signature string, root_cause string")
+
+
+CASE_FILES = "SELECT * FROM (VALUES ('c1', 'slow', 'index'), ('c2', 'quote \" here', 'x' || chr(10) || 'y')) t(case_id, signature, root_cause)"
+
+
+def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = [("s", 0, 0, "Title"), ("s", 1, 0, "Function Name"), ("s", 1, 1, "Type"), ("s", 2, 0, "CMPK_USER via API"), ("s", 2, 1, "EI"), ("s", 3, 0, "Subtotal"), ("s", 3, 1, "9"), ("s", 4, 0, "CB_CUST"), ("s", 4, 1, "EO")]
+    rows = files.sheet_rows(values(spark, "sheet string, row int, col int, value string", cells), {"name": ["function name"], "kind": ["type"]})
+    return rows.withColumns({"tables": F.array_join(text.table_like_tokens(F.col("value"), ["CB_"]), ","), "acronyms": F.array_join(text.acronyms(F.col("value"), ["CB_"]), ",")})
+
+
+SHEET_ROWS = """SELECT * FROM (VALUES ('s', 2, 'name', 'CMPK_USER via API', 'CMPK_USER', 'API'), ('s', 2, 'kind', 'EI', '', 'EI'), ('s', 4, 'name', 'CB_CUST', 'CB_CUST', ''), ('s', 4, 'kind', 'EO', '', 'EO')) t(sheet, "row", field, value, tables, acronyms)"""
+
+
 _ALL = (
+    term_expansion, provider_scores, case_files, sheet_rows,
     source_scan, properties_items, tree_items, spring_beans, mapper_statements, ddl_columns, tns_aliases, jsonl_methods, readonly_gate, email_body, segments, segment_groups, sanitize_text,
     redact_connections, text_rules, stream_incremental,
 )

@@ -146,3 +146,33 @@ def bounded_query(spark: SparkSession, url: str, sql: str, cap: int = 1000, **op
     if re.search(r"(?i)prod|prd|live|master|release", url):
         raise ValueError("this connection looks like a production one")
     return spark.read.format("jdbc").options(url=url, query=sql, **options).load().limit(cap + 1)
+
+
+def case_markdown(cases: DataFrame) -> DataFrame:
+    """(case_id, markdown): a machine-readable head in a comment, then the case to read."""
+    head = F.concat(F.lit("<!--ops-case\n"), F.to_json(F.struct(*[c for c in cases.columns])), F.lit("\n-->"))
+    body = F.concat_ws("\n", F.concat(F.lit("# "), F.substring("case_id", 1, 12)), F.lit("## Signature"), "signature", F.lit("## Root cause"), "root_cause")
+    return cases.select("case_id", F.concat_ws("\n", head, body).alias("markdown"))
+
+
+def cases_from_markdown(files: DataFrame, schema: str) -> DataFrame:
+    """The heads of case files as columns; a file without one is left out."""
+    head = F.regexp_extract("content", r"(?s)<!--ops-case\s*(\{.*?\})\s*-->", 1)
+    return files.filter(head != "").select(F.from_json(head, schema).alias("c")).select("c.*")
+
+
+def sheet_rows(cells: DataFrame, aliases: dict[str, list[str]], look: int = 10) -> DataFrame:
+    """Rows of sheets given as cells(sheet, row, col, value): the header is the first of `look` rows with two known names.
+
+    Returns (sheet, row, field, value) for the fields that aliases names; titles above and subtotal rows are left out.
+    """
+    known = [(alias.lower(), field) for field, names in aliases.items() for alias in names]
+    field = F.lit(None).cast("string")
+    for alias, name in known:
+        field = F.when(F.lower(F.btrim("value")) == alias, name).otherwise(field)
+    named = cells.filter(F.col("row") < look).withColumn("field", field).filter("field is not null")
+    header = named.groupBy("sheet", "row").agg(F.count("*").alias("n")).filter("n >= 2").groupBy("sheet").agg(F.min("row").alias("header"))
+    columns = named.join(header, "sheet").filter("row = header").select("sheet", "header", "col", "field")
+    totals = cells.filter(F.lower("value").rlike("^(sub)?total")).select("sheet", "row").distinct()
+    data = cells.join(columns, ["sheet", "col"]).filter("row > header").join(totals, ["sheet", "row"], "left_anti")
+    return data.select("sheet", "row", "field", "value")

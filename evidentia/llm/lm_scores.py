@@ -32,12 +32,12 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers packed byte place by byte place, as their upper bytes are mostly equal."""
-    return packed(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+    """Whole numbers packed byte place by byte place, as their upper bytes are mostly equal."""
+    return packed(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
 
 
-def numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def numbers(data: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Tokens of some documents as places in a sorted list of word hashes, and their distinct (context, word) pairs.
+    """Tokens of some documents as places in a list of word hashes, and their distinct (context, word) pairs.
 
     The pairs are not kept: they follow from the tokens, in the same order each time, so that counts can be asked for
     and given back as plain arrays.
@@ -86,8 +86,12 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fol
 
     def row(number: int, ids: list, held: list, parts: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(p) for p in parts], np.int64)
-        vocabulary, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-        data = [number, ids, packed(np.array(held, bool)), packed(lengths), packed(vocabulary), packed(tokens.astype(np.uint32))]
+        vocabulary, place = np.unique(np.concatenate(parts), return_inverse=True)
+        # frequent words get small numbers, which pack well
+        order = np.argsort(-np.bincount(place), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        data = [number, ids, packed(np.array(held, bool)), packed(lengths), packed(vocabulary[order]), planes(rank[place])]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([d], k) for d, k in zip(data, kinds, strict=True)], ["batch", "ids", "held", "lengths", "vocabulary", "tokens"])
 
@@ -120,7 +124,7 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fol
 
 
 def load(held: bytes, lengths: bytes, vocabulary: bytes, tokens: bytes) -> Batch:
-    return Batch(unpacked(vocabulary, "<u8"), unpacked(tokens, "<u4").astype(np.int64), unpacked(lengths, "<i8"), unpacked(held, "?"))
+    return Batch(unpacked(vocabulary, "<u8"), numbers(tokens, "<u4").astype(np.int64), unpacked(lengths, "<i8"), unpacked(held, "?"))
 
 
 def requests_of(batches: DataFrame, bits: int) -> DataFrame:

@@ -82,6 +82,40 @@ def _fold(docs: Column, seed: int) -> Column:
     return F.aggregate(docs, start, step)
 
 
+def _middle(docs: Column, most: int) -> Column:
+    """`most` documents from the middle of a list by size."""
+    return F.slice(docs, F.greatest(F.lit(1), F.floor((F.size(docs) - most) / 2).cast("int") + 1), F.lit(most))
+
+
+def _closed(folded: Column) -> Column:
+    """The settled documents of a source's last fold, with the one still fractional among them.
+
+    That one is rounded to the nearer side. What this is off the target is made up, as far as it goes, by turning
+    settled documents over, the largest that lessens it first; the rest is then a fraction of a small document.
+    """
+    kind = "array<struct<doc:string,whole:bigint,mass:bigint>>"
+
+    def turned(state: Column, x: Column) -> Column:
+        off, whole, taken = state["off"], x["whole"], x["mass"] > 0
+        down = (off > 0) & taken & (whole < 2 * off)
+        up = (off < 0) & ~taken & (whole < -2 * off)
+        mass = F.when(down, F.lit(0).cast("long")).when(up, whole).otherwise(x["mass"])
+        return F.struct(
+            F.when(down, off - whole).when(up, off + whole).otherwise(off).alias("off"),
+            F.concat(state["out"], F.array(F.struct(x["doc"].alias("doc"), whole.alias("whole"), mass.alias("mass")))).alias("out"),
+        )
+
+    def closed(f: Column) -> Column:
+        held = f["held"]
+        up = held["mass"] * 2 >= held["whole"]
+        whole = F.struct(held["doc"].alias("doc"), held["whole"].alias("whole"), F.when(up, held["whole"]).otherwise(F.lit(0)).cast("long").alias("mass"))
+        start = F.struct(F.when(up, held["whole"] - held["mass"]).otherwise(-held["mass"]).alias("off"), F.array(whole).alias("out"))
+        falling = F.transform(F.sort_array(F.transform(f["settled"], lambda x: F.struct((-x["whole"]).alias("order"), x["doc"].alias("doc"), x.alias("x")))), lambda y: y["x"])
+        return F.when(held.isNull(), f["settled"].cast(kind)).otherwise(F.aggregate(falling, start, turned, lambda s: s["out"]))
+
+    return F.transform(F.array(folded), closed)[0]
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -92,12 +126,14 @@ def mix_sources(
     most: int = 3,
     seed: int = 17,
     bucket: int = 64,
+    lend: int = 4,
 ) -> DataFrame:
     """How many copies of each row the mix takes: (id, source, size, source_size, target, copies, taken).
 
     Each source's rows are wanted target / source_size times. The whole part is taken as copies; the fractional parts
-    are rounded by pivotal sampling with mass counted in words, so that a source's words are kept through every step
-    and the sum taken differs from the target by at most half the last document's words. Buckets of about `bucket`
+    are rounded by pivotal sampling with mass counted in words, so that a source's words are kept through every step;
+    only the last fractional document of a source puts the words taken off the target, and that is made up by turning
+    over settled documents, of which each bucket lends some (lend taken and lend left) to the next level. Buckets of about `bucket`
     documents are folded inside SQL's aggregate(); the at most one fractional document a bucket leaves goes to the
     next level, so a source of any size is a tree of small buckets (each level is a small shuffle of ids and masses).
 
@@ -129,23 +165,31 @@ def mix_sources(
     open_docs = open_docs.filter((F.col("mass") > 0) & (F.col("mass") < F.col("whole")))
     while True:
         width = F.greatest(F.lit(1), F.ceil(F.col("n") / float(bucket) ** (level + 1)))
-        dealt = open_docs.join(per_source, "src").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), "doc"), width.cast("long")))
+        dealt = open_docs.join(per_source, "src").withColumn("width", width.cast("long")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + level), "doc"), F.col("width")))
         # large documents first: what stays open at the end is then among the small ones as a rule
+        entry = F.struct((-F.col("whole")).alias("order"), "doc", "whole", "mass")
+        plain = lambda x: F.struct(x["doc"].alias("doc"), x["whole"].alias("whole"), x["mass"].alias("mass"))
+        is_open = lambda x: (x["mass"] > 0) & (x["mass"] < x["whole"])
         folded = (
-            dealt.groupBy("src", "bucket")
-            .agg(F.sort_array(F.collect_list(F.struct((-F.col("whole")).alias("order"), "doc", "whole", "mass"))).alias("docs"))
-            .select("src", _fold(F.transform("docs", lambda x: F.struct(x["doc"].alias("doc"), x["whole"].alias("whole"), x["mass"].alias("mass"))), seed + level).alias("f"))
+            dealt.groupBy("src", "bucket", "width")
+            .agg(F.transform(F.sort_array(F.collect_list(entry)), plain).alias("docs"))
+            .select("src", "width", _fold(F.filter("docs", is_open), seed + level).alias("f"), F.filter("docs", lambda x: ~is_open(x)).alias("lent"))
+            .select("src", "width", F.col("f.held").alias("held"), F.concat("f.settled", "lent").alias("settled"))
+            .select("src", "width", "held", "settled", *(_middle(F.filter("settled", pick), lend).alias(name) for name, pick in (("up", lambda x: x["mass"] > 0), ("down", lambda x: x["mass"] == 0))))
+            .select(
+                "src",
+                F.when(F.col("width") == 1, _closed(F.struct("held", "settled"))).otherwise(F.array_except("settled", F.concat("up", "down"))).alias("settled"),
+                F.when(F.col("width") > 1, F.concat(F.when(F.col("held").isNull(), F.array_except("up", "up")).otherwise(F.array("held")), "up", "down")).otherwise(F.array_except("up", "up")).alias("open"),
+            )
         )
         folded = written(folded, f"fold{level}")
-        settled.append(folded.select("src", F.explode("f.settled").alias("x")))
-        open_docs = folded.filter("f.held is not null").select("src", "f.held.*")
+        settled.append(folded.select("src", F.explode("settled").alias("x")))
+        open_docs = folded.select("src", F.explode("open").alias("x")).select("src", "x.*")
         level += 1
         if largest <= bucket**level:
             break
-    # the one document a source may have left is rounded to the nearer side
-    last = open_docs.select("src", F.struct("doc", "whole", F.when(F.col("mass") * 2 >= F.col("whole"), F.col("whole")).otherwise(F.lit(0)).cast("long").alias("mass")).alias("x"))
-    rounded = last
-    for part in settled:
+    rounded = settled[0]
+    for part in settled[1:]:
         rounded = rounded.unionByName(part)
     extra = rounded.filter("x.mass > 0").select("src", F.col("x.doc").alias("doc"), F.lit(1).alias("extra"))
     copies = (F.col("floor") + F.coalesce("extra", F.lit(0))).cast("long")

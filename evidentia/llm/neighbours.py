@@ -46,6 +46,9 @@ class Tiles:
         self.k, self.heaps = k, {}
 
     def add(self, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> None:
+        if len(np.unique(cid)) < len(cid):  # a row that is repeated must not stand for several of the k best
+            first = list({(i, v.tobytes()): at for at, (i, v) in reversed([*enumerate(zip(cid.tolist(), c, strict=True))])}.values())
+            cid, c = cid[first], c[first]
         qi, qs, qe = quantised(q)
         ci, cs, ce = quantised(c)
         q2, c2 = ((qi.astype(np.float64) * qs[:, None]) ** 2).sum(1), ((ci.astype(np.float64) * cs[:, None]) ** 2).sum(1)
@@ -64,6 +67,8 @@ class Tiles:
             alive = np.flatnonzero((low[i] <= most) & (low[i] < np.inf))
             for score, other in zip(exact(q[i], c[alive]).tolist(), cid[alive].tolist(), strict=True):
                 item = (-score, -other)
+                if item in heap:
+                    continue
                 if len(heap) < self.k:
                     heapq.heappush(heap, item)
                 elif item > heap[0]:
@@ -123,7 +128,8 @@ def nearest(
     query, k rows from each task. Nothing is approximated and no pair is dropped unseen.
 
     Vectors null, empty, all zero or with null or non-finite components take no part, nor do null ids. Vectors of
-    different lengths are not compared. Ties go to the smaller id; rows repeated with one id are one candidate.
+    different lengths are not compared. Ties go to the smaller id; a row repeated with the same
+    vector is one candidate.
     """
     rows = usable(vectors, id_col, vector_col)
     candidates = blocks_of(rows, block).withColumn("strip", F.pmod(F.xxhash64("ids"), F.lit(strips)))

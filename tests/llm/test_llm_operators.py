@@ -296,6 +296,12 @@ def test_neighbours_are_exact(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_candidate(spark):
+    rows = [(0, [0.0, 1.0])] + [(1, [0.0, 1.5])] * 40 + [(i, [0.0, 1.0 + i]) for i in range(2, 30)]
+    got = neighbours.nearest(spark.createDataFrame(rows * 2, "vec_id long, embedding array<float>").repartition(5), block=16, strips=3).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(i, i) for i in range(1, 11)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(50, 40)), rng.normal(size=(60, 40)) * 100

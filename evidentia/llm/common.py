@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,17 +67,23 @@ def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
-    """What `make` gives, made once in each Python worker and kept for its later tasks (models and caches, not results)."""
+    """What `make` gives, kept in the Python worker for its later tasks until another is asked for (models and caches,
+    not results): a worker that runs one operator after another never holds the caches of both."""
     kept = sys.modules.setdefault("_evidentia_worker", types.ModuleType("_evidentia_worker")).__dict__
-    name = repr(key)
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if kept.get("key") != key:
+        kept["value"] = None
+        kept["value"], kept["key"] = make(), key
+    return kept["value"]
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """The texts of an Arrow column; null counts as the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def text_runs(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, last, texts) of consecutive rows of about `most` bytes together; null counts as the empty text.
+
+    Texts become Python strings a run at a time, so a batch of very many or long ones is not held twice.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for first, last in runs(sizes, most):
+        yield first, last, [x or "" for x in column.slice(first, last - first).to_pylist()]
 
 
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -6,7 +6,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from typing import Any
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_worker, runs, texts_of, written
+from .common import map_batches, per_worker, text_runs, written
 
-#: A private-use character: its three bytes become tokens of their own that no other text gives in this order.
-MARK = "\ue000"
+#: A character that is one token, which comes from no other character.
+MARK = "~"
 
 #: Bytes of UTF-8 below U+0180, and first bytes of characters from there on. Letters before have no compositions and, but for U+0130, lower forms of one letter.
 LOW, HIGH = bytes(range(0xC6)), bytes(range(0xC6, 0x100))
@@ -25,6 +25,10 @@ LOW, HIGH = bytes(range(0xC6)), bytes(range(0xC6, 0x100))
 STOP = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u017f])[.,](?=[ \n])")
 
 
+#: How the byte-level alphabet spells bytes that are not printable: as the letters from U+0100 on, in order.
+SPELLING = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 def simpler(text: str) -> bytes:
     """A text with the same ids and fewer different chunks: in lower case, as the normalizer makes it, and with a blank
     before stops, where that is sure to change nothing; other texts as they are."""
@@ -45,52 +49,66 @@ class ChunkEncoder:
 
     The pre-tokenizer of the word-level vocabulary matches nothing across ASCII blanks and drops them, its
     normalizer composes nothing with them, and no special string holds one. A text's ids are therefore its chunks'
-    ids one after another, and a chunk that was seen before need not be encoded again. When the cache holds `most`
-    chunks, those seen once are forgotten, which bounds the memory and changes no result.
+    ids one after another, and a chunk that was seen before need not be encoded again. When the cache holds half
+    of `most` chunks it becomes the older half, of which those that come up again are taken over; this bounds the memory
+    and changes no result.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 700_000) -> None:
+    def __init__(self, tokenizer_path: str, most: int = 800_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task its core
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.known, self.often = most, {}, set()
+        self.most, self.known, self.before = most, {}, {}
         # for lower-case Latin words the normalizer changes nothing and the pattern takes the whole word
         self.words = Tokenizer.from_file(tokenizer_path)
-        self.words.normalizer = None
-        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words.normalizer = self.words.pre_tokenizer = None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True  # a word's last token
         self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         chunks = [simpler(x).split() for x in texts]
-        seen = set().union(*chunks)
-        self.often |= seen & self.known.keys()
-        new = seen - self.known.keys()
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(chunks)))
+        again = new & self.before.keys()
+        self.known.update((x, self.before[x]) for x in again)
+        new -= again
         for chunk in [x for x in new if MARK.encode() in x]:
             self.known[chunk] = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             new.discard(chunk)
         words = {x for x in new if plain_word(x)}
-        self.learn(list(words), self.words)
-        self.learn(list(new - words), self.tokenizer)
+        self.learn_words(list(words))
+        self.learn(list(new - words))
         ids = self.known.__getitem__
         out = [b"".join(map(ids, x)) for x in chunks]
-        if len(self.known) > self.most:  # keep what came up again, if that is not too much itself
-            self.known = {x: self.known[x] for x in self.often} if 2 * len(self.often) < self.most else {}
-            self.often = set()
+        if 2 * len(self.known) > self.most:
+            self.before, self.known = self.known, {}
         return out
 
-    def learn(self, new: list[bytes], tokenizer: Any, at_once: int = 2_000) -> None:
+    def learn_words(self, new: list[bytes], at_once: int = 2_000) -> None:
+        """Encode unseen plain words many at a time, given as the byte-level alphabet spells them."""
+        for start in range(0, len(new), at_once):
+            part = new[start : start + at_once]
+            spelled = [x.decode() if x.isascii() else x.decode("latin-1").translate(SPELLING) for x in part]
+            (found,) = self.words.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for chunk, end in zip(part, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                self.known[chunk] = data[begin:end]
+                begin = end
+
+    def learn(self, new: list[bytes], at_once: int = 2_000) -> None:
         """Encode unseen chunks many at a time, with a mark between them that none of them holds."""
         n = len(self.mark)
         for start in range(0, len(new), at_once):
             part = new[start : start + at_once]
-            (found,) = tokenizer.encode_batch_fast([f" {MARK} ".join([x.decode() for x in part] + [""])], add_special_tokens=False)
+            (found,) = self.tokenizer.encode_batch_fast([f" {MARK} ".join([x.decode() for x in part] + [""])], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             held = ids[: len(ids) - n + 1] == self.mark[0]
             for k in range(1, n):
@@ -109,10 +127,9 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = per_worker(("chunks", tokenizer_path), lambda: ChunkEncoder(tokenizer_path)), 0
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for first, last in runs([len(x) for x in texts], 8 << 20):
+            for first, _, texts in text_runs(batch.column(1), 3 << 20):
                 rows, cols = [], [[], [], [], [], [], []]
-                for row, ids in enumerate(encoder.encode(texts[first:last]), first):
+                for row, ids in enumerate(encoder.encode(texts), first):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

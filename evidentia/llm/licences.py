@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts_of
+from .common import map_batches, text_runs
 
 # Wordings of public licences and of notices that name them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -150,7 +150,7 @@ def scan_licences(
         scanner = Scanner(known)
         for batch in batches:
             rows, cols = [], [[] for _ in range(7)]
-            for row, text in enumerate(texts_of(batch.column(1))):
+            for row, text in enumerate(t for _, _, texts in text_runs(batch.column(1)) for t in texts):
                 if CUE.search(text):
                     done = set()
                     for found in scanner.scan(text, least_saving, most_changes):

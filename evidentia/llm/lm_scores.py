@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_batches, per_worker, texts_of, written
+from .common import fold_of, map_batches, per_worker, text_runs, written
 from .shingles import U64, WordHashes, mixed, words_of
 
 #: Keys of the end token and of the context before the first word; a word's hash is one of them by accident only.
@@ -100,7 +100,8 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fol
         number, size = TaskContext.get().partitionId() << 24, 0
         ids, held, parts = [], [], []
         for batch in batches:
-            for key, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+            texts = (t for _, _, run in text_runs(batch.column(2)) for t in run)
+            for key, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 words = words_of(text)
                 h = np.empty(len(words) + 1, U64)
                 h[:-1] = np.fromiter(map(hashes.__getitem__, words), U64, len(words))

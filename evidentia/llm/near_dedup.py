@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_worker, runs, texts_of, written
+from .common import map_batches, per_worker, runs, text_runs, written
 from .components import components
 from .shingles import U64, WordHashes, linked, mixed, shingle_sets
 
@@ -52,9 +52,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker(("word hashes",), WordHashes)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for first, last in runs([len(x) for x in texts], 4 << 20):
-                sets = shingle_sets(texts[first:last], width, hashes)
+            for first, _, texts in text_runs(batch.column(1)):
+                sets = shingle_sets(texts, width, hashes)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 n = len(sets)
                 same = np.zeros((n, 2), U64)
@@ -112,10 +111,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, membe
         hashes, at, pivot = per_worker(("word hashes",), WordHashes), None, None
         for batch in batches:
             groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            bs, texts_here = batch.column(2).to_pylist(), texts_of(batch.column(3))
+            bs = batch.column(2).to_pylist()
             out: list[tuple] = []
-            for first, last in runs([len(x) for x in texts_here], 2 << 20):
-                for i, own in enumerate(shingle_sets(texts_here[first:last], width, hashes), first):
+            for first, _, texts_here in text_runs(batch.column(3)):
+                for i, own in enumerate(shingle_sets(texts_here, width, hashes), first):
                     if bs[i] is None:
                         at, pivot = groups[i], own
                         continue

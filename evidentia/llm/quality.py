@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_batches, texts_of
+from .common import fold_of, map_batches, per_worker, text_runs
 
 F32 = np.float32
 
@@ -235,11 +236,12 @@ def classify(
     """
     names = docs.columns if keep else [id_col]
     mark = "__" if keep else ""
-    weights = {"net": net}
+    key = ("network", zlib.crc32(b"".join(w.tobytes() for w in net.weights.values())))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = per_worker(key, lambda: net)
         for batch in batches:
-            score = weights["net"].score([t.encode() for t in texts_of(batch.column(0))])
+            score = np.concatenate([network.score([t.encode() for t in texts]) for _, _, texts in text_runs(batch.column(0))] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= accept).astype(np.int32))], [*names, f"{mark}score", f"{mark}predicted"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)

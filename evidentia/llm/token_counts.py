@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts_of
+from .common import map_batches, text_runs
 
 #: A blank after a printable ASCII character. No pre-token of the byte-level pattern reaches from a visible
 #: character into a blank, and the pattern looks at nothing before the token, so the text may be cut there.
@@ -67,8 +68,7 @@ def count_tokens(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = load_counter(tokenizer_path)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            totals = np.zeros(len(texts), np.int64)
+            totals = np.zeros(batch.num_rows, np.int64)
             held, owners, size = [], [], 0
 
             def flush() -> None:
@@ -76,7 +76,7 @@ def count_tokens(
                 held.clear()
                 owners.clear()
 
-            for row, text in enumerate(texts):
+            for row, text in enumerate(t for _, _, texts in text_runs(batch.column(1)) for t in texts):
                 for piece in pieces_of(text, piece_chars) if cut else (text,):
                     held.append(piece)
                     owners.append(row)
@@ -86,8 +86,8 @@ def count_tokens(
                         size = 0
             if held:
                 flush()
-            n_bytes = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(totals), pa.array(totals > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(totals), pa.array(totals > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), task, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -192,8 +192,8 @@ def near_duplicates(
     2. Each band bucket links its members to its smallest id only, so a group of any size gives a pair per member and
        band at most, and those are verified on full sets. Components are formed from the links found.
     3. Buckets whose members then lie in one component are done. In the others, pairs across components are still due.
-       Members whose smallest pivot is the same (a text and its many copies at all distances) are compared block by
-       block, as matrices. Pairs of different homes are kept unless the distances to the bucket's pivot rule them out
+       Each member gets a home, the smallest pivot within two steps over buckets; members of one home (a text and its
+       many copies at all distances, as a rule) are compared block by block, as matrices. Pairs of different homes are kept unless the distances to the bucket's pivot rule them out
        by the triangle inequality of the Jaccard distance, or the 128 one-bit minima differ in more places than a
        similar pair's can (five standard deviations); those are verified one by one. Then components are formed again.
 
@@ -228,7 +228,11 @@ def near_duplicates(
         .join(reach, ["pivot", "doc"], "left")
         .select("band", "key", "pivot", "doc", "component", "bits_a", "bits_b", (1.0 - F.col("share")).alias("away"))
     )
+    side = written(side, "side")
     homes = side.groupBy("doc").agg(F.min("pivot").alias("home"))
+    # one step further: the smallest home that any member of a document's buckets has
+    least = side.join(homes, "doc").groupBy("band", "key").agg(F.min("home").alias("least"))
+    homes = side.join(least, ["band", "key"]).groupBy("doc").agg(F.min("least").alias("home"))
     side = written(side.join(homes, "doc"), "across")
     at_home = linked_in_blocks(side.select("home", "doc", "component").distinct(), texts, width, percent)
     x, y = side.alias("x"), side.alias("y")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -45,88 +46,103 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 
-WORD = re.compile(r"[\w.+-]*\w")
-#: A block can match only if it has one of these (every template does), so other blocks need no compression.
-CUE = re.compile(r"licen[sc]e|copyright|redistribut|permission is hereby", re.IGNORECASE)
+WORD = re.compile(r"\w++(?:[.+-]++\w++)*+")
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def extended(wording: list[str], words: list[str], most: int) -> tuple[int, int]:
+    """(changes, words taken) of the beginning of words that differs least from the wording; most + 1 if all differ more."""
+    same = 0
+    while same < len(wording) and same < len(words) and wording[same] == words[same]:
+        same += 1
+    wording, words = wording[same:], words[same:]
+    row = [*range(len(words) + 1)]
+    for i, word in enumerate(wording, 1):
+        before, row = row, [i]
+        for j, other in enumerate(words):
+            row.append(before[j] if word == other else 1 + min(before[j + 1], row[j]))
+        if min(row) > most:
+            return most + 1, 0
+    changes = min(row)
+    return changes, same + row.index(changes)
+
+
 class Scanner:
-    """Compressors for each template's wording; what a dictionary saves over none says how much of it a block holds."""
+    """Finds every wording that differs from a template by few words, and tells what its dictionary saves there.
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]) -> None:
-        self.templates = [(name, text, words_of(text)) for name, texts in templates.items() for text in texts]
+    A template that may differ by k words is cut into k + 1 pieces, one of which then stands unchanged in every
+    statement of it; statements are looked for around each such piece, so it does not matter what surrounds them.
+    """
+
+    def __init__(self, templates: dict[str, tuple[str, ...]], most_changes: float) -> None:
+        self.templates = [(name, words) for name, texts in templates.items() for text in texts if (words := words_of(text))]
+        self.most = [int(most_changes * len(words)) for _, words in self.templates]
         level = 6
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(_spelled(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for _, _, words in self.templates
+            for _, words in self.templates
         ]
-
-    def ranked(self, words: list[str], most: int) -> list[tuple[float, int]]:
-        """(share saved, template) for the `most` templates that shorten the block most."""
+        #: longest word of a piece -> (its place in the piece, piece, template, the piece's place in the template)
+        self.pieces: dict[str, list[tuple[int, list[str], int, int]]] = defaultdict(list)
+        for i, (_, words) in enumerate(self.templates):
+            n = min(self.most[i] + 1, len(words))
+            for x, y in ((len(words) * k // n, len(words) * (k + 1) // n) for k in range(n)):
+                longest = max(words[x:y], key=len)
+                self.pieces[longest].append((words.index(longest, x) - x, words[x:y], i, x))
+
+    def saving(self, words: list[str], template: int) -> float:
+        """Share of the compressed words that the template's dictionary saves."""
         data = _spelled(words).encode()
-        alone = len(self.plain.compress(data))
-        saved = [(1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))[:most]
-
-    def scan(self, text: str, least_saving: float, most_changes: float, most: int = 4) -> Iterator[tuple[int, int, str, float, int, float]]:
-        """(start, end, licence, saving, changed words, agreement) for each block of the text that states a licence."""
-        for start, end in blocks_of(text):
-            block = text[start:end]
-            if not CUE.search(block):
-                continue
-            places = [(m.start(), m.end()) for m in WORD.finditer(block)]
-            words = [block[a:b].lower() for a, b in places]
-            best = None
-            for saving, i in self.ranked(words, most):
-                if saving < least_saving:
-                    break
-                name, _, wording = self.templates[i]
-                matcher = SequenceMatcher(None, wording, words, autojunk=False)
-                equal = [m for m in matcher.get_matching_blocks() if m.size]
-                if not equal:
+        return 1 - len(self.given[template].compress(data)) / len(self.plain.compress(data))
+
+    def matches(self, words: list[str]) -> set[tuple[float, int, int, int, int, int]]:
+        """(changed share, -words of the template, template, first, last, changes), overlapping ones too."""
+        found = set()
+        for at, word in enumerate(words):
+            for place, piece, i, x in self.pieces.get(word, ()):
+                first = at - place
+                if first < 0 or words[first : first + len(piece)] != piece:
                     continue
-                first, last = equal[0].b, equal[-1].b + equal[-1].size
-                common = sum(m.size for m in equal)
-                changed = len(wording) - common + (last - first) - common
-                if changed <= most_changes * len(wording):
-                    key = (changed / len(wording), -len(wording), i)
-                    if best is None or key < best[0]:
-                        best = (key, start + places[first][0], start + places[last - 1][1], name, saving, changed, common / len(wording))
-            if best:
-                yield best[1:]
+                wording, most = self.templates[i][1], self.most[i]
+                left, taken = extended(wording[:x][::-1], words[max(0, first - x - most) : first][::-1], most)
+                last = first + len(piece)
+                rest = wording[x + len(piece) :]
+                right, more = extended(rest, words[last : last + len(rest) + most], most - left) if left <= most else (0, 0)
+                if left + right <= most:
+                    found.add(((left + right) / len(wording), -len(wording), i, first - taken, last + more, left + right))
+        return found
+
+    def scan(self, text: str, least_saving: float) -> list[tuple[int, int, str, float, int, float]]:
+        """(start, end, licence, saving, changed words, agreement) for each licence statement; of overlapping ones the closest."""
+        words = words_of(text)
+        if self.pieces.keys().isdisjoint(words):
+            return []
+        firsts, lasts, chosen = [], [], []
+        for share, _, i, first, last, changed in sorted(self.matches(words)):
+            k = bisect(firsts, first)
+            if (k and lasts[k - 1] > first) or (k < len(firsts) and firsts[k] < last):
+                continue
+            name, wording = self.templates[i]
+            saving = self.saving(words[first:last], i)
+            if saving >= least_saving:
+                firsts.insert(k, first)
+                lasts.insert(k, last)
+                common = (len(wording) + last - first - changed) // 2
+                chosen.insert(k, (name, saving, changed, common / len(wording)))
+        if not chosen:
+            return []
+        places = [m.span() for m in WORD.finditer(text)]
+        return [(places[x][0], places[y - 1][1], *rest) for x, y, rest in zip(firsts, lasts, chosen, strict=True)]
 
 
 def _spelled(words: list[str]) -> str:
     return " ".join(words)
 
 
-def blocks_of(text: str, widest: int = 1200) -> Iterator[tuple[int, int]]:
-    """Spans to look at: every line (a long one in windows half a window apart), and windows over neighbouring lines."""
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append((at, at + len(line)))
-        at += len(line) + 1
-    step = widest // 2
-    for start, end in lines:
-        for a in range(start, max(start + 1, end - step), step) if end - start > widest else [start]:
-            if a < end:
-                yield a, min(end, a + widest)
-    due = 0
-    for i, (start, _) in enumerate(lines):
-        if start >= due:
-            last = i
-            while last + 1 < len(lines) and lines[last + 1][1] - start <= widest:
-                last += 1
-            if last > i:
-                yield start, lines[last][1]
-            due = start + step
-
-
 def scan_licences(
     docs: DataFrame,
     *,
@@ -138,27 +154,24 @@ def scan_licences(
 ) -> DataFrame:
     """(id, start, end, licence, saving, changed_words, agreement, wording): one row for each licence statement found.
 
-    Blocks (lines; long ones in overlapping windows) are compressed alone and with each template as zstandard raw
-    dictionary. Templates are ranked by the share that the dictionary saves, and the best few are confirmed by the exact
-    differences in wording: at most most_changes of the template's words may be missing, added or other. start and end
+    A statement is a run of words anywhere in the text, over any number of lines, that differs from a template by at
+    most most_changes of the template's words (missing or added; another word counts as both) and of whose compressed
+    size the template as zstandard raw dictionary saves at least least_saving. Of statements that overlap, the one of
+    the least share of changes stands, then that of the longer template; all others are rows of their own. start and end
     are code points. One narrow stage; only statements leave it. Null and empty texts have none, ids may be null or
     repeated, texts may be of any length. Other columns are not read.
     """
     known = templates or TEMPLATES
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known)
+        scanner = Scanner(known, most_changes)
         for batch in batches:
             rows, cols = [], [[] for _ in range(7)]
             for row, text in enumerate(t for _, _, texts in text_runs(batch.column(1)) for t in texts):
-                if CUE.search(text):
-                    done = set()
-                    for found in scanner.scan(text, least_saving, most_changes):
-                        if found[:3] not in done:
-                            done.add(found[:3])
-                            rows.append(row)
-                            for col, value in zip(cols, (*found, text[found[0] : found[1]]), strict=True):
-                                col.append(value)
+                for found in scanner.scan(text, least_saving):
+                    rows.append(row)
+                    for col, value in zip(cols, (*found, text[found[0] : found[1]]), strict=True):
+                        col.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "start", "end", "licence", "saving", "changed_words", "agreement", "wording"])
 

@@ -452,6 +452,37 @@ def test_licences_of_the_small_table(documents):
     assert {i for i, _ in got} == {i for i, _ in lines}
 
 
+def test_licences_inside_other_text(docs_of):
+    mit, bsd, gpl = licences.TEMPLATES["MIT"][0], licences.TEMPLATES["BSD"][0], licences.TEMPLATES["GPL-2.0"][1]
+    draw = random.Random(3)
+    prose = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(120))
+    wrapped = bsd.replace("binary", "\n# binary").replace("provided", "\n# provided")
+    docs = {1: f"{prose} {mit} {prose}", 2: f"{prose} {gpl} {prose}", 3: f"{prose}\n{prose} {wrapped} {prose}\n{prose}", 4: f"{mit} {prose} {bsd}", 5: f"{mit} {mit}\n{mit}", 6: prose}
+    docs[7] = f"{prose} {gpl.replace('redistribute it', 'share it').replace('either ', '')} {prose}"
+    got = defaultdict(list)
+    for r in licences.scan_licences(docs_of([*docs.items()])).orderBy("start").collect():
+        assert docs[r.doc_id][r.start : r.end] == r.wording
+        got[r.doc_id].append((r.licence, r.changed_words))
+    assert got == {1: [("MIT", 0)], 2: [("GPL-2.0", 0)], 3: [("BSD", 0)], 4: [("MIT", 0), ("BSD", 0)], 5: [("MIT", 0)] * 3, 7: [("GPL-2.0", 3)]}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=9), st.lists(st.sampled_from("abcdefg"), max_size=25), st.sampled_from([0.0, 0.25, 0.5]))
+def test_no_statement_is_missed(wording, words, most_changes):
+    def differs(run):
+        row = [*range(len(run) + 1)]
+        for i, x in enumerate(wording, 1):
+            before, row = row, [i]
+            for j, y in enumerate(run):
+                row.append(before[j] if x == y else 1 + min(before[j + 1], row[j]))
+        return row[-1]
+
+    least = min((differs(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)), default=99)
+    found = licences.Scanner({"x": (" ".join(wording),)}, most_changes).matches(words)
+    assert all(differs(words[first:last]) == changed for _, _, _, first, last, changed in found)
+    assert min((m[-1] for m in found), default=99) == (least if least <= most_changes * len(wording) else 99)
+
+
 # --- shared
 
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from evidentia.llm import fingerprints, licences, line_dedup, lm_scores, near_dedup, neighbours, packing, quality, registry, shingles, source_mix, token_counts
+from evidentia.llm import components, fingerprints, licences, line_dedup, lm_scores, near_dedup, neighbours, packing, quality, registry, shingles, source_mix, token_counts
 from evidentia.llm.common import runs
 
 SF = "/root/testdata/sf0.001"
@@ -260,6 +260,14 @@ def test_chains_hot_groups_and_odd_rows(docs_of):
     assert near_dedup.near_duplicates(docs_of([])).count() == 0
 
 
+def test_components_of_shuffled_chains(spark):
+    ids = random.Random(11).sample(range(10_000), 1000)
+    links = [*zip(ids, ids[1:], strict=False), *((20_000, 20_000 + k) for k in range(1, 50)), (30_000, 30_000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {20_000 + k: 20_000 for k in range(50)} | {30_000: 30_000}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_links_within_are_exact():
     draw = random.Random(2)
     texts = [" ".join(draw.choice("abcd") for _ in range(draw.randint(5, 14))) for _ in range(60)]

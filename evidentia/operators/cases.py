@@ -40,4 +40,4 @@ def synonym_pool(rows: DataFrame, tag: str, term: str, order: str) -> DataFrame:
     """(tag, canonical, variants): the first term of each tag and the others in order, each once."""
     first = rows.groupBy(tag, term).agg(F.min(order).alias("at"))
     terms = F.transform(F.array_sort(F.collect_list(F.struct("at", term))), lambda x: x[term])
-    return first.groupBy(tag).agg(terms.alias("terms")).select(tag, F.element_at("terms", 1).alias("canonical"), F.array_join(F.slice("terms", 2, 1_000_000), ",").alias("variants"))
+    return first.groupBy(tag).agg(terms.alias("terms")).select(tag, F.element_at("terms", 1).alias("canonical"), F.array_join(F.slice("terms", F.lit(2), F.size("terms")), ",").alias("variants"))

@@ -140,6 +140,14 @@ def test_gates(spark):
     assert changes.gates(counts, ["methods"], [], 0.1, 0.0).first()["verdict"] == "ok"
 
 
+def test_a_hot_tag_keeps_all_its_terms(spark):
+    n = 1_000_005
+    rows = spark.range(n).selectExpr("'t' as tag", "cast(id as string) as term", "id as at")
+    r = cases.synonym_pool(rows, "tag", "term", "at").selectExpr("canonical", "size(split(variants, ',')) as n", "right(variants, 7) as last").first()
+    assert (r.canonical, r.n, r.last) == ("0", n - 1, "1000004")
+    assert cases.synonym_pool(rows.limit(1), "tag", "term", "at").first().variants == ""
+
+
 def test_cases_are_merged(spark):
     rows = spark.createDataFrame([("c", "dev", "ops", 1), ("c", "dev", "qa", 3), ("c", "host", "ops", 2)], "case string, kind string, role string, day int")
     r = cases.merged(rows, "case", "kind", "role", "day").first()

@@ -52,11 +52,13 @@ class Network:
     def layout(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(all bytes padded, half-chunks of each text, where each text's half-chunks begin).
 
-        Texts are laid out in whole half-chunks, two at least, with one window's overhang at the end of all.
+        Texts are laid out in whole half-chunks, two at least, each with enough empty ones behind it that no window
+        reaches from one text into the next.
         """
         half = self.stride * self.chunk // 2
+        gap = -(-(self.width - self.stride) // half)
         sizes = np.array([max(2, -(-len(t) // half)) for t in texts])
-        starts = np.concatenate(([0], np.cumsum(sizes)))
+        starts = np.concatenate(([0], np.cumsum(sizes + gap)))
         data = np.zeros(starts[-1] * half + self.width, np.uint8)
         for t, s in zip(texts, starts, strict=False):
             data[s * half : s * half + len(t)] = np.frombuffer(t, np.uint8)
@@ -65,22 +67,20 @@ class Network:
     def forward(self, texts: list[bytes], keep: bool = False) -> tuple:
         p = self.weights
         data, sizes, starts = self.layout(texts)
-        n = int(sizes.sum()) * self.chunk // 2
         vectors = p["table"][data]
         step = self.stride * self.dims
+        n = (len(data) - self.width) // self.stride
         windows = np.lib.stride_tricks.as_strided(vectors, (n, self.width * self.dims), (step * 4, 4))
         act = windows @ p["w1"]
         act += p["b1"]
         np.maximum(act, 0, out=act)
         halves = act.reshape(-1, self.chunk // 2, self.filters).mean(1)
         # a chunk is two neighbouring half-chunks of one text
-        inner = np.ones(len(halves), bool)
-        inner[starts + sizes - 1] = False
-        left = np.flatnonzero(inner)
+        first = np.cumsum(sizes - 1) - (sizes - 1)
+        left = np.repeat(starts - first, sizes - 1) + np.arange((sizes - 1).sum())
         means = (halves[left] + halves[left + 1]) / 2
         layer = means @ p["w2"] + p["b2"]
         np.maximum(layer, 0, out=layer)
-        first = starts - np.arange(len(texts))
         top = np.maximum.reduceat(layer, first, axis=0)
         logit = top @ p["w3"] + p["b3"][0]
         return (logit, top, layer, first, left, means, act, windows, data) if keep else (logit,)
@@ -92,7 +92,7 @@ class Network:
         group, size = [], 0
         for i, t in enumerate(texts):
             if len(t) > slab:
-                out[i] = self._long(t, slab // half * half)
+                out[i] = self._long(t, slab // half)
                 continue
             group.append(i)
             size += len(t) + half
@@ -103,10 +103,15 @@ class Network:
             out[group] = self.forward([texts[k] for k in group])[0]
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
-    def _long(self, text: bytes, slab: int) -> float:
-        """The logit of one long text from slabs that share a chunk's length, so that no chunk is missed."""
-        lap = self.stride * self.chunk
-        tops = [self.forward([text[a : a + slab + lap]], keep=True)[1][0] for a in range(0, len(text), slab)]
+    def _long(self, text: bytes, chunks: int) -> float:
+        """The logit of one long text, `chunks` chunks at a time: each slab has the bytes that its last window reads, and
+        of its chunks those count that a pass over the whole text has."""
+        half = self.stride * self.chunk // 2
+        every = -(-len(text) // half) - 1
+        tops = []
+        for at in range(0, every, chunks):
+            slab = text[at * half : (at + chunks + 1) * half + self.width]
+            tops.append(self.forward([slab], keep=True)[2][: min(chunks, every - at)].max(0))
         return float(np.max(tops, axis=0) @ self.weights["w3"] + self.weights["b3"][0])
 
     def gradients(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -170,12 +175,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """(text, label): a bounded sample of labelled rows outside the held-out fold, the `most` first by a hash of id and label.
 
     The sample is drawn from the labels alone; its at most `most` ids are broadcast, so texts are filtered where they
-    lie and only the sample's leave the executors.
+    lie and only the sample's leave the executors. An id with both labels gives a row for each, an id with several
+    texts one for each text; labels or ids that are null are left out.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label is not null and id is not null").distinct()
     drawn = marks.filter(fold_of(F.col("id"), folds) != held_fold).orderBy(F.xxhash64("id", "label"), "id", "label").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(drawn), "id").select("id", "text", "label").limit(most)
+    found = texts.join(F.broadcast(drawn), "id").select("id", "text", "label")
+    # ids may have several rows: which of them are in the sample depends on nothing but the rows
+    return found.orderBy(F.xxhash64("id", "label"), F.xxhash64("text"), "id", "label").limit(most)
 
 
 def slices(good: list[bytes], most: int, seed: int) -> list[bytes]:
@@ -231,8 +239,9 @@ def classify(
 ) -> DataFrame:
     """(id, held_out, score, predicted) for each row, or with `keep` the input's columns and __score, __predicted.
 
-    The score depends on the text alone. Null and empty texts get the network's score of padding. Ids may be null (not
-    held out) or repeat. One narrow stage; a text of any length is scored whole in slabs.
+    The score depends on the text alone, not on what shares its batch. Null and empty texts get the network's score of
+    padding. Ids may be null (not held out) or repeat; each row is scored by itself. An empty table gives no rows. One
+    narrow stage; a text of any length is scored whole, a bounded number of chunks at a time.
     """
     names = docs.columns if keep else [id_col]
     mark = "__" if keep else ""

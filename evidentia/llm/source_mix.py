@@ -21,7 +21,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], most: int) -> Dat
 
     Sources take the weights in turn by code point, null last. A source whose share exceeds most * its size stops
     there and the rest is shared again by weight: with the sources in rising order of size / weight, the first so many
-    stop. The windows hold one row per source, never documents.
+    stop. The windows hold one row per source, never documents, in one task: some 100 bytes for each source, so that a
+    million sources are 100 MB. With more (a source for each document, say) map the column to fewer values first.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -202,9 +203,13 @@ def mix_sources(
     )
 
 
-def mixed_rows(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns are those of docs."""
-    key = [F.col(id_col).eqNullSafe(F.col("__id")), F.xxhash64(F.col(text_col)) == F.col("__hash")]
-    taken = mix.filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("hash").alias("__hash"), "copies").distinct().withColumnRenamed("copies", "__copies")
-    joined = docs.join(taken, key[0] & key[1])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_rows(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; the columns are those of docs.
+
+    Rows are told apart by id, source and text, each of which may be null. Rows that agree in all three have the same
+    copies each. An empty table gives no rows.
+    """
+    taken = mix.filter("copies > 0").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
+    own = docs.withColumn("__own", F.xxhash64(F.col(text_col)))
+    same = own[id_col].eqNullSafe(taken["__id"]) & own[source_col].eqNullSafe(taken["__source"]) & (own["__own"] == taken["__hash"])
+    return own.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -25,9 +27,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     largest id. Null and empty texts are one empty line and give an empty text. Rows of the same id count as one
     document. A null id counts as a document below all others. An empty table gives no rows.
 
-    Only 128-bit hashes, ids and line numbers are exploded and shuffled; counting is combined before the shuffle, so a
-    line that a third of all documents hold is a few rows by then. The join that finds the lines to drop is an inner
-    equi-join that AQE may broadcast by measured size or split where one hash is hot.
+    Texts are split and hashed once: only 128-bit hashes, ids and line numbers are written, counted and joined. Counting
+    is combined before the shuffle, so a line that a third of all documents hold is a few rows by then. Lines that make
+    up over a thousandth of all shared ones are a thousand at most: these are found by a broadcast, and only the others,
+    none of which is hot, by a join on the hash.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -36,19 +39,21 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     exploded = base.select("__who", "__text_hash", F.posexplode(F.split(body, "\n")).alias("__at", "__line"))
     keyed = exploded.select("__who", "__text_hash", "__at", line_key(F.col("__line")).alias("__key")).filter(F.length("__key") >= min_chars)
-    hashed = keyed.select("__who", "__text_hash", "__at", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(7), F.col("__key")).alias("__h2"))
-    shared = (
+    hashed = written(keyed.select("__who", "__text_hash", "__at", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(7), F.col("__key")).alias("__h2")), "lines")
+    shared = written(
         hashed.groupBy("__h1", "__h2")
-        .agg(F.count_distinct("__who").alias("__docs"), F.max("__who").alias("__keeper"))
+        .agg(F.count_distinct("__who").alias("__docs"), F.max("__who").alias("__keeper"), F.count("*").alias("__lines"))
         .filter(F.col("__docs") >= min_docs)
-        .select("__h1", "__h2", "__keeper")
-    )
-    doomed = (
-        hashed.join(shared, ["__h1", "__h2"])
-        .filter(F.col("__who") != F.col("__keeper"))
-        .groupBy("__who", "__text_hash")
-        .agg(F.collect_set("__at").alias("__doomed"))
+        .select("__h1", "__h2", "__keeper", "__lines"),
+        "shared",
     )
+    # keys of more than a thousandth of all lines that go or stay: a thousand at most, so that they can be broadcast
+    total = shared.agg(F.sum("__lines")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("__lines") * 1000 > total).select("__h1", "__h2", F.col("__keeper").alias("__hot")))
+    marked = hashed.join(hot, ["__h1", "__h2"], "left")
+    rare = marked.filter("__hot is null").join(shared.filter(F.col("__lines") * 1000 <= total), ["__h1", "__h2"])
+    found = marked.filter("__hot is not null").select("__who", "__text_hash", "__at", F.col("__hot").alias("__keeper")).unionByName(rare.select("__who", "__text_hash", "__at", "__keeper"))
+    doomed = found.filter(F.col("__who") != F.col("__keeper")).groupBy("__who", "__text_hash").agg(F.collect_set("__at").alias("__doomed"))
     lines = F.split(body, "\n")
     joined = base.join(doomed, ["__who", "__text_hash"], "left")
     # array_except works by hash, so that a text of very many lines costs its length and no more

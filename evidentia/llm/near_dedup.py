@@ -46,7 +46,8 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, rows: int) -> DataFrame:
-    """(doc, n_shingles, same_a, same_b, bands, bits_a, bits_b): set size, set identity, band keys, one-bit signature."""
+    """(doc, body, n_shingles, same_a, same_b, bands, bits_a, bits_b): the text's hash, set size, set identity, band keys,
+    one-bit signature."""
     bands = coordinates // rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,33 +79,44 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
+                        batch.column(2).slice(first, n),
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         *(pa.array(same[:, j].copy().view(np.int64)) for j in (0, 1)),
                         pa.ListArray.from_arrays(offsets, flat),
                         *(pa.array(bits[:, j].copy().view(np.int64)) for j in (0, 1)),
                     ],
-                    ["doc", "n_shingles", "same_a", "same_b", "bands", "bits_a", "bits_b"],
+                    ["doc", "body", "n_shingles", "same_a", "same_b", "bands", "bits_a", "bits_b"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return map_batches(source, task, "doc long, n_shingles long, same_a long, same_b long, bands array<long>, bits_a long, bits_b long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
+    return map_batches(source, task, "doc long, body long, n_shingles long, same_a long, same_b long, bands array<long>, bits_a long, bits_b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, members: int = 512, few_pairs: int = 500_000) -> DataFrame:
-    """(a, b, share, is_link) for pairs(a, b), from the whole texts(doc, text); share is their Jaccard similarity.
+def with_texts(wanted: DataFrame, classes: DataFrame, texts: DataFrame, few_rows: int = 500_000) -> DataFrame:
+    """wanted(node, ...) with the text of each class: of its first document, whose id and text's hash classes has.
+
+    Up to few_rows rows (some 30 MB) what is wanted goes to the texts by broadcast, so that only wanted texts are
+    shuffled; beyond, both sides are shuffled by document.
+    """
+    few = wanted.count() <= few_rows
+    own = classes.select("node", F.col("chief").alias("doc"), "body")
+    placed = own.join(F.broadcast(wanted) if few else wanted, "node")
+    return texts.join(F.broadcast(placed) if few else placed, ["doc", "body"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, members: int = 512) -> DataFrame:
+    """(a, b, share, is_link) for pairs(a, b) of classes, from the whole texts(doc, body, text); share is their Jaccard
+    similarity.
 
     b's text travels to a's; a's own text is put in front. A pivot with many partners is dealt into groups of about
     `members` partners, each with a copy of the pivot's text, and partitions are read row by row, so that a task holds
-    one pivot's set and a batch of texts whatever the size of a group. Up to few_pairs pairs (some 30 MB) the pairs go
-    to the texts by broadcast, and only wanted texts are shuffled; beyond, both sides are shuffled by document.
+    one pivot's set and a batch of texts whatever the size of a group.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / members).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "part", "b")
     pivots = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
-    wanted = dealt.withColumn("doc", F.col("b")).unionByName(pivots.withColumn("doc", F.col("a")))
-    if pairs.count() <= few_pairs:
-        wanted = F.broadcast(wanted)
-    rows = texts.join(wanted, "doc").select("a", "part", "b", "text")
+    wanted = dealt.withColumn("node", F.col("b")).unionByName(pivots.withColumn("node", F.col("a")))
+    rows = with_texts(wanted, classes, texts).select("a", "part", "b", "text")
     rows = rows.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,29 +162,39 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
         yield int(left[i]), int(right[j])
 
 
-def linked_in_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256, few_rows: int = 500_000) -> DataFrame:
-    """(a, b): links between members(home, doc, component) of one home that lie in different components.
+def linked_in_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256, block_shingles: int = 200_000) -> DataFrame:
+    """(a, b): links between members(home, node, component) of one home that lie in different components.
 
-    A home's members are dealt into blocks and every two of its blocks meet in one task, which holds two blocks of
-    texts and compares them as matrices. A group of m members is m * m / block rows, not a row for each pair.
+    A home's members are dealt into blocks of about `block` members or block_shingles shingles: a large component has
+    blocks of its own, the small ones share some. Two blocks meet in one task, which compares them as matrices, unless
+    both are of the same component: what is verified already is not gone through again. A component of m members and
+    s members of others are m * s / block rows, not a row for each pair.
     """
-    sizes = members.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("component").alias("hi"), F.min("component").alias("lo")).filter("lo < hi")
-    dealt = members.join(sizes.select("home", "blocks"), "home").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wanted = written(
-        met.select("home", "doc", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "blocks"
-    )
-    few = wanted.count() <= few_rows
-    rows = texts.join(F.broadcast(wanted) if few else wanted, "doc")
+    pool = F.lit(-1).cast("long")
+    sized = members.join(classes.select("node", "n_shingles"), "node")
+    counts = sized.groupBy("home", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    slots = counts.withColumn("slot", F.when(2 * F.col("n") >= block, F.col("component")).otherwise(pool))
+    parts = F.ceil(F.greatest(F.sum("n") / block, F.sum("shingles") / block_shingles)).cast("int")
+    groups = written(slots.groupBy("home", "slot").agg(parts.alias("parts")), "groups")
+    blocks = groups.select("home", "slot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = slots.select("home", "component", "slot").join(groups, ["home", "slot"])
+    placed = members.join(own, ["home", "component"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("home", "node", "component", "slot", "part")
+    x, y = (blocks.select("home", F.struct("slot", "part").alias(side)) for side in ("i", "j"))
+    met = x.join(y, "home").filter((F.col("i") <= F.col("j")) & ((F.col("i.slot") != F.col("j.slot")) | (F.col("i.slot") == pool)))
+    meeting = F.xxhash64("i.slot", "i.part", "j.slot", "j.part").alias("meeting")
+    at = F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", F.lit(True).alias("left"), F.lit(True).alias("right")))).otherwise(F.array(F.struct("i", F.lit(True).alias("left"), F.lit(False).alias("right")), F.struct(F.col("j").alias("i"), F.lit(False).alias("left"), F.lit(True).alias("right"))))).alias("at")
+    asked = met.select("home", meeting, at).select("home", "meeting", "at.i.slot", "at.i.part", "at.left", "at.right")
+    wanted = written(placed.join(asked, ["home", "slot", "part"]).select("home", "node", "component", "meeting", "left", "right"), "blocks")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets([t or "" for t in group["text"]], width, per_worker(("word hashes",), WordHashes))
-        i, own, component, doc = int(group["i"].iloc[0]), group["own"].to_numpy(), group["component"].to_numpy(), group["doc"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == int(group["j"].iloc[0]))
-        found = [sorted((int(doc[x]), int(doc[y]))) for x, y in links_within(sets, left, right, percent) if component[x] != component[y]] if len(left) and len(right) else []
+        component, node = group["component"].to_numpy(), group["node"].to_numpy()
+        left, right = np.flatnonzero(group["left"].to_numpy()), np.flatnonzero(group["right"].to_numpy())
+        found = [sorted((int(node[x]), int(node[y]))) for x, y in links_within(sets, left, right, percent) if component[x] != component[y]] if len(left) and len(right) else []
         return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
 
-    return rows.groupBy("home", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rows = with_texts(wanted, classes, texts).select("home", "meeting", "node", "component", "left", "right", "text")
+    return rows.groupBy("home", "meeting").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -188,10 +210,13 @@ def near_duplicates(
     """(id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union.
 
     1. Every text becomes its set of word shingles, a circulant MinHash signature and band keys; no text is shuffled.
-       Documents of equal sets (128-bit sums) are one class, its smallest id standing for it.
-    2. Each band bucket links its members to its smallest id only, so a group of any size gives a pair per member and
-       band at most, and those are verified on full sets. Components are formed from the links found.
-    3. Buckets whose members then lie in one component are done. In the others, pairs across components are still due.
+       Texts of equal sets (128-bit sums) are one class. Classes are numbered, and links are between their numbers.
+    2. Each band bucket links its members to one of them only, its pivot, so a bucket of any size gives a pair per
+       member and band at most, and those are verified on full sets. Components are formed from the links found.
+       While buckets over several components leave far more pairs than they have members, they get another pivot,
+       from a component that the first one is not in, and components are formed again, as long as that leaves a third
+       less pairs each time; this saves work and changes no result.
+    3. In buckets that still lie in several components, pairs across components are due.
        Each member gets a home, the smallest pivot within two steps over buckets; members of one home (a text and its
        many copies at all distances, as a rule) are compared block by block, as matrices. Pairs of different homes are kept unless the distances to the bucket's pivot rule them out
        by the triangle inequality of the Jaccard distance, or the 128 one-bit minima differ in more places than a
@@ -199,64 +224,90 @@ def near_duplicates(
 
     A pair at the threshold is missed with probability (1 - 0.75**4)**32 = 5e-6, less above it. Null, empty and
     blank texts have no shingles and are linked with nothing. Rows of the same id are one document, which all
-    their texts link. Rows with a null id are in the result with null component and kept. Other columns are not read.
+    their texts link. Rows with a null id are in the result with null component and kept. An empty table gives no rows.
+    Other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    marks = written(sketch(base, id_col, "text", width, coordinates, rows), "sketch")
-    known = marks.filter("doc is not null")
-    classes = written(
-        known.filter("n_shingles > 0").groupBy("same_a", "same_b", "n_shingles").agg(F.min("doc").alias("chief")), "classes"
-    )
-    member = known.filter("n_shingles > 0").join(classes, ["same_a", "same_b", "n_shingles"])
-    chiefs = member.filter("doc = chief").dropDuplicates(["doc"]).select("doc", "bands", "bits_a", "bits_b")
-    buckets = written(chiefs.select("doc", "bits_a", "bits_b", F.posexplode("bands").alias("band", "key")), "buckets")
-    pivots = written(buckets.groupBy("band", "key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "pivots")
-    texts = base.select(F.col(id_col).alias("doc"), "text")
-
-    star = buckets.join(pivots, ["band", "key"]).filter("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    first = written(verified(written(star.distinct(), "pairs"), texts, width, percent), "verified")
-    own = components(first.filter("is_link").select("a", "b"))
-
-    # what is left: buckets over several components
-    far = buckets.join(pivots, ["band", "key"]).join(own.withColumnRenamed("node", "doc"), "doc", "left")
-    far = far.withColumn("component", F.coalesce("component", "doc"))
-    mixed_buckets = far.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    reach = first.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "share")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
+    marks = written(sketch(base, "doc", "text", width, coordinates, rows), "sketch")
+    known = marks.filter("doc is not null and n_shingles > 0")
+    same = ["same_a", "same_b", "n_shingles"]
+    first_of = known.groupBy(*same).agg(F.min(F.struct("doc", "body")).alias("first"))
+    classes = written(first_of.select(*same, F.col("first.doc").alias("chief"), F.col("first.body").alias("body"), F.monotonically_increasing_id().alias("node")), "classes")
+    member = written(known.join(classes.select(*same, "node"), same).select("doc", "node").distinct(), "members")
+    several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc", "a")
+    by_id = member.join(several, "doc").filter("node > a").select("a", F.col("node").alias("b"))
+
+    chiefs = known.join(classes.select(F.col("chief").alias("doc"), "body", "node"), ["doc", "body"]).dropDuplicates(["node"])
+    buckets = written(chiefs.select("node", "bits_a", "bits_b", F.posexplode("bands").alias("band", "key")), "buckets")
+    pivots = written(buckets.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "pivots")
+
+    star = buckets.join(pivots, ["band", "key"]).filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    first = checked = written(verified(written(star.distinct(), "pairs"), classes, base, width, percent), "verified")
+    links = written(first.filter("is_link").select("a", "b").unionByName(by_id), "linked")
+    own = components(links)
+
+    turn, before = 0, float("inf")
+    while True:
+        # buckets over several components
+        far = buckets.join(pivots, ["band", "key"]).join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counts = far.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+        over = counts.groupBy("band", "key").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).filter("components > 1")
+        mixed_buckets = written(over, "mixed")
+        load = mixed_buckets.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+        side = written(far.join(mixed_buckets.select("band", "key"), ["band", "key"]), "side")
+        if (load[1] or 0) <= 8 * (load[0] or 0) or 3 * load[1] > 2 * before:
+            break
+        turn, before = turn + 1, load[1]
+        at_pivot = side.filter("node = pivot").select("band", "key", F.col("component").alias("done"))
+        order = F.xxhash64(F.lit(turn), "node")
+        chosen = side.join(at_pivot, ["band", "key"]).filter("component <> done").groupBy("band", "key").agg(F.min_by(F.struct("node", "component"), order).alias("next"))
+        pairs = side.join(chosen, ["band", "key"]).filter("component <> next.component").select(F.least("next.node", "node").alias("a"), F.greatest("next.node", "node").alias("b")).distinct()
+        pairs = written(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = written(verified(pairs, classes, base, width, percent), "verified")
+        checked = checked.unionByName(more)
+        if more.filter("is_link").isEmpty():
+            break
+        links = written(links.unionByName(more.filter("is_link").select("a", "b")), "linked")
+        own = components(links)
+
+    # what is left: pairs across components, without those of the first pivots
+    reach = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "share")
     side = (
-        far.join(mixed_buckets, ["band", "key"])
-        .filter("doc <> pivot")  # the pivot's own pairs are verified already
-        .join(reach, ["pivot", "doc"], "left")
-        .select("band", "key", "pivot", "doc", "component", "bits_a", "bits_b", (1.0 - F.col("share")).alias("away"))
+        side.filter("node <> pivot")
+        .join(reach, ["pivot", "node"], "left")
+        .select("band", "key", "pivot", "node", "component", "bits_a", "bits_b", (1.0 - F.col("share")).alias("away"))
     )
     side = written(side, "side")
-    homes = side.groupBy("doc").agg(F.min("pivot").alias("home"))
+    homes = side.groupBy("node").agg(F.min("pivot").alias("home"))
     # one step further: the smallest home that any member of a document's buckets has
-    least = side.join(homes, "doc").groupBy("band", "key").agg(F.min("home").alias("least"))
-    homes = side.join(least, ["band", "key"]).groupBy("doc").agg(F.min("least").alias("home"))
-    side = written(side.join(homes, "doc"), "across")
-    at_home = linked_in_blocks(side.select("home", "doc", "component").distinct(), texts, width, percent)
+    least = side.join(homes, "node").groupBy("band", "key").agg(F.min("home").alias("least"))
+    homes = side.join(least, ["band", "key"]).groupBy("node").agg(F.min("least").alias("home"))
+    side = written(side.join(homes, "node"), "across")
+    at_home = linked_in_blocks(side.select("home", "node", "component").distinct(), classes, base, width, percent)
     x, y = side.alias("x"), side.alias("y")
     gap = 1 - percent / 100 + 1e-9
     differ = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
     used = min(128, coordinates)
     odds = (1 - percent / 100) / 2
     most_differing = used * odds + 5 * (used * odds * (1 - odds)) ** 0.5
-    same_bucket = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc"))
+    same_bucket = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
     due = (F.col("x.component") != F.col("y.component")) & (F.col("x.home") != F.col("y.home"))
     possible = (F.abs(F.col("x.away") - F.col("y.away")) <= gap) & (differ <= most_differing)
     across = written(
         x.join(y, same_bucket & due & possible)
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti"),
+        .join(checked.select("a", "b"), ["a", "b"], "left_anti"),
         "pairs",
     )
-    further = verified(across, texts, width, percent).filter("is_link").select("a", "b")
+    further = verified(across, classes, base, width, percent).filter("is_link").select("a", "b")
     second = written(further.unionByName(at_home), "verified")
-    links = first.filter("is_link").select("a", "b").unionByName(second)
-    final = own if second.isEmpty() else components(links)
+    final = own if second.isEmpty() else components(links.unionByName(second))
 
-    group = member.select("doc", "chief").distinct().join(final.withColumnRenamed("node", "chief"), "chief", "left")
-    found = group.groupBy("doc").agg(F.min(F.coalesce("component", "chief")).alias("component_id"))
+    # a component goes by its smallest document
+    placed = classes.select("node", "chief").join(final, "node", "left").select("node", "chief", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("chief").alias("component_id"))
+    named = placed.join(smallest, "component").select("node", "component_id")
+    found = member.join(named, "node").groupBy("doc").agg(F.min("component_id").alias("component_id"))
     out = marks.select("doc", "n_shingles").join(found, "doc", "left").withColumn("component_id", F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -74,10 +74,9 @@ class Tiles:
                 elif item > heap[0]:
                     heapq.heapreplace(heap, item)
 
-    def result(self) -> pa.RecordBatch:
+    def result(self) -> pd.DataFrame:
         rows = [(q, -v, -s) for q, heap in self.heaps.items() for s, v in heap]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -116,44 +115,45 @@ def nearest(
     every: int = 100,
     k: int = 10,
     block: int = 2048,
-    strips: int = 64,
+    cell_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of every query by Euclidean distance, exactly.
 
-    Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own id. Blocks of
-    candidates are dealt into strips, and each strip gets each query block: the stated query set against all rows, in
-    blocks, as an equi-join on the strip. A task multiplies int8 codes tile by tile. The quantised distance and the two
-    vectors' rounding errors bound the true one from both sides, so only pairs whose lower bound is within the k-th
-    upper bound are computed in double precision; a heap per query keeps the task's k best, and heaps are merged by
-    query, k rows from each task. Nothing is approximated and no pair is dropped unseen.
+    Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own id. Both are
+    packed into blocks, the blocks are dealt into strips of candidates and groups of queries of about cell_bytes each,
+    by their counted bytes, and every strip meets every group in a cell: the stated query set against all rows, in
+    blocks. A cell's blocks are sent to it once. Its task multiplies int8 codes tile by tile (as float32 numbers, whose
+    24 bits hold the sums exactly). The quantised distance and the two vectors' rounding errors bound the true one from
+    both sides, so only pairs whose lower bound is within the k-th upper bound are computed in double precision; a heap
+    per query keeps the cell's k best, and of all cells' bests the k first are taken. Nothing is approximated and no
+    pair is dropped unseen.
 
     Vectors null, empty, all zero or with null or non-finite components take no part, nor do null ids. Vectors of
-    different lengths are not compared. Ties go to the smaller id; a row repeated with the same
-    vector is one candidate.
+    different lengths are not compared. Ties go to the smaller id; a row repeated with the same vector is one
+    candidate. Rows of one query id with different vectors are one query, near to what is near to any of them. An empty
+    table gives no rows. Other columns are not read.
     """
     rows = usable(vectors, id_col, vector_col)
-    candidates = blocks_of(rows, block).withColumn("strip", F.pmod(F.xxhash64("ids"), F.lit(strips)))
-    queries = blocks_of(rows.filter(F.pmod("id", F.lit(every)) == 0), block).select("dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    spread = queries.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of_query = F.pmod("id", F.lit(every)) == 0
+    size = F.size("v").cast("long") * 8
+    n_bytes, n_query = rows.agg(F.sum(size), F.sum(F.when(of_query, size))).first()
+    strips, groups = (max(1, -(-(n or 0) // cell_bytes)) for n in (n_bytes, n_query))
+    strips = max(strips, rows.sparkSession.sparkContext.defaultParallelism) if n_bytes and n_bytes > cell_bytes // 8 else strips
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    candidates = blocks_of(rows, block).withColumn("strip", F.pmod(F.xxhash64("ids"), F.lit(strips))).withColumn("part", each(groups))
+    queries = blocks_of(rows.filter(of_query), block).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups))).withColumn("strip", each(strips))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tiles = Tiles(k)
-        for batch in batches:
-            for dims, ids, data, q_ids, q_data in zip(*(c for c in batch.columns), strict=True):
-                d = dims.as_py()
-                tiles.add(
-                    np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(q_data.as_py(), "<f8").reshape(-1, d), np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(data.as_py(), "<f8").reshape(-1, d)
-                )
-        yield tiles.result()
-
-    pairs = candidates.join(spread, ["strip", "dims"]).select("dims", "ids", "data", "q_ids", "q_data")
-    found = map_batches(pairs, task, "query_id long, vec_id long, score double")
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, set(zip(group["score"], group["vec_id"], strict=True)))
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": [v for _, v in best], "score": [s for s, _ in best]})
-
-    return found.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+        for d, q_ids, q_data in zip(right["dims"], right["ids"], right["data"], strict=True):
+            for e, ids, data in zip(left["dims"], left["ids"], left["data"], strict=True):
+                if d == e:
+                    tiles.add(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_data, "<f8").reshape(-1, d), np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, d))
+        return tiles.result()
+
+    found = candidates.groupBy("strip", "part").cogroup(queries.groupBy("strip", "part")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.distinct().withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 NEAREST_SQL = """

@@ -294,7 +294,7 @@ def test_neighbours_are_exact(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(450)] + [(451, None), (452, [0.0] * 16), (453, [float("nan")] * 16), (454, [1.0] * 3), (None, [1.0] * 16), (455, [None] + [1.0] * 15), (456, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in neighbours.nearest(df, block=64, strips=5).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, block=64, cell_bytes=3000).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     for q in range(0, 450, 100):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -306,7 +306,7 @@ def test_neighbours_are_exact(spark):
 
 def test_repeated_rows_are_one_candidate(spark):
     rows = [(0, [0.0, 1.0])] + [(1, [0.0, 1.5])] * 40 + [(i, [0.0, 1.0 + i]) for i in range(2, 30)]
-    got = neighbours.nearest(spark.createDataFrame(rows * 2, "vec_id long, embedding array<float>").repartition(5), block=16, strips=3).collect()
+    got = neighbours.nearest(spark.createDataFrame(rows * 2, "vec_id long, embedding array<float>").repartition(5), block=16, cell_bytes=400).collect()
     assert sorted((r.rank, r.vec_id) for r in got) == [(i, i) for i in range(1, 11)]
 
 

@@ -225,15 +225,24 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def fillings(values: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of `room` from the sizes at hand (values fall), drawn one by one, best filled first.
+def fillings(values: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of `room` from the sizes at hand (values fall), drawn one by one, best filled first;
+    None stands for a dominated one, so that who draws can count them.
 
-    Sums that the sizes from each place on can reach are bits of an integer, so every step of the enumeration ends in
-    a filling. A size that fills the room by itself dominates all others.
+    A size that fills the room by itself dominates all others. Then comes the pair of the largest first that fills it,
+    if there is one. Beyond, sums that the sizes from each place on can reach are bits of an integer, so that every step
+    of the enumeration ends in a filling.
     """
     if counts.get(room):
         yield (room,)
         return
+    pair = ()
+    for v in values[bisect_left(values, -room, key=lambda v: -v) : bisect_left(values, -room // 2 + 1, key=lambda v: -v)]:
+        rest = room - v
+        if counts[v] and counts.get(rest) and (rest < v or counts[v] > 1):
+            pair = (v, rest)
+            yield pair
+            break
     usable = [v for v in values[bisect_left(values, -room, key=lambda v: -v) :] if counts[v]]
     mask = (1 << (room + 1)) - 1
     reach = [1] * (len(usable) + 1)
@@ -261,8 +270,8 @@ def fillings(values: list[int], counts: dict[int, int], room: int) -> Iterator[t
     while total >= 0:
         if reach[0] >> total & 1:
             for chosen in exactly(0, total):
-                if not dominated(chosen, rising, counts, room - total):
-                    yield chosen
+                if chosen != pair:
+                    yield None if dominated(chosen, rising, counts, room - total) else chosen
         total -= 1
 
 
@@ -287,11 +296,11 @@ def complete_bins(sizes: list[int], capacity: int, fewest: int, bound: int, node
     The largest piece left opens a bin, and its undominated fillings are tried best filled first. A branch ends when
     its waste so far leaves less than a bin fewer than the best can have; later fillings waste more, so the whole level
     ends. Branches are taken in order of how often they leave the best filling (0 times, once, twice, ...): early bins
-    are varied as soon as late ones. The search ends at the bound, with the tree, or after node_limit bins.
+    are varied as soon as late ones. The search ends at the bound, with the tree, or after node_limit fillings drawn.
     """
     counts = Counter(sizes)
     values = sorted(counts, reverse=True)
-    total, shape, nodes = sum(sizes), None, 0
+    total, shape, nodes, spent = sum(sizes), None, 0, (-1,)
     for leaves in count():
         cut, left, path = False, len(sizes), []
 
@@ -309,16 +318,18 @@ def complete_bins(sizes: list[int], capacity: int, fewest: int, bound: int, node
             for v in taken:
                 counts[v] += 1
             left, level[3] = left + len(taken), ()
-            chosen = next(ways, None) if may >= 0 else None
+            chosen = next(ways, spent) if may >= 0 else spent
+            nodes += 1
+            if chosen is None:
+                continue
             cut = cut or may < 0
             level[5] = may - 1
-            wasted = waste + capacity - top - sum(chosen or ())
-            if chosen is None or wasted > (fewest - 1) * capacity - total:
+            wasted = waste + capacity - top - sum(chosen)
+            if chosen is spent or wasted > (fewest - 1) * capacity - total:
                 counts[top] += 1
                 left += 1
                 path.pop()
                 continue
-            nodes += 1
             for v in chosen:
                 counts[v] -= 1
             left, level[3] = left - len(chosen), chosen
@@ -334,7 +345,7 @@ def complete_bins(sizes: list[int], capacity: int, fewest: int, bound: int, node
     return shape
 
 
-def pack_block(sizes: list[int], capacity: int, *, node_limit: int = 8_000) -> list[list[int]]:
+def pack_block(sizes: list[int], capacity: int, *, node_limit: int = 20_000) -> list[list[int]]:
     """Bins of positions of `sizes`, as few as the search finds.
 
     Best-fit decreasing gives the first incumbent; where it misses the lower bound, bin completion looks for fewer.

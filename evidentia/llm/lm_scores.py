@@ -129,7 +129,8 @@ def load(held: bytes, lengths: bytes, vocabulary: bytes, tokens: bytes) -> Batch
 
 
 def requests_of(batches: DataFrame, bits: int) -> DataFrame:
-    """(bucket, batch, words, word_counts, pairs, pair_counts): a batch's keys in each bucket with its own training counts."""
+    """(bucket, batch, words, word_counts, pairs, pair_counts): a batch's keys in each bucket (a key's upper `bits` bits)
+    with its own training counts."""
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in rows:
@@ -138,39 +139,82 @@ def requests_of(batches: DataFrame, bits: int) -> DataFrame:
                 cols: list[list] = [[], []]
                 for keys, counts in ((mixed(b.vocabulary), b.word_counts()), (b.keys(), b.pair_counts())):
                     order, edges = dealt(keys, bits)
-                    k, n = keys[order], counts[order].astype(np.uint32)
+                    k, n = keys[order], counts[order].astype(U64)
                     # sorted keys pack well as differences
                     cols.append([planes(np.diff(k[x:y], prepend=U64(0))) for x, y in zip(edges, edges[1:], strict=False)])
-                    cols.append([packed(n[x:y]) for x, y in zip(edges, edges[1:], strict=False)])
+                    cols.append([planes(n[x:y]) for x, y in zip(edges, edges[1:], strict=False)])
                 cols[0], cols[1] = list(range(1 << bits)), [number] * (1 << bits)
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "batch", "words", "word_counts", "pairs", "pair_counts"])
 
-    return map_batches(batches.select("batch", "held", "lengths", "vocabulary", "tokens"), task, "bucket int, batch long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    return map_batches(batches.select("batch", "held", "lengths", "vocabulary", "tokens"), task, REQUEST)
 
 
-def totals_of(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int, int]:
-    """Each part's keys' summed counts, in the order of its keys; distinct keys counted at all; sum of all counts."""
+def summed(keys: list[bytes], counts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each part's sorted keys; the distinct keys of all parts, sorted, with their summed counts."""
     with np.errstate(over="ignore"):
         lists = [np.cumsum(numbers(data), dtype=U64) for data in keys]
-    given_counts = [unpacked(c, "<u4") for c in counts]
     distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(given_counts), minlength=len(distinct))
-    given = total[place].astype(np.uint64)
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
-    return [planes(x) for x in np.split(given, cuts)], int((total > 0).sum()), int(total.sum())
+    total = np.bincount(place, weights=np.concatenate([numbers(c) for c in counts]).astype(np.float64), minlength=len(distinct))
+    return lists, distinct, total.astype(U64)
+
+
+def handed(lists: list[np.ndarray], distinct: np.ndarray, total: np.ndarray) -> list[bytes]:
+    """The totals of each part's keys, in the order of its keys."""
+    return [planes(total[np.searchsorted(distinct, x)]) for x in lists]
 
 
 def replies_of(requests: DataFrame) -> DataFrame:
     """(batch, bucket, words, pairs, distinct, total): totals over all batches for the keys that each batch asked about."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        words, distinct, total = totals_of(group["words"].tolist(), group["word_counts"].tolist())
-        pairs, _, _ = totals_of(group["pairs"].tolist(), group["pair_counts"].tolist())
+        words, pairs = (summed(group[k].tolist(), group[c].tolist()) for k, c in (("words", "word_counts"), ("pairs", "pair_counts")))
+        first = np.arange(len(group)) == 0
+        return pd.DataFrame({"batch": group["batch"], "bucket": group["bucket"], "words": handed(*words), "pairs": handed(*pairs), "distinct": first * int((words[2] > 0).sum()), "total": first * int(words[2].sum())})
+
+    return requests.groupBy("bucket").applyInPandas(answer, REPLY)
+
+
+REPLY = "batch long, bucket long, words binary, pairs binary, distinct long, total long"
+REQUEST = "bucket long, batch long, words binary, word_counts binary, pairs binary, pair_counts binary"
+
+
+def exchanged(requests: DataFrame, askers: int, used: int, levels: list[int], gathered: int) -> DataFrame:
+    """Replies to requests whose buckets are the upper `used` bits of keys, by way of further `levels` of bits.
+
+    With none left a bucket is small enough for one task. Else about `gathered` askers of a bucket are put together:
+    their distinct keys with summed counts are one request, cut by the next bits, and its reply is dealt back to them.
+    A request is a bounded number of rows for each asker on every level, so rows grow with the input and no faster.
+    """
+    if not levels:
+        return replies_of(requests)
+    bits, together = levels[0], -(-askers // gathered)
+    grouped = requests.withColumn("asker", F.pmod(F.xxhash64("batch"), F.lit(together)))
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        bucket, asker = int(key[0]), int(key[1])
+        buckets = (bucket << bits) + np.arange(1 << bits)
+        out = {"bucket": buckets, "batch": asker}
+        for k, c in (("words", "word_counts"), ("pairs", "pair_counts")):
+            _, distinct, total = summed(group[k].tolist(), group[c].tolist())
+            edges = np.append(np.searchsorted(distinct >> U64(64 - used - bits), buckets.astype(U64)), len(distinct))
+            spans = [*zip(edges, edges[1:], strict=False)]
+            out[k], out[c] = [planes(np.diff(distinct[x:y], prepend=U64(0))) for x, y in spans], [planes(total[x:y]) for x, y in spans]
+        return pd.DataFrame(out)
+
+    def deal(group: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("bucket")
+        out = {"batch": group["batch"], "bucket": group["bucket"]}
+        for k, c in (("words", "word_counts"), ("pairs", "pair_counts")):
+            lists, distinct, _ = summed(group[k].tolist(), group[c].tolist())
+            out[k] = handed(lists, distinct, np.concatenate([numbers(x) for x in found[k]]))
         first = np.arange(len(group)) == 0
-        return pd.DataFrame({"batch": group["batch"], "bucket": group["bucket"], "words": words, "pairs": pairs, "distinct": first * distinct, "total": first * total})
+        return pd.DataFrame(out | {"distinct": first * int(found["distinct"].sum()), "total": first * int(found["total"].sum())})
 
-    return requests.groupBy("bucket").applyInPandas(answer, "batch long, bucket int, words binary, pairs binary, distinct long, total long")
+    merged = written(grouped.groupBy("bucket", "asker").applyInPandas(merge, REQUEST), "requests")
+    below = exchanged(merged, together, used + bits, levels[1:], gathered)
+    back = below.withColumn("of_bucket", F.shiftright("bucket", bits))
+    return grouped.groupBy("bucket", "asker").cogroup(back.groupBy("of_bucket", "batch")).applyInPandas(deal, REPLY)
 
 
 def counts_for(b: Batch, replies: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,6 +275,7 @@ def score_documents(
     held_fold: int = 2,
     batch_chars: int = 6_000_000,
     bucket_bytes: int = 12_000_000,
+    level_bits: int = 7,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
@@ -243,7 +288,10 @@ def score_documents(
     Documents are packed into batches of about batch_chars characters; a batch asks for the counts of its distinct
     words and pairs once. Requests are shuffled by key range, summed, and answered in the order they were asked, so
     every count is over all training rows and no table of counts meets in the driver or in one task. The ranges are
-    set so that one gets about bucket_bytes of text's keys. The driver gets two sums and a histogram of bounded size.
+    set so that one gets about bucket_bytes of text's keys. A batch asks in at most 2**level_bits ranges; where that
+    leaves ranges too large, requests go through further levels (see exchanged), so that rows are in proportion to the
+    input at any size. The driver gets two sums and a histogram of bounded size. EM sees estimates as ratios to the
+    uniform one, rounded to a quarter of their log2.
 
     Null and empty texts are one end token. Null ids count as training rows, rows of the same id are separate
     documents. An empty table gives no rows. Other columns are not read.
@@ -251,7 +299,12 @@ def score_documents(
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
     batches = written(batches_of(docs, id_col, text_col, folds, held_fold, batch_chars), "batches")
-    replies = written(replies_of(requests_of(batches, bits)), "counts")
+    levels = -(-bits // level_bits) or 1
+    widths = [bits * (i + 1) // levels - bits * i // levels for i in range(levels)]
+    requests = requests_of(batches, widths[0])
+    if levels > 1:
+        requests = written(requests, "requests")
+    replies = written(exchanged(requests, batches.count(), widths[0], widths[1:], 1 << level_bits), "counts")
     sums = replies.agg(F.sum("total"), F.sum("distinct")).first()
     n, distinct = (sums[0] or 0), (sums[1] or 0)
     key = F.col(id_col).cast("long")
@@ -262,7 +315,7 @@ def score_documents(
     def open_batch(row: pd.DataFrame, found: pd.DataFrame) -> tuple:
         r = row.iloc[0]
         b = load(r["held"], r["lengths"], r["vocabulary"], r["tokens"])
-        return (b, *counts_for(b, found, bits), r["ids"])
+        return (b, *counts_for(b, found, widths[0]), r["ids"])
 
     def deleted(row: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b, words, pairs, contexts, _ = open_batch(row, found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import types
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: dict[str, SparkSession] = {}
 _OWN_FOLDER: list[str] = []
 
 
@@ -23,10 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on one machine (tests) one
+    of our own. On a cluster it must be set, as no local folder will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="evidentia-"))
     return f"file://{_OWN_FOLDER[0]}"
@@ -36,22 +40,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again.
 
     Lost executors then cost no recomputation of what came before, and a step that two branches use runs once.
-    The tables of a session go when its driver ends.
+    What discard() has not taken away goes when the session's driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evidentia/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _SCRATCH:
-        atexit.register(_clean)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _SCRATCH:
+        atexit.register(discard)
+    _SCRATCH[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path  # for discard()
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Take away tables of written() that nothing reads any more, or all that are left."""
+    paths = [t._scratch for t in tables] if tables else [*_SCRATCH]
+    for path in paths:
+        spark = _SCRATCH.pop(path, None)
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may be gone already; the folder is scratch space
             return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,12 +30,17 @@ def components(links: DataFrame) -> DataFrame:
         steps.append(written(least.select(F.col("a").alias("node"), F.least(name("a"), "near").alias("label")), "labels"))
         a, b = (steps[-1].select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
         between = edges.join(a, "a").join(b, "b").filter("label_a <> label_b")
-        edges = written(between.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
+        before, edges = edges, written(between.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
+        discard(before)
         if edges.isEmpty():
             break
+    discard(edges)
     labels = steps.pop()
     while steps:
-        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = written(steps.pop().join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        onward, step = labels.select(F.col("node").alias("label"), F.col("label").alias("further")), steps.pop()
+        before, labels = labels, written(step.join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        discard(before, step)
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return written(labels.join(smallest, "label").select("node", "component"), "labels")
+    out = written(labels.join(smallest, "label").select("node", "component"), "labels")
+    discard(labels)
+    return out

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_batches, per_worker, text_runs, written
+from .common import discard, fold_of, map_batches, per_worker, text_runs, written
 from .shingles import U64, WordHashes, mixed, words_of
 
 #: Keys of the end token and of the context before the first word; a word's hash is one of them by accident only.
@@ -305,6 +305,8 @@ def score_documents(
     if levels > 1:
         requests = written(requests, "requests")
     replies = written(exchanged(requests, batches.count(), widths[0], widths[1:], 1 << level_bits), "counts")
+    if levels > 1:
+        discard(requests)
     sums = replies.agg(F.sum("total"), F.sum("distinct")).first()
     n, distinct = (sums[0] or 0), (sums[1] or 0)
     key = F.col(id_col).cast("long")

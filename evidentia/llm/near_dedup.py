@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_worker, runs, text_runs, written
+from .common import discard, map_batches, per_worker, runs, text_runs, written
 from .components import components
 from .shingles import U64, WordHashes, linked, mixed, shingle_sets
 
@@ -242,7 +242,9 @@ def near_duplicates(
     pivots = written(buckets.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "pivots")
 
     star = buckets.join(pivots, ["band", "key"]).filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    first = checked = written(verified(written(star.distinct(), "pairs"), classes, base, width, percent), "verified")
+    pairs = written(star.distinct(), "pairs")
+    first = checked = written(verified(pairs, classes, base, width, percent), "verified")
+    discard(pairs)
     links = written(first.filter("is_link").select("a", "b").unionByName(by_id), "linked")
     own = components(links)
 
@@ -258,6 +260,7 @@ def near_duplicates(
         if (load[1] or 0) <= 8 * (load[0] or 0) or 3 * load[1] > 2 * before:
             break
         turn, before = turn + 1, load[1]
+        stale = [mixed_buckets, side, own]
         at_pivot = side.filter("node = pivot").select("band", "key", F.col("component").alias("done"))
         order = F.xxhash64(F.lit(turn), "node")
         chosen = side.join(at_pivot, ["band", "key"]).filter("component <> done").groupBy("band", "key").agg(F.min_by(F.struct("node", "component"), order).alias("next"))
@@ -265,24 +268,23 @@ def near_duplicates(
         pairs = written(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = written(verified(pairs, classes, base, width, percent), "verified")
         checked = checked.unionByName(more)
+        discard(pairs)
         if more.filter("is_link").isEmpty():
             break
         links = written(links.unionByName(more.filter("is_link").select("a", "b")), "linked")
         own = components(links)
+        discard(*stale)
 
     # what is left: pairs across components, without those of the first pivots
     reach = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "share")
-    side = (
-        side.filter("node <> pivot")
-        .join(reach, ["pivot", "node"], "left")
-        .select("band", "key", "pivot", "node", "component", "bits_a", "bits_b", (1.0 - F.col("share")).alias("away"))
-    )
-    side = written(side, "side")
+    away = side.filter("node <> pivot").join(reach, ["pivot", "node"], "left").withColumn("away", 1.0 - F.col("share"))
+    whole, side = side, written(away.select("band", "key", "pivot", "node", "component", "bits_a", "bits_b", "away"), "side")
     homes = side.groupBy("node").agg(F.min("pivot").alias("home"))
     # one step further: the smallest home that any member of a document's buckets has
     least = side.join(homes, "node").groupBy("band", "key").agg(F.min("home").alias("least"))
     homes = side.join(least, ["band", "key"]).groupBy("node").agg(F.min("least").alias("home"))
-    side = written(side.join(homes, "node"), "across")
+    near, side = side, written(side.join(homes, "node"), "across")
+    discard(whole, near)
     at_home = linked_in_blocks(side.select("home", "node", "component").distinct(), classes, base, width, percent)
     x, y = side.alias("x"), side.alias("y")
     gap = 1 - percent / 100 + 1e-9
@@ -302,6 +304,7 @@ def near_duplicates(
     )
     further = verified(across, classes, base, width, percent).filter("is_link").select("a", "b")
     second = written(further.unionByName(at_home), "verified")
+    discard(across, side, buckets, pivots)
     final = own if second.isEmpty() else components(links.unionByName(second))
 
     # a component goes by its smallest document

@@ -248,19 +248,21 @@ def near_duplicates(
     links = written(first.filter("is_link").select("a", "b").unionByName(by_id), "linked")
     own = components(links)
 
+    def over_components(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that lie in several components; only these are looked at again."""
+        placed = rows.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        ends = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        return written(placed.join(ends.select("band", "key"), ["band", "key"]), "side")
+
+    side = over_components(buckets.join(pivots.drop("n"), ["band", "key"]))
     turn, before = 0, float("inf")
     while True:
-        # buckets over several components
-        far = buckets.join(pivots, ["band", "key"]).join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        counts = far.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-        over = counts.groupBy("band", "key").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).filter("components > 1")
-        mixed_buckets = written(over, "mixed")
-        load = mixed_buckets.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
-        side = written(far.join(mixed_buckets.select("band", "key"), ["band", "key"]), "side")
-        if (load[1] or 0) <= 8 * (load[0] or 0) or 3 * load[1] > 2 * before:
+        counts = side.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+        over = counts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        members, due = over.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+        if (due or 0) <= 64 * (members or 0) or 3 * due > 2 * before:
             break
-        turn, before = turn + 1, load[1]
-        stale = [mixed_buckets, side, own]
+        turn, before = turn + 1, due
         at_pivot = side.filter("node = pivot").select("band", "key", F.col("component").alias("done"))
         order = F.xxhash64(F.lit(turn), "node")
         chosen = side.join(at_pivot, ["band", "key"]).filter("component <> done").groupBy("band", "key").agg(F.min_by(F.struct("node", "component"), order).alias("next"))
@@ -272,7 +274,8 @@ def near_duplicates(
         if more.filter("is_link").isEmpty():
             break
         links = written(links.unionByName(more.filter("is_link").select("a", "b")), "linked")
-        own = components(links)
+        stale, own = (own, side), components(links)
+        side = over_components(side.drop("component"))
         discard(*stale)
 
     # what is left: pairs across components, without those of the first pivots

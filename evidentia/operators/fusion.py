@@ -14,11 +14,14 @@ def literal_scores(names: DataFrame, snippets: DataFrame) -> DataFrame:
     """(name, rag_score): the best score among snippets that hold the name as a whole word, without regard to case.
 
     Snippets are cut into words and joined to the names on equality, so no pair of a name and a snippet is made
-    without a match. Names of several words are matched by their first word, then as a whole.
+    without a match; a snippet goes by its hash there, and its text is fetched for the hits only. Names of several words
+    are matched by their first word, then as a whole.
     """
     wanted = names.select(F.col("name"), F.lower("name").alias("low")).distinct().withColumn("word", F.regexp_extract("low", r"[a-z0-9_]+", 0)).filter("word <> ''")
-    worded = snippets.withColumn("low_text", F.lower("text")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("low_text", F.lit(r"[a-z0-9_]+"), F.lit(0)))))
-    hit = worded.join(wanted, "word").filter(F.concat(F.lit(" "), F.regexp_replace("low_text", r"[^a-z0-9_]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("low", r"[^a-z0-9_]+", " "), F.lit(" "))))
+    marked = snippets.select(F.lower("text").alias("low_text"), "score").withColumn("mark", F.xxhash64("low_text"))
+    worded = marked.select("mark", F.explode(F.array_distinct(F.regexp_extract_all("low_text", F.lit(r"[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    near = worded.join(wanted, "word").select("mark", "name", "low").distinct()
+    hit = near.join(marked, "mark").filter(F.concat(F.lit(" "), F.regexp_replace("low_text", r"[^a-z0-9_]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("low", r"[^a-z0-9_]+", " "), F.lit(" "))))
     return hit.groupBy("name").agg(F.max("score").alias("rag_score"))
 
 

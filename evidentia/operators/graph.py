@@ -12,18 +12,23 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, reverse:
     """Edges reached from seeds(root, node) within `depth` hops: (root, hop, caller, callee, row_id, truncated).
 
     Hops are unrolled joins. A node is expanded once per root, at its first hop, so cycles end; of each node the first
-    `fanout` edges by row_id are kept, and truncated says whether it had more. The cap is put on the edges before the
-    join, so a hub is cut where it lies and never multiplies.
+    `fanout` edges by row_id are kept, and truncated says whether it had more. Each hop takes the edges of its frontier
+    by a semi-join first, so only those are ranked; the cap is put on them before the join with the roots, so a hub is
+    cut where it lies and never multiplies.
     """
     here, there = ("callee", "caller") if reverse else ("caller", "callee")
     of_node = Window.partitionBy(here)
-    # one edge more than the cap tells a cut; the limit by rank is also put before the shuffle, so a hub stays small
-    probed = edges.withColumn("place", F.row_number().over(of_node.orderBy("row_id"))).filter(F.col("place") <= fanout + 1)
-    capped = probed.withColumn("truncated", F.max("place").over(of_node) > fanout).filter(F.col("place") <= fanout).select("caller", "callee", "row_id", "truncated")
+
+    def capped(nodes: DataFrame) -> DataFrame:
+        near = edges.join(nodes.select(F.col("node").alias(here)).distinct(), here, "left_semi")
+        # one edge more than the cap tells a cut; the limit by rank is also put before the shuffle, so a hub stays small
+        probed = near.withColumn("place", F.row_number().over(of_node.orderBy("row_id"))).filter(F.col("place") <= fanout + 1)
+        return probed.withColumn("truncated", F.max("place").over(of_node) > fanout).filter(F.col("place") <= fanout).select("caller", "callee", "row_id", "truncated")
+
     frontier = visited = seeds.select("root", "node").distinct()
     found = []
     for hop in range(1, depth + 1):
-        reached = frontier.join(capped, F.col("node") == F.col(here)).select("root", F.lit(hop).alias("hop"), "caller", "callee", "row_id", "truncated")
+        reached = frontier.join(capped(frontier), F.col("node") == F.col(here)).select("root", F.lit(hop).alias("hop"), "caller", "callee", "row_id", "truncated")
         found.append(reached)
         if hop < depth:
             new = reached.select("root", F.col(there).alias("node")).distinct()

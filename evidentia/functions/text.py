@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +62,12 @@ def preprocessed_sql(sql: Column) -> Column:
     return sql
 
 
-def normalised_table(name: Column, shard: str = r"_\d{1,2}$") -> Column:
-    """Upper case without month and shard suffixes."""
-    return F.regexp_replace(F.regexp_replace(F.upper(name), MONTH_SUFFIX, ""), shard, "")
+def normalised_table(name: Column, shard: str = r"_\d{1,2}$", typos: dict[str, str] | None = None) -> Column:
+    """Upper case, known typos mended, then without shard suffix, then without month suffix."""
+    out = F.upper(F.btrim(name))
+    if typos:
+        out = F.coalesce(F.create_map(*[F.lit(x) for pair in typos.items() for x in pair])[out], out)
+    return F.regexp_replace(F.regexp_replace(out, shard, ""), MONTH_SUFFIX, "")
 
 
 def datasource_key(url: Column) -> Column:
@@ -148,6 +155,71 @@ def corpus_of(path: Column, corpora: dict[str, str]) -> Column:
     return out
 
 
+def compatible(text: Column) -> Column:
+    """NFKC form in folded case without white space; no built-in has that form, so whole Arrow batches go to Python."""
+
+    @F.pandas_udf("string")
+    def folded(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()).casefold())
+
+    return folded(text)
+
+
+def slug(text: Column, most: int = 40) -> Column:
+    """Lower-case letters and digits with single hyphens between, at most `most`; 'run' where nothing is left."""
+    bare = lambda x: F.btrim(x, F.lit("-"))
+    return F.coalesce(F.nullif(bare(F.substring(bare(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-")), 1, most)), F.lit("")), F.lit("run"))
+
+
+def run_id(summary: Column, now: Column, short_hash: Column) -> Column:
+    return F.concat_ws("-", F.date_format(now, "yyyyMMdd-HHmmss"), slug(summary), short_hash)
+
+
+def has_signal(text: Column, exact: list[str], folded: list[str]) -> Column:
+    """Whether a text holds one of the words, some of them without regard to case."""
+    body = F.coalesce(text, F.lit(""))
+    held = [F.contains(body, F.lit(w)) for w in exact] + [F.contains(F.lower(body), F.lit(w.lower())) for w in folded]
+    return reduce(Column.__or__, held, F.lit(False))
+
+
+def summary_of(body: Column, least: int = 10, most: int = 10) -> Column:
+    """The first `most` paragraphs of at least `least` characters that are no metadata, apart by blank lines."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.btrim(x))
+    told = F.filter(lines, lambda x: (F.length(x) >= least) & ~x.rlike(r"(?i)^(version|date|author|approved by)\s*[:|]"))
+    return F.coalesce(F.nullif(F.array_join(F.slice(told, 1, most), "\n\n"), F.lit("")), F.lit("(empty docx)"))
+
+
+def modules_of(tables: Column, name: Column, summary: Column, prefixes: dict[str, str], known: list[str], indexed: list[str]) -> Column:
+    """Modules by table prefix, by words in a function's name, and by words of indexed modules in a summary; sorted."""
+    begins = lambda p: F.exists(tables, lambda t: F.startswith(F.upper(t), F.lit(p)))
+    by_table = [F.when(begins(p), m) for p, m in prefixes.items()]
+    by_name = [F.when(F.contains(F.lower(name), F.lit(m)), m) for m in known]
+    by_text = [F.when(F.contains(F.lower(summary), F.lit(m)), m) for m in indexed]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*by_table, *by_name, *by_text))))
+
+
+def is_stale(refreshed: Column, now: Column, ttl_hours: int) -> Column:
+    """Whether a refresh is longer ago than the time to live; one that is missing or cannot be read counts as stale."""
+    zoned = r"(Z|[+-]\d{2}:?\d{2})$"
+    age = F.unix_timestamp(F.try_to_timestamp(now)) - F.unix_timestamp(F.try_to_timestamp(refreshed))
+    return F.coalesce((refreshed.rlike(zoned) != now.rlike(zoned)) | (age > ttl_hours * 3600), F.lit(True))
+
+
+# The forms of names that lookups take.
+FQN_FORM = r"^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$<][A-Za-z0-9_$>]*)*(\([^;|&]{0,512}\))?$"
+IDENTIFIER_FORM = r"^[A-Za-z_][A-Za-z0-9_$#]*$"
+EXTENSION_FORM = r"^[A-Za-z0-9]{1,10}$"
+TABLE_FORM = r"^[A-Z][A-Z0-9_]*\.[A-Z][A-Z0-9_]*$"
+CONFIG_FORM = r"^[A-Za-z0-9_\-]+(\.[A-Za-z0-9_\-]+)*$"
+
+
+def is_pointer(pointer: Column) -> Column:
+    """Whether an evidence pointer has one of the allowed forms: fqn:<dotted name>, table:OWNER.TABLE, config:<key path>."""
+    kind, body = F.substring_index(pointer, ":", 1), F.regexp_extract(pointer, r"(?s)^[a-z]+:(.*)$", 1)
+    shape = F.when(kind == "fqn", body.rlike(FQN_FORM) & (F.length(body) <= 512)).when(kind == "table", body.rlike(TABLE_FORM)).when(kind == "config", body.rlike(CONFIG_FORM))
+    return F.coalesce(shape & ~F.contains(pointer, F.lit("\n")), F.lit(False))
+
+
 def requirement_text(text: Column) -> Column:
     """Three and more blank lines become one, ends are bare."""
     return F.btrim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n(?:[ \t]*\n){3,}", "\n\n"), F.lit(" \n\t"))

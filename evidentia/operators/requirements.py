@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from evidentia.functions import text
 
 # How a numbered line begins, and the separators that may follow its mark.
-MARK = re.compile(r"^\s*[(（]?(\d{1,3}|[IVX]{1,5}|[ivx]{1,5}|[A-Za-z])(?=(.)|$)")
-SEPARATORS = ".,:;、，：。)）．；"
+MARK = re.compile(r"^\s*([0-9]{1,2}|I{2,4}|IV|VI{0,3}|IX|[A-Za-z])(.?)")
+SEPARATORS = ".。,，、)）:：．]】"
 LONGEST_SKIP = 4
-ROMAN = {"I": 1, "V": 5, "X": 10}
+ROMAN = {"I": 1, "II": 2, "III": 3, "IIII": 4, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10}
 
 
 class Open(NamedTuple):
@@ -28,16 +28,14 @@ class Open(NamedTuple):
 
 
 def readings(mark: str) -> Iterator[tuple[str, int]]:
-    """The ways to read a mark; I may be a roman one or a letter."""
+    """The ways to read a mark; I, V and X may be roman ones or letters."""
     if mark.isdigit():
         yield "arabic", int(mark)
         return
-    case = "upper" if mark.isupper() else "lower"
-    if set(mark.upper()) <= ROMAN.keys():
-        digits = [ROMAN[c] for c in mark.upper()]
-        yield f"roman_{case}", sum(-d if later > d else d for d, later in zip(digits, [*digits[1:], 0], strict=True))
+    if mark in ROMAN:
+        yield "roman_upper", ROMAN[mark]
     if len(mark) == 1:
-        yield f"letter_{case}", ord(mark.upper()) - 64
+        yield ("letter_upper" if mark.isupper() else "letter_lower"), ord(mark.upper()) - 64
 
 
 def place(levels: list[Open], mark: str, separated: bool) -> tuple[int, str, int, str] | None:
@@ -76,7 +74,7 @@ def segments_of(body: str) -> list[dict]:
             continue
         found = MARK.match(line)
         after = (found.group(2) or "") if found else ""
-        at = place(levels, found.group(1), after != "" and after in SEPARATORS) if found and not after.isalnum() else None
+        at = place(levels, found.group(1), after != "" and after in SEPARATORS) if found and (after in SEPARATORS or after.isspace()) else None
         if at is None:
             rows[-1]["content"].append(line)
             continue
@@ -137,9 +135,9 @@ def email_body(content):  # noqa: ANN001, ANN201
 
 
 def grounded(candidates: DataFrame, source: str = "raw_text", term: str = "term") -> DataFrame:
-    """Candidates whose term is in the text but for case and blanks."""
-    bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    return candidates.filter(F.contains(bare(F.col(source)), bare(F.col(term))))
+    """Candidates whose term is in the text but for case, blanks and forms that NFKC makes one. An empty term is in none."""
+    marked = candidates.withColumns({"__body": text.compatible(F.col(source)), "__term": text.compatible(F.col(term))})
+    return marked.filter((F.col("__term") != "") & F.contains("__body", "__term")).drop("__body", "__term")
 
 
 def unique_terms(terms: DataFrame, term: str, order: str) -> DataFrame:

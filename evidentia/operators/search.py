@@ -86,3 +86,8 @@ def document_frequency(docs: DataFrame, terms: Column, least_docs: int, least_sh
     total = docs.agg(F.count("*").alias("total"))
     counted = docs.select(id_col, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return counted.filter(F.col("df") >= least_docs).join(F.broadcast(total)).filter(F.col("df") / F.col("total") >= least_share).select("term", "df")
+
+
+def without_excluded(rows: DataFrame, col: str, patterns: list[str]) -> DataFrame:
+    """Rows whose value matches none of the patterns of what may not be shown; a null value stays."""
+    return rows.filter(~F.coalesce(F.col(col).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)))

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from evidentia.functions.text import value_type
 
 
+# Words that no statement to be sent may hold; TRUNCATE is one only before what it truncates.
+WRITING = r"(?i)\b(?:delete|update|insert|drop|merge|create|alter|grant|revoke|exec|execute|call|begin)\b|\btruncate\s+(?:table|cluster)\b"
+
+
 def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, content) of all files under a root, as whole texts; any storage that Spark reads."""
     rows = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -42,6 +46,25 @@ def mapper_files(files: DataFrame) -> DataFrame:
     return files.filter(F.col("content").rlike(r"<mapper\s+namespace\s*=") & ~F.col("path").rlike(r"(?:^|/)[^/]*-bak/"))
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8 if they are that, else GBK, else UTF-8 with replacement marks. A lookup of each text's bytes
+    in Arrow batches, as no built-in tells bad bytes from good ones for both encodings."""
+
+    @F.pandas_udf("string")
+    def read(rows: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> str | None:
+            for encoding in ("utf-8", "gbk"):
+                try:
+                    return data.decode(encoding)
+                except UnicodeDecodeError:
+                    continue
+            return data.decode("utf-8", "replace")
+
+        return rows.map(lambda x: None if x is None else one(bytes(x)))
+
+    return read(content)
+
+
 def properties_items(files: DataFrame) -> DataFrame:
     """(path, key_path, value, value_type) of .properties files: comments, continued lines, first of = and :."""
     joined = F.regexp_replace("content", r"\\\r?\n[ \t]*", "")
@@ -136,16 +159,26 @@ def readonly(sql: Column) -> Column:
     """Whether a statement may be sent: one statement, SELECT or WITH, no keyword that changes anything."""
     bare = F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
     one = ~F.regexp_replace(F.btrim(bare), r";+\s*$", "").contains(";")
-    return one & bare.rlike(r"(?i)^\s*(select|with)\b") & ~bare.rlike(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|execute|call)\b")
+    return one & bare.rlike(r"(?i)^\s*(select|with)\b") & ~bare.rlike(WRITING)
+
+
+def refused_instance(name: Column, allowed: list[str]) -> Column:
+    """Why an instance may not be queried: a word of production in its name, or not on the list; null if it may."""
+    return F.when(F.upper(name).rlike("PROD|PRD|LIVE|MASTER|RELEASE"), "production").when(~F.upper(name).isin(*[a.upper() for a in allowed]), "not allowed")
+
+
+def capped(rows: DataFrame, cap: int) -> DataFrame:
+    """At most cap rows, each with `truncated`: whether there are more. One row beyond the cap is read, no more."""
+    probe = rows.limit(cap + 1)
+    return probe.limit(cap).crossJoin(F.broadcast(probe.agg((F.count("*") > cap).alias("truncated"))))
 
 
-def bounded_query(spark: SparkSession, url: str, sql: str, cap: int = 1000, **options: str) -> DataFrame:
-    """A read-only query over JDBC, at most cap rows; one more is asked for so that a cut can be told."""
-    if not spark.range(1).select(readonly(F.lit(sql))).first()[0]:
-        raise ValueError("only one SELECT or WITH statement is allowed")
-    if re.search(r"(?i)prod|prd|live|master|release", url):
-        raise ValueError("this connection looks like a production one")
-    return spark.read.format("jdbc").options(url=url, query=sql, **options).load().limit(cap + 1)
+def bounded_query(spark: SparkSession, url: str, sql: str, allowed: list[str], cap: int = 1000, **options: str) -> DataFrame:
+    """A read-only query over JDBC on an allowed instance (its url): at most cap rows, with `truncated`."""
+    why = spark.range(1).select(F.when(~readonly(F.lit(sql)), "only one SELECT or WITH statement is allowed").otherwise(refused_instance(F.lit(url), allowed))).first()[0]
+    if why:
+        raise ValueError(f"refused: {why}")
+    return capped(spark.read.format("jdbc").options(url=url, query=sql, **options).load(), cap)
 
 
 def case_markdown(cases: DataFrame) -> DataFrame:

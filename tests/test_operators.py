@@ -204,9 +204,9 @@ def test_files(spark, tmp_path):
 
 def test_a_changing_statement_is_refused(spark):
     with pytest.raises(ValueError, match="SELECT"):
-        files.bounded_query(spark, "jdbc:x", "delete from t")
+        files.bounded_query(spark, "jdbc:x", "delete from t", ["jdbc:x"])
     with pytest.raises(ValueError, match="production"):
-        files.bounded_query(spark, "jdbc:x//PROD1/db", "select 1")
+        files.bounded_query(spark, "jdbc:x//PROD1/db", "select 1", ["jdbc:x//PROD1/db"])
 
 
 def test_the_rest_imports_without_llm(tmp_path):

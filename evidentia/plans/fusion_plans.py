@@ -255,12 +255,16 @@ SELECT edge_id, CASE WHEN n = 1 THEN one ELSE '' END AS owner, CASE WHEN n = 1 T
 
 
 def case_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations").withColumn("case_id", F.substring(F.sha2(text.folded_text(F.substring("text", 1, 3)), 256), 1, 16)).withColumn("day", F.col("turn") % 30)
+    """A conversation is a confirmation of the case that its first turn's whole text, folded, stands for."""
+    rows = table(spark, sf_dir, "conversations")
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("first")).select("conv_id", F.substring(F.sha2(text.folded_text(F.col("first.text")), 256), 1, 16).alias("case_id"))
+    talk = rows.join(first, "conv_id").withColumn("day", F.col("turn") % 30)
     return cases.merged(talk, "case_id", "role", "role", "day")
 
 
 CASE_MERGE = """
-WITH c AS (SELECT substr(sha256(lower(trim(regexp_replace(substr(text, 1, 3), '\\s+', ' ', 'g')))), 1, 16) AS case_id, role, turn % 30 AS day FROM conversations),
+WITH f AS (SELECT conv_id, substr(sha256(lower(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')))), 1, 16) AS case_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) WHERE n = 1),
+c AS (SELECT case_id, role, turn % 30 AS day FROM conversations JOIN f USING (conv_id)),
 k AS (SELECT case_id, role, count(*) AS n, max(day) AS day FROM c GROUP BY case_id, role)
 SELECT case_id, sum(n)::BIGINT AS confirmations, string_agg(role || ':' || n, ',' ORDER BY role || ':' || n) AS by_kind, string_agg(role, ',' ORDER BY role) AS roles, max(day) AS last_day FROM k GROUP BY case_id
 """

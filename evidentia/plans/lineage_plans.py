@@ -40,8 +40,9 @@ def calls_2hop_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CALLS_2HOP_CALLEES = f"""
 WITH {CALL_EDGES}, r(root) AS (VALUES ('p1'), ('p2'), ('s3')),
-h1 AS (SELECT root, 1 AS hop, caller, callee FROM r JOIN e ON e.caller = root),
-h2 AS (SELECT root, 2 AS hop, e.caller, e.callee FROM (SELECT DISTINCT root, callee AS node FROM h1 WHERE callee <> root) f JOIN e ON e.caller = f.node)
+c AS MATERIALIZED (SELECT caller, callee FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY row_id) AS place FROM e) WHERE place <= 200),
+h1 AS MATERIALIZED (SELECT root, 1 AS hop, caller, callee FROM r JOIN c ON c.caller = root),
+h2 AS (SELECT root, 2 AS hop, c.caller, c.callee FROM (SELECT DISTINCT root, callee AS node FROM h1 WHERE callee <> root) f JOIN c ON c.caller = f.node)
 SELECT * FROM h1 UNION ALL SELECT * FROM h2
 """
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import mask, text
-from evidentia.operators import fusion, search
+from evidentia.operators import fusion, requirements, search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,7 +202,7 @@ SELECT conv_id, turn, length(trim(text)) < 60 AND length(regexp_replace(text, '[
 
 
 def leakage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(~F.col("source").rlike("^src(1|7|1[0-9])$")).groupBy("source").agg(F.count("*").alias("n"))
+    return search.without_excluded(table(spark, sf_dir, "documents"), "source", ["^src(1|7|1[0-9])$"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 LEAKAGE_GATE = "SELECT source, count(*) AS n FROM documents WHERE NOT regexp_matches(source, '^src(1|7|1[0-9])$') GROUP BY source"
@@ -219,12 +219,12 @@ SQL_TEMPLATE_SEARCH = "SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 200
 def grounding_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate terms that the text really holds but for case and blanks, and their share."""
     docs = table(spark, sf_dir, "documents")
-    candidates = ["license", "version", "the of", "public license"]
-    flat = F.lower(F.regexp_replace("text", r"\s+", ""))
-    held = [F.contains(flat, F.lit(c.replace(" ", ""))) for c in candidates]
-    kept = F.array_join(F.filter(F.array(*[F.when(h, F.lit(c)) for c, h in zip(candidates, held, strict=True)]), lambda x: x.isNotNull()), ",")
-    share = sum((h.cast("int") for h in held), F.lit(0)) / len(candidates)
-    return docs.select("doc_id", kept.alias("grounded"), share.cast("double").alias("coverage"))
+    terms = ["license", "version", "the of", "public license"]
+    named = docs.select("doc_id", "text", F.posexplode(F.array(*map(F.lit, terms))).alias("at", "term"))
+    kept = requirements.grounded(named, "text", "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("kept"))
+    found = docs.select("doc_id").join(kept, "doc_id", "left")
+    grounded = F.coalesce(F.array_join(F.transform("kept", lambda x: x["term"]), ","), F.lit(""))
+    return found.select("doc_id", grounded.alias("grounded"), (F.coalesce(F.size("kept"), F.lit(0)) / len(terms)).cast("double").alias("coverage"))
 
 
 GROUNDING_FILTER = r"""
@@ -273,6 +273,15 @@ def hmac_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", mask.fingerprint(F.col("c_name"), b"salt").alias("fingerprint"))
 
 
+def _padded(salt: bytes, by: int) -> str:
+    """The key block of HMAC for DuckDB."""
+    return "from_hex('" + bytes(x ^ by for x in salt.ljust(64, bytes(1))).hex() + "')"
+
+
+HMAC_FINGERPRINT = f"""
+SELECT c_custkey, sha256({_padded(b"salt", 0x5C)} || from_hex(sha256({_padded(b"salt", 0x36)} || encode(c_name)))) AS fingerprint FROM customer
+"""
+
 QUERIES = {
     "symbol_search": symbol_search, "enclosing_scope": enclosing_scope, "source_search_capped": source_search_capped, "passage_windows": passage_windows, "rag_topk": rag_topk,
     "rrf_fusion": rrf_fusion, "vector_topk": vector_topk, "stop_keyword_candidates": stop_keyword_candidates, "keyword_extract": keyword_extract, "language_ratio": language_ratio,
@@ -283,5 +292,5 @@ ORACLE_SQL = {
     "symbol_search": SYMBOL_SEARCH, "enclosing_scope": ENCLOSING_SCOPE, "source_search_capped": SOURCE_SEARCH_CAPPED, "passage_windows": PASSAGE_WINDOWS, "rag_topk": RAG_TOPK,
     "rrf_fusion": RRF_FUSION, "vector_topk": VECTOR_TOPK, "stop_keyword_candidates": STOP_KEYWORD_CANDIDATES, "keyword_extract": KEYWORD_EXTRACT, "language_ratio": LANGUAGE_RATIO,
     "prefilter_garbage": PREFILTER_GARBAGE, "leakage_gate": LEAKAGE_GATE, "sql_template_search": SQL_TEMPLATE_SEARCH, "grounding_filter": GROUNDING_FILTER, "pii_gate": PII_GATE,
-    "redact_documents": REDACT_DOCUMENTS, "content_hash_dedupe": CONTENT_HASH_DEDUPE,
+    "redact_documents": REDACT_DOCUMENTS, "content_hash_dedupe": CONTENT_HASH_DEDUPE, "hmac_fingerprint": HMAC_FINGERPRINT,
 }

@@ -1,4 +1,5 @@
-"""Source, requirement and streaming queries on literal inputs, for branches that the test tables do not reach."""
+"""Source, requirement and streaming queries over files and texts that are made from the test tables' columns, and some on
+literal inputs, for branches that the tables do not reach."""
 
 from __future__ import annotations
 
@@ -15,76 +16,101 @@ from evidentia.sources import files
 from evidentia.streaming import watcher
 
 
-def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "path string, content string", [("order/dao/INS.sql", "x"), ("order/Main.java", "y"), ("target/gen/A.java", "z"), ("web/~$tmp.sql", "w"), ("web/q.SQL", "q"), ("doc/readme.md", "r")])
-    return files.scanned(rows, ["sql", "java"], ["target"]).select("path", "language", "module", "category")
+def made(spark: SparkSession, sf_dir: str, path: str, content: str) -> DataFrame:
+    """A file for each part: its path and content are SQL expressions over the part's columns and k, its number."""
+    return table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey")).select(F.expr(path).alias("path"), F.expr(content).alias("content"))
 
 
-SOURCE_SCAN = "SELECT * FROM (VALUES ('order/dao/INS.sql', 'sql', 'order', 'dao_sql'), ('order/Main.java', 'java', 'order', 'other_sql'), ('web/q.SQL', 'sql', 'web', 'other_sql')) t(path, language, module, category)"
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written to the shared folder and read back."""
+    place = f"{scratch(spark)}/sources-{spark.sql('select uuid()').first()[0]}"
+    rows = made(spark, sf_dir, "concat(case k % 4 when 0 then 'dao' when 1 then 'web' when 2 then 'target' else 'doc' end, '/', case k % 3 when 0 then 'sql' when 1 then 'java' else 'md' end)", "concat(p_name, '\n', k)")
+    rows.select(F.col("content").alias("value"), F.split("path", "/")[0].alias("folder"), F.split("path", "/")[1].alias("kind")).write.partitionBy("folder", "kind").text(place)
+    found = files.read_files(spark, place, "*.txt")
+    named = F.concat_ws("/", F.regexp_extract("path", "folder=([a-z]+)", 1), F.concat(F.lit("f."), F.regexp_extract("path", "kind=([a-z]+)", 1)))
+    texts = found.select(named.alias("path"), F.size(F.split(F.rtrim(F.regexp_replace("content", r"\n$", "")), "\n")).alias("lines")).groupBy("path").agg(F.sum("lines").cast("long").alias("lines"))
+    return files.scanned(texts, ["sql", "java"], ["target"]).select("path", "language", "module", "category", "lines")
+
+
+SOURCE_SCAN = """
+WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'dao' WHEN 1 THEN 'web' WHEN 2 THEN 'target' ELSE 'doc' END AS module, CASE p_partkey % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'java' ELSE 'md' END AS language FROM part)
+SELECT module || '/f.' || language AS path, language, module, CASE WHEN module = 'dao' AND language = 'sql' THEN 'dao_sql' ELSE 'other_sql' END AS category, 2 * count(*) AS lines FROM f WHERE module <> 'target' AND language <> 'md' GROUP BY module, language
+"""
 
 
 def properties_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.properties_items(values(spark, "path string, content string", [("a.properties", "# note\n! note\na.b = 1\nlong.key: one \\\n   two\nflag=true\nplain\n")])).select("key_path", "value", "value_type")
+    return files.properties_items(made(spark, sf_dir, "concat(k, '.properties')", r"concat('# note\n! note = 1\na.size = ', p_size, '\nlong.key: ', p_name, ' \\\n   and more\nflag=', k % 2 = 0, '\nplain\n')"))
 
 
-PROPERTIES_ITEMS = "SELECT * FROM (VALUES ('a.b', '1', 'int'), ('long.key', 'one two', 'string'), ('flag', 'true', 'bool')) t(key_path, value, value_type)"
+PROPERTIES_ITEMS = """
+SELECT p_partkey || '.properties' AS path, unnest(['a.size', 'long.key', 'flag']) AS key_path, unnest([p_size::VARCHAR, p_name || ' and more', CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END]) AS value, unnest(['int', 'string', 'bool']) AS value_type FROM part
+"""
 
 
 def tree_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a.yml", "a:\n  b: [1, x]\n  c: true\n"), ("b.json", '{"k": {"l": 2.5}, "n": null}'), ("bad.yml", "a: [1")]
-    return files.tree_items(values(spark, "path string, content string", rows))
+    yaml_text = r"concat('a:\n  b: [', p_size, ', x', k, ']\n  c: true\n')"
+    json_text = """concat('{"k": {"l": ', p_size, '.5}, "n": null, "name": "', p_name, '"}')"""
+    return files.tree_items(made(spark, sf_dir, "concat(k, case k % 3 when 0 then '.yml' when 1 then '.json' else '-bad.yml' end)", f"case k % 3 when 0 then {yaml_text} when 1 then {json_text} else 'a: [1' end"))
 
 
-TREE_ITEMS = "SELECT * FROM (VALUES ('a.yml', 'a.b[0]', '1', 'int'), ('a.yml', 'a.b[1]', 'x', 'string'), ('a.yml', 'a.c', 'true', 'bool'), ('b.json', 'k.l', '2.5', 'string'), ('b.json', 'n', '', 'string')) t(path, key_path, value, value_type)"
+TREE_ITEMS = """
+SELECT p_partkey || '.yml' AS path, unnest(['a.b[0]', 'a.b[1]', 'a.c']) AS key_path, unnest([p_size::VARCHAR, 'x' || p_partkey, 'true']) AS value, unnest(['int', 'string', 'bool']) AS value_type FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey || '.json', unnest(['k.l', 'n', 'name']), unnest([p_size || '.5', '', p_name]), 'string' FROM part WHERE p_partkey % 3 = 1
+"""
 
 
 def spring_beans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = '<beans><bean id="ds" class="x.Ds"><property name="url" value="jdbc:a"/><property name="n" value="3"/></bean><bean id="e" class="x.E"/></beans>'
-    return files.spring_beans(values(spark, "path string, content string", [("s.xml", xml)])).select("bean", "class", F.coalesce("property", F.lit("")).alias("property"), F.coalesce("value", F.lit("")).alias("value"))
+    xml = """concat('<beans><bean id="b', k, '" class="x.', p_type, '"><property name="size" value="', p_size, '"/><property name="n" value="', p_name, '"/></bean><bean id="e', k, '" class="x.E"/></beans>')"""
+    return files.spring_beans(made(spark, sf_dir, "concat(k, '.xml')", xml)).select("bean", "class", F.coalesce("property", F.lit("")).alias("property"), F.coalesce("value", F.lit("")).alias("value"))
 
 
-SPRING_BEANS = """SELECT * FROM (VALUES ('ds', 'x.Ds', 'url', 'jdbc:a'), ('ds', 'x.Ds', 'n', '3'), ('e', 'x.E', '', '')) t(bean, "class", property, value)"""
+SPRING_BEANS = """
+SELECT 'b' || p_partkey AS bean, 'x.' || p_type AS "class", unnest(['size', 'n']) AS property, unnest([p_size::VARCHAR, p_name]) AS value FROM part UNION ALL SELECT 'e' || p_partkey, 'x.E', '', '' FROM part
+"""
 
 
 def mapper_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = '<mapper namespace="m.User"><select id="one" resultType="u">SELECT * FROM users <where>id = #{id}</where></select><update id="up">UPDATE users SET n = 1</update></mapper>'
-    rows = values(spark, "path string, content string", [("m/User.xml", xml), ("m-bak/User.xml", xml), ("x/other.xml", "<beans/>")])
+    xml = """concat('<mapper namespace="m.P', k, '"><select id="one" resultType="u">SELECT * FROM t_', p_size, ' <where>id = #{id}</where></select><update id="up">UPDATE t_', p_size, '\n SET n = 1</update></mapper>')"""
+    rows = made(spark, sf_dir, "concat(case when k % 4 = 0 then 'm-bak/' else 'm/' end, k, '.xml')", f"case when k % 5 = 0 then '<beans/>' else {xml} end")
     return files.mapper_statements(files.mapper_files(rows)).select("statement", "verb", "sql")
 
 
-MAPPER_STATEMENTS = "SELECT * FROM (VALUES ('m.User.one', 'select', 'SELECT * FROM users id = #{id}'), ('m.User.up', 'update', 'UPDATE users SET n = 1')) t(statement, verb, sql)"
+MAPPER_STATEMENTS = """
+SELECT 'm.P' || p_partkey || unnest(['.one', '.up']) AS statement, unnest(['select', 'update']) AS verb, unnest(['SELECT * FROM t_' || p_size || ' id = #{id}', 'UPDATE t_' || p_size || ' SET n = 1']) AS sql FROM part WHERE p_partkey % 4 > 0 AND p_partkey % 5 > 0
+"""
 
 
 def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ddl = "CREATE TABLE own.a (\n id NUMBER(10,2),\n name VARCHAR2(20) not null,\n PRIMARY KEY (id)\n);\ncreate table b (x date);"
-    return files.ddl_columns(values(spark, "path string, content string", [("d.sql", ddl)])).select("table", "column", "type")
+    ddl = r"concat('CREATE TABLE own.a', k, ' (\n id NUMBER(10,2),\n name VARCHAR2(', p_size, ') not null,\n PRIMARY KEY (id)\n);\ncreate table b', k, ' (x date);')"
+    return files.ddl_columns(made(spark, sf_dir, "concat(k, '.sql')", ddl)).select("table", "column", "type")
 
 
-DDL_COLUMNS = """SELECT * FROM (VALUES ('A', 'ID', 'NUMBER(10,2)'), ('A', 'NAME', 'VARCHAR2(20)'), ('B', 'X', 'DATE')) t("table", "column", type)"""
+DDL_COLUMNS = """SELECT unnest(['A' || p_partkey, 'A' || p_partkey, 'B' || p_partkey]) AS "table", unnest(['ID', 'NAME', 'X']) AS "column", unnest(['NUMBER(10,2)', 'VARCHAR2(' || p_size || ')', 'DATE']) AS type FROM part"""
 
 
 def tns_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tns = "DB1 =\n (DESCRIPTION = (ADDRESS = (PROTOCOL = TCP)(HOST = Host1)(PORT = 1521)) (CONNECT_DATA = (SERVICE_NAME = Svc1)))\nDB2=(DESCRIPTION=(ADDRESS=(HOST=h2)(PORT=1522))(CONNECT_DATA=(SID=Sid2)))\n"
-    return files.tns_aliases(values(spark, "path string, content string", [("tnsnames.ora", tns)]))
+    tns = r"concat('Db', k, ' =\n (DESCRIPTION = (ADDRESS = (PROTOCOL = TCP)(HOST = Host', p_size, ')(PORT = ', 1500 + k % 50, ')) (CONNECT_DATA = (', case when k % 2 = 0 then 'SERVICE_NAME' else 'SID' end, ' = Svc', k, ')))\n')"
+    return files.tns_aliases(made(spark, sf_dir, "'tnsnames.ora'", tns)).withColumn("easy", files.easy_connect(F.concat("host", F.lit(":"), "port", F.lit("/"), "service"))["port"])
 
 
-TNS_ALIASES = "SELECT * FROM (VALUES ('DB1', 'host1', 1521, 'svc1'), ('DB2', 'h2', 1522, 'sid2')) t(alias, host, port, service)"
+TNS_ALIASES = "SELECT 'DB' || p_partkey AS alias, 'host' || p_size AS host, (1500 + p_partkey % 50)::INTEGER AS port, 'svc' || p_partkey AS service, (1500 + p_partkey % 50)::INTEGER AS easy FROM part"
 
 
 def jsonl_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "methodFqn string, sourceFile string, startLine int, endLine int", [("a.B#c()", "B.java", 3, 9), ("", "B.java", 1, 1), ("a.B#d()", "B.java", 0, 4), ("a.B#c()", "B.java", 3, 9)])
+    rows = table(spark, sf_dir, "part").selectExpr("case when p_partkey % 7 = 0 then '' else concat('a.B', p_size, '#m', p_partkey % 3, '()') end methodFqn", "concat('B', p_size, '.java') sourceFile", "p_size - 1 startLine", "p_size + 4 endLine")
     return files.jsonl_methods(rows)
 
 
-JSONL_METHODS = "SELECT * FROM (VALUES ('a.B.c()', 'B.java', 2, 8), ('a.B.d()', 'B.java', 0, 3)) t(method_fqn, source_file, start_line, end_line)"
+JSONL_METHODS = "SELECT DISTINCT 'a.B' || p_size || '.m' || (p_partkey % 3) || '()' AS method_fqn, 'B' || p_size || '.java' AS source_file, greatest(p_size - 2, 0)::INTEGER AS start_line, (p_size + 3)::INTEGER AS end_line FROM part WHERE p_partkey % 7 > 0"
 
 
 def readonly_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "id int, sql string", [(1, "SELECT 1"), (2, "select 1; drop table x"), (3, "/* delete */ WITH a AS (SELECT 1) SELECT * FROM a;"), (4, "DELETE FROM x"), (5, "SELECT * FROM x -- update\n"), (6, "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a")])
-    return rows.select("id", files.readonly(F.col("sql")).alias("allowed"))
+    forms = ["SELECT * FROM t{k}", "select {k}; drop table x", "/* delete */ WITH a AS (SELECT {k}) SELECT * FROM a;", "DELETE FROM t{k}", "SELECT {k} FROM x -- update\n", "WITH a AS (SELECT {k}) INSERT INTO t SELECT * FROM a", "WITH x AS (SELECT {k}) EXEC p", "SELECT LISTAGG(n{k}, ',' ON OVERFLOW TRUNCATE) FROM t", "WITH x AS (SELECT {k}) TRUNCATE  TABLE t", "SELECT begin_date_{k} FROM t", "SELECT 1 FROM t{k} BEGIN"]
+    sql = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{k}"), F.col("p_partkey").cast("string")) for x in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", files.readonly(sql).alias("allowed"))
 
 
-READONLY_GATE = "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE), (5, TRUE), (6, FALSE)) t(id, allowed)"
+READONLY_GATE = "SELECT p_partkey, p_partkey % 11 IN (0, 2, 4, 7, 9) AS allowed FROM part"
 
 
 def email_body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,34 +146,49 @@ SELECT * FROM (VALUES (0, '', 2), (1, '1. first', 2), (2, '1. first > B: sub b',
 
 
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "id int, text string", [(1, "password=secret123 x=1"), (2, 's="pin=9999" y'), (3, "primary_key=abc"), (4, "plain words")])
-    return rows.select("id", mask.sanitized_text(F.col("text")).alias("clean"))
+    body = F.format_string("password=secret%04d x=%d s=\"pin=%04d\" t='a.pwd: \"q%05d\"' primary_key=%d url=u?v=token=abc%03d;z secret_key=1", "c_custkey", "c_nationkey", F.col("c_custkey") % 1000, "c_custkey", "c_custkey", F.col("c_custkey") % 1000)
+    return table(spark, sf_dir, "customer").select("c_custkey", mask.sanitized_text(body).alias("clean"))
 
 
-SANITIZE_TEXT = """SELECT * FROM (VALUES (1, 'password=****t123 x=1'), (2, 's="pin=****" y'), (3, 'primary_key=abc'), (4, 'plain words')) t(id, clean)"""
+SANITIZE_TEXT = r"""
+SELECT c_custkey, 'password=****' || right(printf('%04d', c_custkey), 4) || ' x=' || c_nationkey || ' s="pin=****" t=''a.pwd=****' || right(printf('%05d', c_custkey), 4) || chr(39) || ' primary_key=' || c_custkey || ' url=u?v=token=****' || right(printf('abc%03d', c_custkey % 1000), 4) || ';z secret_key=****' AS clean FROM customer
+"""
 
 
 def redact_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "id int, text string", [(1, "use scott/tiger@db1 now"), (2, "http://u:p@host/x"), (3, "jdbc:oracle:thin:@host:1521"), (4, "key sk-abcdefgh1234 end"), (5, "pwd=abc;x")])
-    return rows.select("id", mask.redacted(F.col("text")).alias("clean"))
+    body = F.format_string("use scott/tiger%d@db1 http://u:p%d@host/x jdbc:oracle:thin:@host:1521 key sk-proj-abcd%06d, gho_%022d pwd = abc%d;x", "c_custkey", "c_custkey", "c_custkey", "c_custkey", "c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", mask.redacted(body).alias("clean"), mask.is_sensitive_value(F.when(F.col("c_custkey") % 2 == 0, body).otherwise("jdbc:oracle:thin:@host")).alias("sensitive"))
 
 
-REDACT_CONNECTIONS = "SELECT * FROM (VALUES (1, 'use ****@db1 now'), (2, 'http://****@host/x'), (3, 'jdbc:oracle:thin:@host:1521'), (4, 'key **** end'), (5, 'pwd=****;x')) t(id, clean)"
+REDACT_CONNECTIONS = r"""
+SELECT c_custkey, 'use ****@db1 http://****@host/x jdbc:oracle:thin:@host:1521 key ****' || right(printf('%06d', c_custkey), 4) || ', ****' || right(printf('%06d', c_custkey), 4) || ' pwd =****;x' AS clean, c_custkey % 2 = 0 AS sensitive FROM customer
+"""
 
 
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "id int, key string, url string, body string", [(1, "${a.b:1}", "jdbc:oracle:thin:@H:1521/S", "ab\ncdefgh"), (2, "'x'", "jdbc:mysql://h/db?x=1", "short")])
-    return rows.select("id", text.normalised_key(F.col("key")).alias("key"), text.datasource_key(F.col("url")).alias("datasource"), text.bounded_summary(F.col("body"), 5).alias("summary"))
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey id", "case when c_custkey % 2 = 0 then concat('${a.b', c_custkey, ':1}') else concat(char(39), 'x', c_custkey, char(39)) end key", "case when c_custkey % 2 = 0 then concat('jdbc:oracle:thin:@H', c_custkey, ':1521/S') else concat('jdbc:mysql://h/db', c_custkey, '?x=1') end url", "concat(c_name, '\n', c_mktsegment, '\n', c_name) body")
+    return rows.select("id", text.normalised_key(F.col("key")).alias("key"), text.datasource_key(F.col("url")).alias("datasource"), text.bounded_summary(F.col("body"), 32).alias("summary"))
+
+
+TEXT_RULES = """
+WITH c AS (SELECT *, c_name || chr(10) || c_mktsegment || chr(10) || c_name AS body FROM customer)
+SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a.b' || c_custkey ELSE 'x' || c_custkey END AS key, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey || ':1521/s' ELSE 'h/db' || c_custkey END AS datasource,
+  CASE WHEN length(body) <= 32 THEN body WHEN length(c_name || c_mktsegment) + 2 <= 32 THEN c_name || chr(10) || c_mktsegment ELSE c_name END AS summary FROM c
+"""
 
 
-TEXT_RULES = "SELECT * FROM (VALUES (1, 'a.b', 'h:1521/s', 'ab'), (2, 'x', 'h/db', 'short')) t(id, key, datasource, summary)"
+def scratch(spark: SparkSession) -> str:
+    """The shared folder; one of our own on a single machine (tests) where it is not set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"file://{tempfile.mkdtemp(prefix='evidentia-plans-')}"
 
 
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream once, debounced, into a table; what the watermark has not passed is not put out."""
     source = table(spark, sf_dir, "events")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='evidentia-stream-')}"
-    place = f"{folder}/stream-{spark.sql('select uuid()').first()[0]}"
+    place = f"{scratch(spark)}/stream-{spark.sql('select uuid()').first()[0]}"
     out, state = f"{place}/out", f"{place}/state"
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     bursts = watcher.debounced(stream.withColumn("ts", F.col("ts").cast("timestamp")), "2 hours", "user_id", late="1 hour")
@@ -179,11 +220,11 @@ SELECT count(*) AS n, round(0.3::DOUBLE * least(1.0::DOUBLE, count(*) / 4000.0::
 
 def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases written as markdown and read back."""
-    rows = values(spark, "case_id string, signature string, root_cause string", [("c1", "slow", "index"), ("c2", 'quote " here', "x\ny")])
+    rows = table(spark, sf_dir, "conversations").selectExpr("concat_ws('-', conv_id, turn) case_id", "concat('\"', role, '\" said') signature", "text root_cause")
     return files.cases_from_markdown(files.case_markdown(rows).select(F.col("markdown").alias("content")), "case_id string, signature string, root_cause string")
 
 
-CASE_FILES = "SELECT * FROM (VALUES ('c1', 'slow', 'index'), ('c2', 'quote \" here', 'x' || chr(10) || 'y')) t(case_id, signature, root_cause)"
+CASE_FILES = """SELECT conv_id || '-' || turn AS case_id, '"' || role || '" said' AS signature, text AS root_cause FROM conversations"""
 
 
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

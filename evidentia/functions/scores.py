@@ -104,7 +104,7 @@ def config_table_fusion(a: Column, b: Column, c: Column, d: Column) -> tuple[Col
     """(score, verdict) from four signal paths: high from 0.6 with two paths, for review from 0.3."""
     score = F.round(0.4 * b + 0.3 * c + 0.2 * d + 0.1 * a, 4)
     paths = sum((F.when(x > 0, 1).otherwise(0) for x in (a, b, c, d)), F.lit(0))
-    return score, F.when((score >= 0.6) & (paths >= 2), "high").when(score >= 0.3, "needs_review").otherwise("rejected")
+    return score, F.when((score >= 0.6) & (paths >= 2), "high").when(score >= 0.3, "needs_review").otherwise("skip")
 
 
 def requirement_confidence(scope: Column, grounding: Column, forced: Column) -> tuple[Column, Column]:

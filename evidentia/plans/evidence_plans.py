@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import mask, text
-from evidentia.operators import evidence, requirements, search
+from evidentia.functions import mask, scores, text
+from evidentia.operators import builds, config, evidence, requirements, search
 from evidentia.plans.search_plans import table
+from evidentia.plans.source_plans import scratch
 from evidentia.sources import files
 
 
@@ -99,6 +100,23 @@ def config_path_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIG_PATH_SIGNALS = f"WITH {DESCRIBED} SELECT name AS \"table\", hit AS rule_columns_hit, (k % 7 = 0 OR hit >= 2)::INT::DOUBLE AS a, told::INT::DOUBLE AS b, (k % 5 = 0)::INT::DOUBLE AS c, (k % 5 = 1)::INT::DOUBLE AS d FROM d"
 
 
+def config_table_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by how much speaks for their holding configuration; people's decisions come last."""
+    tables = _described(spark, sf_dir)
+    lines = tables.filter("k % 5 < 2").select(F.when(F.col("k") % 5 == 0, "business_docs").otherwise("customer_dict").alias("corpus"), F.concat(F.lit("see "), F.lower("table"), F.lit(" for 配置 x")).alias("line"))
+    signals = evidence.path_signals(tables, lines, ["cfg"], ["RULE_TYPE", "cond_expr"], ["配置"], ["configuration"])
+    score, verdict = scores.config_table_fusion(*(F.col(c) for c in "abcd"))
+    decisions = tables.filter("k % 11 = 0").select(F.col("table").alias("name"), F.when(F.col("k") % 2 == 0, "confirm").otherwise("reject").alias("decision"))
+    return config.confirmed(signals.select(F.col("table").alias("name"), score.alias("score"), verdict.alias("verdict")), decisions)
+
+
+CONFIG_TABLE_IDENTIFY = f"""
+WITH {DESCRIBED}, s AS (SELECT k, name, (k % 7 = 0 OR hit >= 2)::INT AS a, told::INT AS b, (k % 5 = 0)::INT AS c, (k % 5 = 1)::INT AS d FROM d),
+f AS (SELECT *, round(0.4 * b + 0.3 * c + 0.2 * d + 0.1 * a, 4)::DOUBLE AS score, a + b + c + d AS paths FROM s)
+SELECT name, score, CASE WHEN k % 11 = 0 THEN 'confirmed' WHEN score >= 0.6 AND paths >= 2 THEN 'high' WHEN score >= 0.3 THEN 'needs_review' ELSE 'skip' END AS verdict FROM f WHERE NOT (k % 11 = 0 AND k % 2 = 1)
+"""
+
+
 def rule_set_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.rule_sets(_described(spark, sf_dir), ["RULE_TYPE", "cond_expr"], {"cfg": "config", "t_1": "first"})
 
@@ -298,9 +316,94 @@ def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXCLUDED_PATHS = "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/[0-9]*[02468]$') AND NOT starts_with(url, 'ftp:')"
 
+
+def projection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8 > 0).alias("resolved"))
+    tables = {"calls": calls, "regions": table(spark, sf_dir, "region"), "none": table(spark, sf_dir, "nation").filter("n_nationkey < 0")}
+    full, soft, hard = (builds.build_verdict(tables, calls, ["calls"] + h, ["regions"] + s) for h, s in (([], []), ([], ["none"]), (["none"], [])))
+    of = lambda name, df: df.select(F.lit(name).alias("build"), "verdict", F.round("unresolved", 9).alias("unresolved"))
+    return of("full", full).unionByName(of("soft", soft)).unionByName(of("hard", hard))
+
+
+PROJECTION_GATE = """
+WITH r AS (SELECT avg(CASE WHEN o_orderkey % 8 > 0 THEN 0.0 ELSE 1.0 END) AS u FROM orders)
+SELECT build, CASE build WHEN 'hard' THEN 'keep_old' WHEN 'soft' THEN 'degraded' ELSE CASE WHEN u > 0.15 THEN 'degraded' ELSE 'ok' END END AS verdict, round(u, 9) AS unresolved FROM r, (VALUES ('full'), ('soft'), ('hard')) t(build)
+"""
+
+
+def dimension_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four dimensions, of which one fails and one is empty; a second builder finds the lock taken."""
+    lock = f"{scratch(spark)}/build-{spark.sql('select uuid()').first()[0]}.lock"
+    with builds.single_flight(spark, lock) as first, builds.single_flight(spark, lock) as second:
+        steps = {"code": lambda: table(spark, sf_dir, "part"), "database": lambda: table(spark, sf_dir, "orders").filter("o_orderkey < 0"), "config": lambda: table(spark, sf_dir, "no_such_table"), "corpus": lambda: table(spark, sf_dir, "documents")}
+        return builds.initialised(spark, steps).withColumns({"first": F.lit(first), "second": F.lit(second)})
+
+
+DIMENSION_BUILD = """
+SELECT *, 'degraded' AS verdict, TRUE AS first, FALSE AS second FROM (
+  SELECT 'code' AS dimension, 'ok' AS status, count(*) AS n, '' AS detail FROM part UNION ALL SELECT 'corpus', 'ok', count(*), '' FROM documents
+  UNION ALL VALUES ('database', 'degraded', 0, 'no rows'), ('config', 'failed', 0, 'AnalysisException'))
+"""
+
+
+def run_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates written as JSON and read back."""
+    path = f"{scratch(spark)}/run-{spark.sql('select uuid()').first()[0]}"
+    signals = F.create_map(F.lit("value_raw"), F.col("p_name"), F.lit("relation_type"), F.col("p_type"))
+    builds.run_artifact(_parts(spark, sf_dir).select("k", signals.alias("signals")), path)
+    return spark.read.schema("k long, signals map<string,string>").json(path).select("k", F.col("signals")["value_raw"].alias("value_raw"), F.col("signals")["relation_type"].alias("relation_type"))
+
+
+RUN_ARTIFACT = "SELECT p_partkey AS k, '[redacted]' AS value_raw, p_type AS relation_type FROM part"
+
+
+def requirement_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir).withColumnRenamed("k", "requirement_id")
+    texts = parts.select("requirement_id", F.when(F.col("requirement_id") % 10 == 9, "  ").otherwise(F.concat(F.lit("Please change MAX_SIZE of the "), "p_name", F.lit(" for Order Service now"))).alias("raw_text"))
+    votes = parts.select("requirement_id", F.explode(F.array(F.lit("yes"), F.when(F.col("requirement_id") % 4 == 0, "no").otherwise("yes"), F.when(F.col("requirement_id") % 6 == 0, "no").otherwise("unsure"))).alias("vote")).filter("requirement_id % 7 <> 0")
+    candidate = lambda kind, term, source, span: F.struct(F.lit(kind).alias("kind"), F.lit(term).alias("term"), F.lit(source).alias("source"), span.alias("source_span"))
+    listed = F.array(candidate("code", "madeUp", "llm", F.lit("not there")), candidate("table", "T", "llm", F.concat(F.upper("p_name"), F.lit(" FOR"))), candidate("code", "OrderService", "regex", F.lit("")))
+    candidates = parts.select("requirement_id", F.explode(listed).alias("c")).select("requirement_id", "c.*").filter("requirement_id % 3 <> 0 or term <> 'madeUp'")
+    found = builds.breakdown(texts, votes, candidates, ["change"])
+    return found.withColumn("code_names", F.array_join("code_names", ","))
+
+
+REQUIREMENT_BREAKDOWN = f"""
+WITH {PARTS}, v AS (
+  SELECT k, k % 10 = 9 AS blank, k % 7 = 0 AS unasked, 1 + (k % 4 > 0)::INT AS yes, (k % 4 = 0)::INT + (k % 6 = 0)::INT AS no, CASE WHEN k % 3 = 0 THEN 1.0 ELSE 2.0 / 3 END::DOUBLE AS g FROM p),
+c AS (SELECT *, CASE WHEN unasked THEN 0.0 ELSE yes::DOUBLE / (yes + no) END AS scope FROM v),
+a AS (SELECT *, CASE WHEN blank THEN 'rejected' WHEN unasked THEN 'degraded' WHEN scope < 0.5 THEN 'rejected' WHEN scope * g < 0.8 THEN 'degraded' ELSE 'accepted' END AS assessment FROM c)
+SELECT k AS requirement_id, assessment, CASE WHEN blank THEN 0.0 ELSE round(scope * g, 6) END AS confidence, CASE WHEN blank THEN 0 WHEN k % 3 = 0 THEN 2 ELSE 3 END AS n_candidates, CASE WHEN blank THEN 0 ELSE 2 END AS n_grounded,
+  CASE WHEN assessment = 'rejected' THEN '' ELSE 'MAX_SIZE,OrderService' END AS code_names FROM a
+"""
+
+
+def config_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of what the configuration dimension's build makes."""
+    rows = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    items = rows.select((F.col("k") % 3).alias("source_id"), F.concat(F.when(F.col("k") % 5 == 0, "db.password.").otherwise("app.size."), F.col("k") % 40).alias("key_path"), F.col("c_name").alias("value"), F.col("k").alias("order"))
+    references = rows.select(F.concat(F.lit("app.size."), F.col("k") % 60, F.when(F.col("k") % 2 == 0, ".deep").otherwise("")).alias("ref_key"), F.concat(F.lit("C"), F.col("k") % 10).alias("class_fqn"))
+    edges = _edges(spark, sf_dir).select("edge_id", "dst_table", F.lit("TABLE").alias("dst_dataset_type"))
+    built = builds.config_dimension(items, references, edges, table(spark, sf_dir, "region").select(F.concat(F.lit("PART_"), "r_regionkey").alias("name")), b"salt")
+    said = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    parts = [said("items", built["items"]), said("masked", built["items"].filter("is_sensitive = 1 and value like '****%' and length(fingerprint) = 64")), said("entities", built["entities"]), said("bindings", built["bindings"]), said("config edges", built["edges"].filter("dst_dataset_type = 'CONFIG'"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+CONFIG_DIMENSION = f"""
+WITH {EDGES}, i AS (SELECT c_custkey % 3 AS source_id, CASE WHEN c_custkey % 5 = 0 THEN 'db.password.' ELSE 'app.size.' END || (c_custkey % 40) AS key_path FROM customer GROUP BY ALL),
+n AS (SELECT DISTINCT key_path FROM i), r AS (SELECT DISTINCT 'app.size.' || (c_custkey % 60) AS up, 'C' || (c_custkey % 10) AS class_fqn, c_custkey % 2 = 0 AS deep FROM customer)
+SELECT 'items' AS what, count(*) AS n FROM i UNION ALL SELECT 'masked', count(*) FROM i WHERE key_path LIKE 'db.%' UNION ALL SELECT 'entities', count(*) FROM n
+UNION ALL SELECT 'bindings', count(*) FROM (SELECT DISTINCT key_path, class_fqn, deep FROM r JOIN n ON up = key_path) UNION ALL SELECT 'config edges', count(*) FROM e WHERE p < (SELECT count(*) FROM region)
+"""
+
 _ALL = (
-    config_references, table_candidates, code_of_tables, owner_backfill, config_path_signals, rule_set_tables, judged_candidates, shown_signals, unresolved_ratio, real_tables, subquery_relations, recovered_statements,
+    config_table_identify, config_references, table_candidates, code_of_tables, owner_backfill, config_path_signals, rule_set_tables, judged_candidates, shown_signals, unresolved_ratio, real_tables, subquery_relations, recovered_statements,
     owner_discovery, sheet_evidence, module_scope, text_summaries, evidence_pointers, prompt_redaction, compatible_terms, decoded_texts, index_row_sets, instance_gate, normalised_tables, vote_samples, excluded_paths,
+    projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -225,16 +225,6 @@ def config_snapshot_small_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIG_SNAPSHOT_SMALL_MASKED = """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"access_token":"****' || right(c_name, 4) || '"}' AS row_json, TRUE AS sensitive FROM customer"""
 
 
-def config_table_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "name string, a double, b double, c double, d double", [("REGION", 1.0, 1.0, 1.0, 0.0), ("PART", 0.0, 0.5, 0.5, 0.0), ("EVENTS", 0.0, 0.0, 0.0, 1.0), ("CFG", 1.0, 1.0, 0.0, 1.0)])
-    score, verdict = scores.config_table_fusion(*(F.col(c) for c in "abcd"))
-    found = rows.select("name", score.alias("score"), verdict.alias("verdict"))
-    return config.confirmed(found, values(spark, "name string, decision string", [("PART", "confirm"), ("CFG", "reject")]))
-
-
-CONFIG_TABLE_IDENTIFY = "SELECT * FROM (VALUES ('REGION', 0.8::DOUBLE, 'high'), ('PART', 0.35::DOUBLE, 'confirmed'), ('EVENTS', 0.2::DOUBLE, 'rejected')) t(name, score, verdict)"
-
-
 def datasource_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), (F.col("s_suppkey") % 40).cast("string")).alias("module"), F.col("s_nationkey").cast("string").alias("ds_user"))
     return config.without_conflicts(pairs, "module", ["ds_user"])
@@ -321,7 +311,7 @@ SELECT conv_id, round(scope * g, 6) AS confidence, CASE WHEN scope < 0.5 THEN 'r
 
 _ALL = (
     impact_map_flagship, confidence_tiers, fold_gate, dimension_quality, vote_summary, config_flatten, config_bind, config_best_binding, config_diff, config_snapshot_big, config_snapshot_small_masked,
-    config_table_identify, datasource_conflicts, owner_resolution, case_merge, synonym_pool, case_recorder, watcher_debounce, requirement_confidence,
+    datasource_conflicts, owner_resolution, case_merge, synonym_pool, case_recorder, watcher_debounce, requirement_confidence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -194,7 +194,14 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     bursts = watcher.debounced(stream.withColumn("ts", F.col("ts").cast("timestamp")), "2 hours", "user_id", late="1 hour")
     query = watcher.on_change(bursts, lambda batch, _: batch.write.mode("append").parquet(out), state)
     query.awaitTermination()
-    return spark.read.schema(bursts.schema).parquet(out)
+    return spark.read.schema(bursts.schema).parquet(out).select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("flushed").alias("flushed_us"), "n_events")
+
+
+STREAM_INCREMENTAL = """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 7200000000 AS flushed_us, count(*) AS n_events FROM s GROUP BY user_id, burst HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+"""
 
 
 def term_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
+from evidentia.operators import lineage
 
 # What refers to a configuration key in Java.
 VALUE_ANNOTATIONS = ("Value",)
@@ -227,3 +228,13 @@ def index_table(rows: DataFrame, kind: str) -> DataFrame:
     """One of ROW_SETS from indexer rows."""
     names, keys = ROW_SETS[kind]
     return indexed_rows(rows, names, keys, ("start_line", "end_line"))
+
+
+def mapper_ingest(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(templates, edges) of mapper statements(path, statement, verb, sql): a template for each with a well-formed name,
+    and the edges between tables that its text tells."""
+    kept = statements.filter(F.col("statement").rlike(text.FQN_FORM))
+    templates = kept.select(F.concat(F.lit("T"), F.upper(F.substring(F.md5(F.concat_ws(":", "path", "statement")), 1, 12))).alias("template_id"), F.col("path").alias("source_file"), F.col("statement").alias("container"), F.col("sql").alias("sql_text"), F.lit("mybatis_mapper").alias("recovery_mode"))
+    pairs = lineage.equal_pairs(templates).unionByName(subquery_relations(templates))
+    named = pairs.join(templates.select("template_id", "source_file", "container"), "template_id")
+    return templates, named.select(lineage.edge_id(F.col("src_table"), F.col("dst_table"), F.col("relation_type")).alias("edge_id"), "src_table", "dst_table", "relation_type", "container", "source_file").distinct()

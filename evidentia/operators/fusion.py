@@ -85,3 +85,10 @@ def votes_in_chunks(candidates: DataFrame, order: list[str], size: int) -> DataF
 
 def overlap_of(query: Column, passage: Column) -> Column:
     return text.overlap(query, passage)
+
+
+def view_counts(rows: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """(by, value, n): rows counted by each label; one that is a list counts each of its entries."""
+    told = F.array(*[F.struct(F.lit(name).alias("by"), (col if name.endswith("s") else F.array(col)).alias("values")) for name, col in labels.items()])
+    spread = rows.select(F.explode(told).alias("x")).select("x.by", F.explode("x.values").alias("value"))
+    return spread.groupBy("by", "value").agg(F.count("*").alias("n"))

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import mask, scores, text
-from evidentia.operators import builds, config, evidence, requirements, search
+from evidentia.operators import builds, config, evidence, fusion, requirements, search
 from evidentia.plans.search_plans import table
-from evidentia.plans.source_plans import scratch
+from evidentia.plans.source_plans import made, scratch
 from evidentia.sources import files
 
 
@@ -400,10 +400,50 @@ SELECT 'items' AS what, count(*) AS n FROM i UNION ALL SELECT 'masked', count(*)
 UNION ALL SELECT 'bindings', count(*) FROM (SELECT DISTINCT key_path, class_fqn, deep FROM r JOIN n ON up = key_path) UNION ALL SELECT 'config edges', count(*) FROM e WHERE p < (SELECT count(*) FROM region)
 """
 
+
+def mapper_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = """concat('<?xml version="1.0"?><mapper namespace="m.P', k, '"><sql id="cols">a.id, <include refid="more" /></sql><sql id="more">b.x', k, '</sql>',
+      '<select id="one">SELECT <include refid="cols"></include> FROM t_', p_size, ' a JOIN u_', k % 5, ' b ON a.id = b.id</select><insert id="put">INSERT INTO w_', k, ' SELECT * FROM t_', p_size, '</insert></mapper>')"""
+    statements = files.mapper_statements(made(spark, sf_dir, "concat(k, '.xml')", xml))
+    templates, edges = evidence.mapper_ingest(statements)
+    said = templates.select(F.lit("template").alias("what"), F.col("container").alias("a"), F.col("sql_text").alias("b"))
+    return said.unionByName(edges.select("relation_type", F.concat_ws(">", "container", "src_table"), "dst_table").toDF("what", "a", "b"))
+
+
+MAPPER_INGEST = f"""
+WITH {PARTS} SELECT 'template' AS what, 'm.P' || k || '.one' AS a, 'SELECT a.id, b.x' || k || ' FROM t_' || size || ' a JOIN u_' || (k % 5) || ' b ON a.id = b.id' AS b FROM p
+UNION ALL SELECT 'template', 'm.P' || k || '.put', 'INSERT INTO w_' || k || ' SELECT * FROM t_' || size FROM p
+UNION ALL SELECT 'JOIN', 'm.P' || k || '.one>T_' || size, 'U_' || (k % 5) FROM p UNION ALL SELECT 'INSERT_SELECT', 'm.P' || k || '.put>T_' || size, 'W_' || k FROM p
+"""
+
+
+def config_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of files of all kinds, each by the parser of its extension."""
+    path = "case k % 6 when 0 then concat(k, '.properties') when 1 then concat(k, '.yaml') when 2 then concat(k, '.json') when 3 then concat(k, '.xml') when 4 then 'x/package.json' else concat(k, '-m.xml') end"
+    body = r"""case k % 6 when 0 then concat('size=', p_size) when 1 then concat('size: ', p_size) when 2 then concat('{"size": ', p_size, '}') when 3 then concat('<!-- c --><beans><bean id="b" class="C"><property name="size" value="', p_size, '"/></bean></beans>') when 4 then '{"size": 1}' else '<mapper namespace="m"/>' end"""
+    return files.config_items(made(spark, sf_dir, path, body))
+
+
+CONFIG_ITEMS = f"""
+WITH {PARTS} SELECT k || CASE k % 6 WHEN 0 THEN '.properties' WHEN 1 THEN '.yaml' WHEN 2 THEN '.json' ELSE '.xml' END AS path, CASE WHEN k % 6 = 3 THEN 'b.size' ELSE 'size' END AS key_path, size::VARCHAR AS value, 'int' AS value_type FROM p WHERE k % 6 < 4
+"""
+
+
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir)
+    tier = F.when(F.col("size") > 40, "HIGH").when(F.col("size") > 20, "MEDIUM").otherwise("LOW")
+    return fusion.view_counts(rows, {"tier": tier, "kind": F.col("p_type"), "sources": F.when(F.col("k") % 2 == 0, F.array(F.lit("db"), F.lit("rag"))).otherwise(F.array(F.lit("rag")))})
+
+
+VIEW_COUNTS = f"""
+WITH {PARTS}, x AS (SELECT 'tier' AS "by", CASE WHEN size > 40 THEN 'HIGH' WHEN size > 20 THEN 'MEDIUM' ELSE 'LOW' END AS value FROM p UNION ALL SELECT 'kind', p_type FROM p UNION ALL SELECT 'sources', 'rag' FROM p UNION ALL SELECT 'sources', 'db' FROM p WHERE k % 2 = 0)
+SELECT "by", value, count(*) AS n FROM x GROUP BY ALL
+"""
+
 _ALL = (
     config_table_identify, config_references, table_candidates, code_of_tables, owner_backfill, config_path_signals, rule_set_tables, judged_candidates, shown_signals, unresolved_ratio, real_tables, subquery_relations, recovered_statements,
     owner_discovery, sheet_evidence, module_scope, text_summaries, evidence_pointers, prompt_redaction, compatible_terms, decoded_texts, index_row_sets, instance_gate, normalised_tables, vote_samples, excluded_paths,
-    projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension,
+    mapper_ingest, config_items, view_counts, projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

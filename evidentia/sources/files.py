@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -115,13 +116,51 @@ def spring_beans(files: DataFrame) -> DataFrame:
 
 
 def mapper_statements(files: DataFrame) -> DataFrame:
-    """(path, statement, verb, sql): namespace.id of each statement with its text without tags."""
-    namespace = F.regexp_extract("content", r'<mapper\s+namespace\s*=\s*"([^"]*)"', 1)
-    found = files.select("path", namespace.alias("ns"), F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<(?:select|insert|update|delete)\b[^>]*>.*?</(?:select|insert|update|delete)>"), F.lit(0))).alias("x"))
-    body = F.btrim(F.regexp_replace(F.regexp_replace("x", r"<[^>]+>", " "), r"\s+", " "))
+    """(path, statement, verb, sql): namespace.id of each statement with its text without tags.
+
+    <include> takes the <sql> fragment of that id in the same file, also of one inside another; an unknown one is blank.
+    """
+    include = lambda k: F.concat(F.lit('<include refid="'), k, F.lit('"/>'))
+    content = F.regexp_replace("content", r'<include\s+refid\s*=\s*"([^"]*)"\s*(?:/>|>\s*</include>)', '<include refid="$1"/>')
+    namespace = F.regexp_extract(content, r'<mapper\s+namespace\s*=\s*"([^"]*)"', 1)
+    blocks = F.regexp_extract_all(content, F.lit(r'(?s)<sql\b[^>]*\bid\s*=\s*"[^"]*"[^>]*>.*?</sql>'), F.lit(0))
+    fragments = F.transform(blocks, lambda x: F.named_struct(F.lit("id"), F.regexp_extract(x, r'\bid\s*=\s*"([^"]*)"', 1), F.lit("body"), F.regexp_extract(x, r"(?s)^<sql\b[^>]*>(.*)</sql>$", 1)))
+    statements = F.regexp_extract_all(content, F.lit(r"(?s)<(?:select|insert|update|delete)\b[^>]*>.*?</(?:select|insert|update|delete)>"), F.lit(0))
+    found = files.select("path", namespace.alias("ns"), fragments.alias("fragments"), F.explode(statements).alias("x"))
+    filled = lambda body: F.aggregate("fragments", body, lambda acc, f: F.replace(acc, include(f["id"]), f["body"]))
+    body = F.btrim(F.regexp_replace(F.regexp_replace(filled(filled(F.col("x"))), r"<[^>]+>", " "), r"\s+", " "))
     return found.select("path", F.concat_ws(".", "ns", F.regexp_extract("x", r'\bid\s*=\s*"([^"]*)"', 1)).alias("statement"), F.regexp_extract("x", r"^<(\w+)", 1).alias("verb"), body.alias("sql"))
 
 
+def xml_kind(content: Column) -> Column:
+    """What an XML file is by its root tag: mapper, beans or other."""
+    root = F.regexp_extract(F.regexp_replace(content, r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", ""), r"^\s*<([\w:.-]+)", 1)
+    return F.when(root == "mapper", "mapper").when(root == "beans", "beans").otherwise("other")
+
+
+def bean_items(files: DataFrame) -> DataFrame:
+    """(path, key_path, value, value_type) of Spring XML: bean.property with its value."""
+    rows = spring_beans(files.filter(xml_kind(F.col("content")) == "beans")).filter("coalesce(property, '') <> ''")
+    return rows.select("path", F.concat_ws(".", "bean", "property").alias("key_path"), "value", value_type(F.col("value")).alias("value_type"))
+
+
+#: Extension -> what takes configuration items out of such files; add an entry to read another format.
+ITEM_PARSERS = {"properties": properties_items, "yml": tree_items, "yaml": tree_items, "json": tree_items, "xml": bean_items}
+#: JSON files that hold no configuration.
+NOT_CONFIGURATION = ("package.json", "package-lock.json", "tsconfig.json")
+
+
+def config_items(files: DataFrame) -> DataFrame:
+    """(path, key_path, value, value_type) of all configuration files, each by its extension's parser."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = files.filter(~name.isin(*NOT_CONFIGURATION)).withColumn("__ext", F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)))
+    by_parser: dict = {}
+    for extension, parser in ITEM_PARSERS.items():
+        by_parser.setdefault(parser, []).append(extension)
+    parts = [parser(kept.filter(F.col("__ext").isin(*extensions)).drop("__ext")) for parser, extensions in by_parser.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ddl_columns(files: DataFrame) -> DataFrame:
     """(path, table, ordinal, column, type) of every CREATE TABLE in the texts."""
     tables = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?is)create\s+table\s+[\w.\"]+\s*\(.*?\)\s*;"), F.lit(0))).alias("ddl"))

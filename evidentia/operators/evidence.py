@@ -200,7 +200,7 @@ def scoped_votes(samples: DataFrame, key: str, n: int, seed: int = 7) -> DataFra
 
 def indexed_rows(rows: DataFrame, names: dict[str, tuple[str, ...]], keys: list[str], counted_from_zero: tuple[str, ...] = ()) -> DataFrame:
     """Indexer rows (camel or snake case) as a table: each column is the first of its names that the rows have, names get
-    dots for #, lines count from 0, rows without the first key are left out and equal keys stay once."""
+    dots for #, lines count from 0 (missing ones are 0), rows without the first key are left out and equal keys stay once."""
     has = lambda options: next((F.col(n) for n in options if n in rows.columns), F.lit(None).cast("string"))
     cols = []
     for name, options in names.items():

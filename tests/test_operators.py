@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import mask, scores, text
-from evidentia.operators import cases, changes, config, fusion, graph, lineage, requirements, search
+from evidentia.operators import builds, cases, changes, config, evidence, fusion, graph, lineage, requirements, search
 from evidentia.sources import files
 from evidentia.sources.snapshots import SnapshotStore, normalised
 
@@ -220,3 +220,79 @@ def test_the_rest_imports_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op')]; assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_masks_keep_a_tokens_last_four(spark):
+    assert one(spark, mask.redacted(F.lit("key sk-abcdefgh1234 and scott/tiger@db1 or x://u:p@h pwd = a;b"))) == "key ****1234 and ****@db1 or x://****@h pwd =****;b"
+    assert one(spark, mask.redacted(F.lit(None).cast("string"))) == ""
+    assert one(spark, mask.prompt_redacted(F.lit("Bearer abcdefgh x"))) == "Bearer **** x"
+    assert one(spark, mask.sanitized_text(F.lit('a=b token: "abcdef" s=\'pin=9\' n=pin=12345'))) == "a=b token=****cdef s='pin=****' n=pin=****2345"
+
+
+def test_no_value_leaves_with_a_view(spark):
+    rows = spark.createDataFrame([(1, ("a", None), [("", "x")]), (2, None, None)], "id int, s struct<name:string,value_raw:string>, l array<struct<content_raw:string,b:string>>")
+    assert mask.without_values(rows).count() == 2
+    leaking = spark.createDataFrame([(1, [("secret", "x")])], "id int, l array<struct<content_raw:string,b:string>>")
+    with pytest.raises(Exception, match="raw value"):
+        mask.without_values(leaking).collect()
+
+
+def test_gates(spark):
+    allowed = lambda sql: one(spark, files.readonly(F.lit(sql)))
+    assert not allowed("WITH x AS (SELECT 1) EXEC p") and not allowed("select 1 from t begin") and not allowed("select 1; select 2")
+    assert allowed("SELECT LISTAGG(a, ',' ON OVERFLOW TRUNCATE) FROM t;")
+    rows = spark.range(5)
+    assert [r.truncated for r in files.capped(rows, 3).collect()] == [True] * 3
+    assert [r.truncated for r in files.capped(rows, 5).collect()] == [False] * 5 and files.capped(rows.limit(0), 3).count() == 0
+    with pytest.raises(ValueError, match="not allowed"):
+        files.bounded_query(spark, "jdbc:x//h/test", "select 1", ["jdbc:y"])
+
+
+def test_rules_of_texts(spark):
+    assert one(spark, text.normalised_table(F.lit(" t_202401_3"))) == "T"
+    assert one(spark, text.slug(F.lit("--Ünï  Code!! x"))) == "n-code-x" and one(spark, text.slug(F.lit(None).cast("string"))) == "run"
+    assert one(spark, text.compatible(F.lit("Ｏ ﬃ\tX"))) == "offix"
+    assert [one(spark, text.is_pointer(F.lit(p))) for p in ("fqn:a.B.c(int)", "fqn:a;b", "table:A.B", "table:A", "config:a.b", "config:a\nb", None)] == [True, False, True, False, True, False, False]
+    assert one(spark, text.is_stale(F.lit(None).cast("string"), F.lit("2026-01-01T00:00:00"), 1)) and one(spark, text.is_stale(F.lit("no date"), F.lit("2026-01-01T00:00:00"), 1))
+    assert not one(spark, text.is_stale(F.lit("2026-01-01T00:00:00Z"), F.lit("2026-01-01T00:30:00Z"), 1)) and one(spark, text.is_stale(F.lit("2026-01-01T00:00:00Z"), F.lit("2026-01-01T00:30:00"), 1))
+
+
+def test_segment_marks():
+    marks = lambda body: [(r["label"], r["style"]) for r in requirements.segments_of(body)[1:]]
+    assert marks("1】 a\n2】 b") == [("1", "arabic"), ("2", "arabic")]
+    assert marks("(1) a") == [] and marks("123. a") == [] and marks("1; a") == []
+    assert marks("I. a\nII. b") == [("I", "roman_upper"), ("II", "roman_upper")] and marks("i. a\nii. b") == [("i", "letter_lower")]
+
+
+def test_one_builder_at_a_time(spark, tmp_path):
+    lock = f"file://{tmp_path}/lock"
+    with builds.single_flight(spark, lock) as first:
+        with builds.single_flight(spark, lock) as second:
+            assert first and not second
+    with builds.single_flight(spark, lock) as third:
+        assert third
+
+
+def test_steps_fail_apart(spark):
+    def broken():
+        raise LookupError("no table")
+
+    rows = {r.dimension: (r.status, r.n, r.verdict) for r in builds.initialised(spark, {"code": lambda: spark.range(3), "config": broken, "corpus": lambda: spark.range(0)}).collect()}
+    assert rows == {"code": ("ok", 3, "degraded"), "config": ("failed", 0, "degraded"), "corpus": ("degraded", 0, "degraded")}
+
+
+def test_row_sets_of_an_index(spark):
+    rows = spark.createDataFrame([("a#b()", "T1"), (None, "T2"), ("a#b()", "T1")], "methodFqn string, tableName string")
+    assert [tuple(r) for r in evidence.index_table(rows, "table_refs").collect()] == [("a.b()", "T1")]
+    assert evidence.index_table(spark.createDataFrame([("x.Y",)], "class_fqn string"), "classes").first().start_line == 0
+
+
+def test_references_without_a_class(spark):
+    rows = spark.createDataFrame([("a.java", 'x.getProperty("k");'), ("b.java", None), ("c.java", "")], "path string, content string")
+    assert [(r.ref_key, r.line, r.class_fqn) for r in evidence.config_references(rows).collect()] == [("k", 1, "")]
+
+
+def test_candidates_either_way(spark):
+    edges = spark.createDataFrame([("ORDERS", "", 2), ("orders_hist", "X", 1), (None, "ORDERS", 1)], "src_table string, dst_table string, evidence_count long")
+    terms = spark.createDataFrame([("order",), ("my_x_table",), (None,)], "term string")
+    assert sorted((r.term, r.table, r.evidence_count) for r in evidence.table_candidates(terms, edges).collect()) == [("my_x_table", "X", 1), ("order", "ORDERS", 3), ("order", "orders_hist", 1)]

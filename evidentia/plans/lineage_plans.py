@@ -168,7 +168,7 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAME_RESOLUTION = """
 WITH n AS (SELECT DISTINCT 'cust_' || (c_custkey % 50) || CASE c_custkey % 3 WHEN 0 THEN '_202401' WHEN 1 THEN '@link' ELSE '' END AS raw FROM customer),
-b AS (SELECT raw, regexp_replace(regexp_replace(upper(split_part(raw, '@', 1)), '_[0-9]{6}$', ''), '_[0-9]{1,2}$', '') AS base FROM n)
+b AS (SELECT raw, regexp_replace(regexp_replace(upper(split_part(raw, '@', 1)), '_[0-9]{1,2}$', ''), '_[0-9]{6}$', '') AS base FROM n)
 SELECT raw, CASE WHEN base = 'CUST' THEN 'A' ELSE '' END AS owner, CASE WHEN base = 'CUST' THEN 'CUSTOMER' ELSE base END AS "table" FROM b
 """
 

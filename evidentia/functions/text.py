@@ -220,6 +220,11 @@ def is_pointer(pointer: Column) -> Column:
     return F.coalesce(shape & ~F.contains(pointer, F.lit("\n")), F.lit(False))
 
 
+def stop_word(line: Column) -> Column:
+    """The word that a line of a stop list gives, in upper case: its first token; null for blank lines and comments."""
+    return F.nullif(F.upper(F.regexp_extract(line, r"^\s*([^\s#]+)", 1)), F.lit(""))
+
+
 def requirement_text(text: Column) -> Column:
     """Three and more blank lines become one, ends are bare."""
     return F.btrim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n(?:[ \t]*\n){3,}", "\n\n"), F.lit(" \n\t"))

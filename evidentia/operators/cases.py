@@ -41,3 +41,14 @@ def synonym_pool(rows: DataFrame, tag: str, term: str, order: str) -> DataFrame:
     first = rows.groupBy(tag, term).agg(F.min(order).alias("at"))
     terms = F.transform(F.array_sort(F.collect_list(F.struct("at", term))), lambda x: x[term])
     return first.groupBy(tag).agg(terms.alias("terms")).select(tag, F.element_at("terms", 1).alias("canonical"), F.array_join(F.slice("terms", F.lit(2), F.size("terms")), ",").alias("variants"))
+
+
+def expanded(terms: DataFrame, rows: DataFrame, tag: str, term: str) -> DataFrame:
+    """(term, synonym) for each of terms(term): every term of its tags, itself too; pairs of rows of one tag come only
+    from the terms asked for."""
+    known = rows.select(F.col(tag).alias("__tag"), F.col(term).alias("__term")).distinct()
+    folded = known.withColumn("__folded", text.folded_text(F.col("__term")))
+    asked = terms.select("term", text.folded_text(F.col("term")).alias("__folded")).distinct()
+    tags = asked.join(folded, "__folded").select("term", "__tag").distinct()
+    found = tags.join(known, "__tag").select("term", F.col("__term").alias("synonym"))
+    return found.unionByName(terms.select("term", F.col("term").alias("synonym"))).distinct()

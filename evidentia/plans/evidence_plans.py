@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import mask, scores, text
-from evidentia.operators import builds, config, evidence, fusion, requirements, search
+from evidentia.operators import builds, cases, config, evidence, fusion, lineage, requirements, search
 from evidentia.plans.search_plans import table
 from evidentia.plans.source_plans import made, scratch
 from evidentia.sources import files
@@ -440,10 +440,55 @@ WITH {PARTS}, x AS (SELECT 'tier' AS "by", CASE WHEN size > 40 THEN 'HIGH' WHEN
 SELECT "by", value, count(*) AS n FROM x GROUP BY ALL
 """
 
+
+def linked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _parts(spark, sf_dir).select(F.concat(F.lit("t_"), "k", F.element_at(F.array(F.lit(""), F.lit("@far.world"), F.lit("@near"), F.lit("@lost")), (F.col("k") % 4 + 1).cast("int"))).alias("raw"))
+    links = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "FAR").when(F.col("r_regionkey") == 1, "NEAR").otherwise(F.col("r_name")).alias("link"), F.concat(F.lit("db"), "r_regionkey").alias("instance"))
+    return lineage.linked_names(names, links)
+
+
+LINKED_NAMES = """
+SELECT 't_' || p_partkey || ['', '@far.world', '@near', '@lost'][p_partkey % 4 + 1] AS raw, 'T' || CASE WHEN p_partkey < 100 THEN '' ELSE '_' || p_partkey END AS "table", ['', 'db0', 'db1', ''][p_partkey % 4 + 1] AS db,
+  ['local', 'linked', 'linked', 'unresolved'][p_partkey % 4 + 1] AS status FROM part
+"""
+
+
+def stopped_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of texts without those on a stop list, whose lines hold a word first."""
+    listed = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" k"), "n_nationkey", F.lit(" 8231"))).otherwise(F.concat(F.lit("# K"), "n_nationkey")).alias("line"))
+    words = _parts(spark, sf_dir).select("k", F.explode(text.shouty_tokens(F.concat(F.lit("see KEY_"), "size", F.lit(" and K"), F.col("k") % 30, F.lit(" or K1x")))).alias("keyword"))
+    return words.join(listed.select(text.stop_word(F.col("line")).alias("keyword")).filter("keyword is not null"), "keyword", "left_anti").select("k", "keyword")
+
+
+STOPPED_KEYWORDS = f"WITH {PARTS} SELECT k, 'KEY_' || size AS keyword FROM p UNION ALL SELECT k, 'K' || (k % 30) FROM p WHERE k % 30 >= 10 AND NOT (k % 30 < 25 AND k % 2 = 0)"
+
+
+def synonyms_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir).select(F.concat("brand", F.col("size") % 5).alias("tag"), "p_name")
+    terms = rows.filter("tag like '%1'").select(F.upper("p_name").alias("term")).distinct()
+    return cases.expanded(terms, rows, "tag", "p_name")
+
+
+SYNONYMS_EXPANDED = f"""
+WITH {PARTS}, r AS (SELECT DISTINCT brand || (size % 5) AS tag, p_name FROM p), t AS (SELECT DISTINCT upper(p_name) AS term FROM r WHERE tag LIKE '%1')
+SELECT DISTINCT term, b.p_name AS synonym FROM t JOIN r a ON upper(a.p_name) = term JOIN r b ON b.tag = a.tag UNION SELECT term, term FROM t
+"""
+
+
+def split_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets whose header stands in two rows."""
+    parts = _parts(spark, sf_dir).select(F.concat(F.lit("s"), F.col("k") % 3).alias("sheet"), (F.col("k") + 10).cast("int").alias("row"), "p_name", "p_type", "price")
+    body = parts.select("sheet", "row", F.posexplode(F.array("p_name", "p_type", "price")).alias("col", "value"))
+    heads = parts.select("sheet").distinct().select("sheet", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value")) for r, c, v in ((0, 0, "Title"), (1, 0, "Name"), (1, 1, "Kind"), (2, 2, "Price"), (2, 0, "of it"))])).alias("x")).select("sheet", "x.*")
+    return files.sheet_rows(body.unionByName(heads), {"name": ["name"], "kind": ["kind"], "price": ["price"]})
+
+
+SPLIT_HEADER_ROWS = f"WITH {PARTS} SELECT 's' || (k % 3) AS sheet, (k + 10)::INTEGER AS \"row\", unnest(['name', 'kind', 'price']) AS field, unnest([p_name, p_type, price]) AS value FROM p"
+
 _ALL = (
     config_table_identify, config_references, table_candidates, code_of_tables, owner_backfill, config_path_signals, rule_set_tables, judged_candidates, shown_signals, unresolved_ratio, real_tables, subquery_relations, recovered_statements,
     owner_discovery, sheet_evidence, module_scope, text_summaries, evidence_pointers, prompt_redaction, compatible_terms, decoded_texts, index_row_sets, instance_gate, normalised_tables, vote_samples, excluded_paths,
-    mapper_ingest, config_items, view_counts, projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension,
+    linked_names, stopped_keywords, synonyms_expanded, split_header_rows, mapper_ingest, config_items, view_counts, projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

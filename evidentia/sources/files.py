@@ -234,7 +234,8 @@ def cases_from_markdown(files: DataFrame, schema: str) -> DataFrame:
 
 
 def sheet_rows(cells: DataFrame, aliases: dict[str, list[str]], look: int = 10) -> DataFrame:
-    """Rows of sheets given as cells(sheet, row, col, value): the header is the first of `look` rows with two known names.
+    """Rows of sheets given as cells(sheet, row, col, value): the header is the first of `look` rows with two known names,
+    and the row below it where that names further columns.
 
     Returns (sheet, row, field, value) for the fields that aliases names; titles above and subtotal rows are left out.
     """
@@ -244,7 +245,12 @@ def sheet_rows(cells: DataFrame, aliases: dict[str, list[str]], look: int = 10)
         field = F.when(F.lower(F.btrim("value")) == alias, name).otherwise(field)
     named = cells.filter(F.col("row") < look).withColumn("field", field).filter("field is not null")
     header = named.groupBy("sheet", "row").agg(F.count("*").alias("n")).filter("n >= 2").groupBy("sheet").agg(F.min("row").alias("header"))
-    columns = named.join(header, "sheet").filter("row = header").select("sheet", "header", "col", "field")
+    first = named.join(header, "sheet").filter("row = header").select("sheet", "header", "col", "field")
+    second = named.join(header, "sheet").filter("row = header + 1").join(first.select("sheet", "col"), ["sheet", "col"], "left_anti").select("sheet", "header", "col", "field")
+    both = first.unionByName(second)
+    # data begin below the last row of the header
+    ends = second.groupBy("sheet").agg(F.lit(1).alias("more"))
+    columns = both.join(ends, "sheet", "left").select("sheet", (F.col("header") + F.coalesce("more", F.lit(0))).alias("header"), "col", "field")
     totals = cells.filter(F.lower("value").rlike("^(sub)?total")).select("sheet", "row").distinct()
     data = cells.join(columns, ["sheet", "col"]).filter("row > header").join(totals, ["sheet", "row"], "left_anti")
     return data.select("sheet", "row", "field", "value")

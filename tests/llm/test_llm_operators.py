@@ -577,7 +577,7 @@ def test_bounds_and_dominance_of_bins():
     found = [f for f in packing.fillings([30, 20, 10], counts, 40) if f]
     assert found[0] == (30, 10) and (10, 10, 10) not in found  # 30 takes the place of the three
     # over some blocks the search needs fewer bins than best-fit decreasing, and never more
-    blocks = [[draw.randint(50, 1500) for _ in range(1000)] for _ in range(6)]
+    blocks = [[draw.randint(50, 1500) for _ in range(2000)] for _ in range(6)]
     found, fit, bound = ([f(b) for b in blocks] for f in (lambda b: len(packing.pack_block(b, 2048)), lambda b: len(packing.best_fit(sorted(b, reverse=True), 2048)), lambda b: packing.lower_bound(b, 2048)))
     assert all(x <= y <= z for x, y, z in zip(bound, found, fit, strict=True)) and sum(found) < sum(fit)
 

@@ -251,8 +251,9 @@ def near_duplicates(
     def over_components(rows: DataFrame) -> DataFrame:
         """Rows of the buckets that lie in several components; only these are looked at again."""
         placed = rows.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        ends = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        return written(placed.join(ends.select("band", "key"), ["band", "key"]), "side")
+        # written, so that the join has exchanges of its own, which AQE can split where a bucket is large
+        ends = written(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "mixed")
+        return written(placed.join(ends, ["band", "key"]), "side")
 
     side = over_components(buckets.join(pivots.drop("n"), ["band", "key"]))
     turn, before = 0, float("inf")
@@ -263,14 +264,15 @@ def near_duplicates(
         if (due or 0) <= 64 * (members or 0) or 3 * due > 2 * before:
             break
         turn, before = turn + 1, due
-        at_pivot = side.filter("node = pivot").select("band", "key", F.col("component").alias("done"))
-        order = F.xxhash64(F.lit(turn), "node")
-        chosen = side.join(at_pivot, ["band", "key"]).filter("component <> done").groupBy("band", "key").agg(F.min_by(F.struct("node", "component"), order).alias("next"))
+        # a member of the least component and one of the largest, of which one at least is not the pivot's
+        who, order = F.struct("node", "component"), F.struct("component", F.xxhash64(F.lit(turn), "node"))
+        ends = side.groupBy("band", "key").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("done"), F.min_by(who, order).alias("low"), F.max_by(who, order).alias("high"))
+        chosen = written(ends.select("band", "key", F.when(F.col("low.component") != F.col("done"), F.col("low")).otherwise(F.col("high")).alias("next")), "chosen")
         pairs = side.join(chosen, ["band", "key"]).filter("component <> next.component").select(F.least("next.node", "node").alias("a"), F.greatest("next.node", "node").alias("b")).distinct()
         pairs = written(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = written(verified(pairs, classes, base, width, percent), "verified")
         checked = checked.unionByName(more)
-        discard(pairs)
+        discard(pairs, chosen)
         if more.filter("is_link").isEmpty():
             break
         links = written(links.unionByName(more.filter("is_link").select("a", "b")), "linked")

@@ -236,7 +236,7 @@ def fillings(values: list[int], counts: dict[int, int], room: int) -> Iterator[t
     if counts.get(room):
         yield (room,)
         return
-    pair = ()
+    pair = None
     for v in values[bisect_left(values, -room, key=lambda v: -v) : bisect_left(values, -room // 2 + 1, key=lambda v: -v)]:
         rest = room - v
         if counts[v] and counts.get(rest) and (rest < v or counts[v] > 1):

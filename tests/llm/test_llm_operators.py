@@ -582,6 +582,20 @@ def test_bounds_and_dominance_of_bins():
     assert all(x <= y <= z for x, y, z in zip(bound, found, fit, strict=True)) and sum(found) < sum(fit)
 
 
+def test_bin_completion_mends_best_fit_and_leaves_bins_unfilled():
+    draw, mended, unfilled = random.Random(12), 0, 0
+    for _ in range(4000):
+        sizes = sorted((draw.randint(11, 70) for _ in range(9)), reverse=True)
+        need = fewest(sizes, 100) if len(packing.best_fit(sizes, 100)) > packing.lower_bound(sizes, 100) else None
+        if need is not None and need < len(packing.best_fit(sizes, 100)):
+            bins = packing.pack_block(sizes, 100)
+            assert len(bins) == need and sorted(i for b in bins for i in b) == list(range(len(sizes)))
+            mended, unfilled = mended + 1, unfilled + any(sum(sizes[i] for i in b) + min(sizes) > 100 > sum(sizes[i] for i in b) for b in bins)
+    assert mended > 5 and unfilled
+    left = [f for f in packing.fillings([9], Counter({9: 1}), 5)]
+    assert left == [()]  # what nothing fits is left as it is
+
+
 def plain_score(net, text):
     """The network's probability, window by window and chunk by chunk."""
     half = net.stride * net.chunk // 2

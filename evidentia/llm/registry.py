@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import evidentia.llm
 
-from . import fingerprints, licences, line_dedup, lm_scores, merkle, near_dedup, neighbours, packing, quality, source_mix, token_counts
+from . import alignment, fingerprints, licences, line_dedup, lm_scores, merkle, near_dedup, neighbours, packing, quality, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
@@ -67,6 +67,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_source_mix": op2_source_mix,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_token_counts": op10_token_counts,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run

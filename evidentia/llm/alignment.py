@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, map_batches, per_worker, text_runs, written
 
-#: A stretch that begins with a blank or newline behind a visible character (or with the text) and ends before the next
-#: such place. Neither the byte-level pattern nor a piece goes on from a visible character into a blank.
-CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+#: Signs that end many words, and the letters before them: no piece goes on from such a letter into such a sign.
+STOPS, LETTERS = ".,:;!?$#&*%", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: A word with the blank or newline before it, signs right behind such a word, or any stretch that begins with a blank or
+#: newline behind a visible character (or with the text) and ends before the next such place. Neither the byte-level
+#: pattern nor a piece goes on from a visible character into a blank.
+CHUNK = re.compile(rf"[ \n][{LETTERS}]+(?=[{STOPS}]*(?:[ \n]|\Z))|[{STOPS}]+|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 SHIFT = 32  # a pair of ids is one number, the first tokenizer's id in the upper half
 
 
@@ -49,30 +52,38 @@ class Encoders:
         self.bytes_b = bytes_b
         self.size_a = np.fromiter(map(len, self.bytes_a), np.int64)
         self.size_b = np.fromiter(map(len, self.bytes_b), np.int64)
-        #: chunks are encoded apart only if no piece goes on from another character into a blank, or holds a newline
-        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i))
+        #: chunks are encoded apart only if no piece goes on over one of their ends, or holds a newline
+        over = re.compile(rf"[^▁]▁|\n|[{LETTERS}][{STOPS}]").search
+        self.cuts = not any(over(p) for i, p in enumerate(pieces) if not self.b.is_byte(i)) and bool((self.size_a > 0).all() and (self.size_b > 0).all())
         self.opener = self.b.piece_to_id("▁")
 
     def chunks(self, text: str) -> list[str]:
         """Of the text behind a blank."""
         return CHUNK.findall(" " + text) if self.cuts else [" " + text]
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each chunk by A and by B. B puts a blank before what it is given: a chunk's own, or one that goes again."""
-        first = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        second = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        for i, c in enumerate(chunks):
-            if c == " ":
-                second[i] = [self.opener]  # nothing is given, so no blank is put before it
-            elif c[0] != " ":
-                second[i] = second[i][1:]
-        return first, second
+    def encode(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Ids of one chunk by A and by B. B puts a blank before what it is given: the chunk's own, or one that goes again,
+        with the newline that keeps it apart."""
+        (first,) = self.a.encode_batch_fast([chunk], add_special_tokens=False)
+        if chunk == " ":  # nothing would be given, so no blank would be put before it
+            return first.ids, [self.opener]
+        return first.ids, self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode("\n" + chunk)[2:]
+
+    def encode_joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of chunks that may stand one behind another, or None if they do not spell them."""
+        whole = " a" + "".join(chunks)
+        (first,) = self.a.encode_batch_fast([whole], add_special_tokens=False)
+        second = self.b.encode(whole[1:])
+        if not b"".join(map(self.bytes_a.__getitem__, first.ids)) == whole.encode() == b"".join(map(self.bytes_b.__getitem__, second)):
+            return None
+        ids = [np.array(x, np.int64) for x in (first.ids, second)]
+        return tuple(x[np.cumsum(size[x]) > 2] for x, size in zip(ids, (self.size_a, self.size_b), strict=True))
 
 
 def aligned(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group labels of the tokens of both sides, from their byte lengths: a group ends where tokens of both end."""
     ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    common = np.intersect1d(ends_a, ends_b)
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     return np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
 
 
@@ -88,90 +99,141 @@ def links_of(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b:
     return (np.repeat(ids_a, times) << SHIFT) | partner, np.repeat(group_a, times)
 
 
+def first_of_each(*keys: np.ndarray) -> np.ndarray:
+    """Places where sorted rows begin to differ from the one before."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 class Lexicon:
     """What is known of chunks, by number: token, group and link counts, the groups written out, the pairs.
 
-    Common cuts lie at all chunk ends, so a document's groups are its chunks' in turn.
+    Common cuts lie at all chunk ends, so a document's groups are its chunks' in turn. Beyond most_bytes the chunks that
+    came least often since the last time are forgotten, which changes no result.
     """
 
-    def __init__(self, encoders: Encoders, most_bytes: int = 96 << 20) -> None:
-        self.encoders, self.most = encoders, most_bytes
-        self.clear()
+    #: what ends a token in the groups written out: within a side, between sides, between groups, at a chunk's end
+    ENDS = (",", "|", ";", "\0")
 
-    def clear(self) -> None:
+    def __init__(self, encoders: Encoders, most_bytes: int = 110 << 20) -> None:
+        self.encoders, self.most = encoders, most_bytes
+        n = max(len(encoders.bytes_a), len(encoders.bytes_b))
+        self.spelt = [f"{i}{end}" for end in self.ENDS for i in range(n)]
+        self.ids = n
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         self.counts = np.zeros((0, 5), np.int64)  # tokens of A and B, groups, links, whether the bytes are the chunk's
+        self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pair_start, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.held = 0
 
-    def learn(self, new: list[str]) -> None:
+    def forget(self) -> None:
+        often = np.argsort(-self.uses, kind="stable")
+        keep = np.sort(often[np.cumsum(self.sizes[often]) <= self.most // 2])
+        names = [*self.number]
+        self.number = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        n = np.diff(self.pair_start)[keep]
+        where = stretches(self.pair_start[keep], n)
+        self.pairs, self.times = self.pairs[where], self.times[where]
+        self.pair_start = np.concatenate(([0], np.cumsum(n)))
+        self.counts, self.sizes, self.uses = self.counts[keep], self.sizes[keep], np.zeros(len(keep), np.int64)
+
+    def learn(self, new: list[str], at_once: int = 3_000) -> None:
+        joinable = [c for c in new if c[0] in " \n" and not c[-1].isspace()] if self.encoders.cuts else []
+        for at in range(0, len(joinable), at_once):
+            self.learn_joined(joinable[at : at + at_once])
+        for c in [c for c in new if c not in self.number]:
+            ids_a, ids_b = (np.array(x, np.int64) for x in self.encoders.encode(c))
+            e = self.encoders
+            if b"".join(map(e.bytes_a.__getitem__, ids_a)) == c.encode() == b"".join(map(e.bytes_b.__getitem__, ids_b)):
+                self.add([c], ids_a, ids_b)
+            else:
+                self.append([c], np.zeros((1, 5), np.int64), [""], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def learn_joined(self, chunks: list[str]) -> None:
+        """Chunks that follow one another as one text, halved until those that are not spelt by their tokens are alone."""
+        found = self.encoders.encode_joined(chunks)
+        if found:
+            self.add(chunks, *found)
+        elif len(chunks) > 1:
+            self.learn_joined(chunks[: len(chunks) // 2])
+            self.learn_joined(chunks[len(chunks) // 2 :])
+
+    def add(self, chunks: list[str], ids_a: np.ndarray, ids_b: np.ndarray) -> None:
+        """Take up chunks whose tokens follow one another and spell them."""
         e = self.encoders
-        ids_a, ids_b = e.encode(new)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (ids_a, ids_b))
-        size = [len(c.encode()) for c in new]
-        good = np.array([b"".join(map(e.bytes_a.__getitem__, x)) == (own := c.encode()) == b"".join(map(e.bytes_b.__getitem__, y)) for c, x, y in zip(new, ids_a, ids_b, strict=True)], bool)
-        fine = np.flatnonzero(good)
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x[i] for i in fine), np.int64) for x in (ids_a, ids_b))
-        group_a, group_b = aligned(e.size_a[flat_a], e.size_b[flat_b])
-        pair, of_group = links_of(flat_a, flat_b, group_a, group_b)
-        # chunk of each group: that of the first token in it
-        n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
-        chunk_a = np.repeat(fine, n_a[fine])
-        chunk_of = np.zeros(n_groups, np.int64)
-        chunk_of[group_a[::-1]] = chunk_a[::-1]
-        counts = np.zeros((len(new), 5), np.int64)
-        counts[:, 0], counts[:, 1], counts[:, 4] = np.where(good, n_a, 0), np.where(good, n_b, 0), good
-        counts[:, 2] = np.bincount(chunk_of, minlength=len(new))
-        counts[:, 3] = np.bincount(chunk_of[of_group], minlength=len(new))
+        group_a, group_b = aligned(e.size_a[ids_a], e.size_b[ids_b])
+        pair, of_group = links_of(ids_a, ids_b, group_a, group_b)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        chunk_a, chunk_b = (np.searchsorted(ends, np.cumsum(size[ids])) for ids, size in ((ids_a, e.size_a), (ids_b, e.size_b)))
+        n_groups = int(group_a[-1]) + 1
+        in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+        chunk_of = chunk_a[np.cumsum(in_a) - 1]
+        owner = chunk_of[of_group]
+        counts = np.stack([np.bincount(x, minlength=len(chunks)) for x in (chunk_a, chunk_b, chunk_of, owner)] + [np.ones(len(chunks), np.int64)], 1)
+        # tokens in the order they are written out: a group's of A, then its of B
+        start = np.cumsum(in_a + in_b) - in_a - in_b
+        at_a = start[group_a] + np.arange(len(ids_a)) - (np.cumsum(in_a) - in_a)[group_a]
+        at_b = (start + in_a)[group_b] + np.arange(len(ids_b)) - (np.cumsum(in_b) - in_b)[group_b]
+        order = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        order[at_a], order[at_b] = ids_a, ids_b
+        end = np.zeros(len(order), np.int64)
+        end[start + in_a - 1] = 1
+        end[start + in_a + in_b - 1] = np.where(np.diff(chunk_of, append=len(chunks)) > 0, 3, 2)
+        spelt = "".join(map(self.spelt.__getitem__, (end * self.ids + order).tolist())).split("\0")[:-1]
         # a chunk's distinct pairs with how often they are linked in it
-        order = np.lexsort((pair, chunk_of[of_group]))
-        pair, owner = pair[order], chunk_of[of_group][order]
-        start = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))) if len(pair) else [])
-        times = np.diff(start, append=len(pair))
-        per_chunk = np.bincount(owner[start], minlength=len(new))
-        self.pair_start = np.concatenate((self.pair_start, self.pair_start[-1] + np.cumsum(per_chunk)))
-        self.pairs, self.times = np.concatenate((self.pairs, pair[start])), np.concatenate((self.times, times))
+        order = np.lexsort((pair, owner))
+        pair, owner = pair[order], owner[order]
+        first = first_of_each(pair, owner)
+        self.append(chunks, counts, spelt, np.bincount(owner[first], minlength=len(chunks)), pair[first], np.diff(first, append=len(pair)))
+
+    def append(self, chunks: list[str], counts: np.ndarray, groups: list[str], n_pairs: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True))
+        self.groups += groups
         self.counts = np.concatenate((self.counts, counts))
-        # groups written out: tokens of A, a bar, tokens of B
-        cut_a, cut_b = (np.searchsorted(g, np.arange(n_groups + 1)).tolist() for g in (group_a, group_b))
-        text_a, text_b = (list(map(str, x.tolist())) for x in (flat_a, flat_b))
-        written_groups = [",".join(text_a[cut_a[g] : cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g] : cut_b[g + 1]]) for g in range(n_groups)]
-        ends = np.cumsum(counts[:, 2]).tolist()
-        begin = 0
-        for c, end in zip(new, ends, strict=True):
-            self.number[c] = len(self.groups)
-            self.groups.append(";".join(written_groups[begin:end]))
-            begin = end
-        self.held += 2 * sum(size) + 220 * len(new) + 40 * int(n_a.sum() + n_b.sum())
+        self.uses = np.concatenate((self.uses, np.zeros(len(chunks), np.int64)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter((2 * len(c) + len(g) + 300 for c, g in zip(chunks, groups, strict=True)), np.int64, len(chunks)) + 16 * n_pairs))
+        self.pair_start = np.concatenate((self.pair_start, self.pair_start[-1] + np.cumsum(n_pairs)))
+        self.pairs, self.times = np.concatenate((self.pairs, pairs)), np.concatenate((self.times, times))
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(counts, groups_sha256, place where each text's pairs begin, pairs, times) of texts."""
-        if self.held > self.most:
-            self.clear()
+        if int(self.sizes.sum()) > self.most:
+            self.forget()
         found = [self.encoders.chunks(t) if t else [] for t in texts]
-        new = [*dict.fromkeys(filterfalse(self.number.__contains__, chain.from_iterable(found)))]
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
+        self.learn([*dict.fromkeys(filterfalse(self.number.__contains__, chain.from_iterable(found)))])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        listed = [*map(self.number.__getitem__, chain.from_iterable(found))]
+        owner, at = np.repeat(np.arange(len(texts)), lengths), np.array(listed, np.int64)
+        self.uses += np.bincount(at, minlength=len(self.uses))
         bad = np.bincount(owner[self.counts[at, 4] == 0], minlength=len(texts)) > 0
         totals = np.stack([np.bincount(owner, weights=self.counts[at, k], minlength=len(texts)) for k in range(4)], 1).astype(np.int64)
         totals[bad] = 0
-        hashes = ["" if bad[i] or not chunks else hashlib.sha256(";".join([self.groups[self.number[c]] for c in chunks]).encode()).hexdigest() for i, chunks in enumerate(found)]
-        use = ~bad[owner]
+        ends = np.cumsum(lengths).tolist()
+        hashes = ["" if bad[i] or not found[i] else hashlib.sha256(";".join(map(self.groups.__getitem__, listed[end - len(found[i]) : end])).encode()).hexdigest() for i, end in enumerate(ends)]
         # distinct chunks of a text with how often they come, then its distinct pairs
-        seen, often = np.unique((owner[use] << 40) | at[use], return_counts=True)
+        keys = np.sort(((owner << 40) | at)[~bad[owner]])
+        first = first_of_each(keys)
+        often, seen = np.diff(first, append=len(keys)), keys[first]
         owner, at = seen >> 40, seen & ((1 << 40) - 1)
         n = self.pair_start[at + 1] - self.pair_start[at]
-        where = np.repeat(self.pair_start[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        where = stretches(self.pair_start[at], n)
         pair, times, owner = self.pairs[where], self.times[where] * np.repeat(often, n), np.repeat(owner, n)
         order = np.lexsort((pair, owner))
         pair, times, owner = pair[order], times[order], owner[order]
-        start = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))) if len(pair) else [])
-        times = np.add.reduceat(times, start) if len(start) else times
-        return totals, hashes, np.searchsorted(owner[start], np.arange(len(texts) + 1)), pair[start], times
+        first = first_of_each(pair, owner)
+        times = np.add.reduceat(times, first) if len(first) else times
+        return totals, hashes, np.searchsorted(owner[first], np.arange(len(texts) + 1)), pair[first], times
+
+
+def stretches(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of n each, one stretch after another."""
+    return np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 NAMES = ["doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]

@@ -87,7 +87,7 @@ def test_documents_are_the_plain_ones(spark, plain):
 
 def test_words_learnt_in_turns_change_nothing(plain):
     texts = odd_texts(300, 8)
-    lexicon = alignment.Lexicon(alignment.Encoders(BYTE_FILE, PIECE_FILE), most_bytes=4_000)  # forgets nearly every time
+    lexicon = alignment.Lexicon(alignment.Encoders(BYTE_FILE, PIECE_FILE), most_bytes=40_000)  # forgets nearly every time
     want = plain(texts)
     for at in range(0, 300, 10):
         totals, hashes, *_ = lexicon.documents(texts[at : at + 10])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import evidentia.llm
 
-from . import alignment, fingerprints, licences, line_dedup, lm_scores, merkle, near_dedup, neighbours, packing, quality, source_mix, token_counts
+from . import alignment, fingerprints, licences, line_dedup, lm_scores, merkle, near_dedup, neighbours, packing, passages, quality, source_mix, token_counts
 from .common import read
 
 # Tasks carry the code with them, so that executors need no copy of the package.
@@ -63,6 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digest(passages.drop_passages(read(spark, sf_dir, "documents")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(read(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_counts": op10_token_counts,
+    "op11_passage_dedup": op11_passage_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -140,6 +145,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_nearest": neighbours.NEAREST_SQL,
     "op6_line_dedup": line_dedup.LINE_DEDUP_SQL,
     "op7_near_dedup": near_dedup.NEAR_DEDUP_SQL,
+    "op11_passage_dedup": passages.PASSAGES_SQL,
     "op12_merkle_manifest": merkle.MERKLE_SQL,
     "mix_targets": MIX_TARGETS,
     "lm_base_scores": LM_BASE_SCORES,

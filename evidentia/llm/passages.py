@@ -149,20 +149,22 @@ def spans_of(texts: DataFrame, width: int, gram: int) -> DataFrame:
     around = width - gram
     anchors = written(anchored(texts, width, gram), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min(F.struct("who", "at")).alias("first"), F.max("who").alias("last"), (F.min("context") == F.max("context")).alias("uniform"))
-    shared = shared.filter(F.col("first.who") < F.col("last")).select("anchor", "uniform", F.col("first.who").alias("source"), F.col("first.at").alias("place"))
+    # written, so that both sides of the join have exchanges of their own, which Spark splits where a key is hot
+    shared = written(shared.filter(F.col("first.who") < F.col("last")).select("anchor", "uniform", F.col("first.who").alias("source"), F.col("first.at").alias("place")), "shared-anchors")
     met = written(anchors.select("who", "t", "anchor", "at").join(shared, "anchor").filter("not uniform or who > source"), "met")
-    discard(anchors)
+    discard(anchors, shared)
     # the windows over an anchor whose surroundings are the same everywhere
     begin = F.greatest(F.col("at") - around, F.lit(0))
     plain = met.filter("uniform").select("who", "t", F.struct(begin.alias("start"), (F.col("at") + gram + around).alias("end"), "source", (F.col("place") - F.col("at") + begin).alias("place")).alias("s"))
     # others one by one
     varied = met.filter("not uniform").groupBy("who", "t").agg(F.collect_set("at").alias("places"))
     windows = written(looked_up(texts.join(varied, ["who", "t"]).select("who", "t", "text", "places"), width, gram), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("who", "at")).alias("first"), F.max("who").alias("last")).filter(F.col("first.who") < F.col("last"))
+    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("who", "at")).alias("first"), F.max("who").alias("last"))
+    firsts = written(firsts.filter(F.col("first.who") < F.col("last")).select("h1", "h2", "first"), "first-windows")
     found = windows.join(firsts, ["h1", "h2"]).filter(F.col("who") > F.col("first.who"))
     single = found.select("who", "t", F.struct(F.col("at").alias("start"), (F.col("at") + width).alias("end"), F.col("first.who").alias("source"), F.col("first.at").alias("place")).alias("s"))
     spans = written(plain.unionByName(single).groupBy("who", "t").agg(F.collect_set("s").alias("stretches")), "spans")
-    discard(met, windows)
+    discard(met, windows, firsts)
     return spans
 
 

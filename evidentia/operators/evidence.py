@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import lineage
+from evidentia.operators import lineage, scopes
 
 # What refers to a configuration key in Java.
 VALUE_ANNOTATIONS = ("Value",)
@@ -139,24 +139,14 @@ def unresolved_ratio(calls: DataFrame, resolved: str = "resolved") -> DataFrame:
 
 
 def real_tables(statements: DataFrame) -> DataFrame:
-    """(template_id, table): tables that a statement reads by FROM, JOIN or IN and EXISTS subqueries, without the names
-    that its WITH clause gives."""
-    sql = F.upper(F.regexp_replace("sql_text", r"\s+", " "))
-    named = F.regexp_extract_all(sql, F.lit(r"(?:\bWITH|,)\s*([A-Z_]\w*)(?: ?\([^()]*\))? AS ?\("), F.lit(1))
-    read = F.regexp_extract_all(sql, F.lit(r"\b(?:FROM|JOIN|INTO|UPDATE|USING)\s+([A-Z_][\w.$#]*)"), F.lit(1))
-    bare = F.transform(F.array_distinct(read), lambda t: F.element_at(F.split(t, r"\."), -1))
-    return statements.select("template_id", F.explode(F.array_except(F.array_except(bare, named), F.array(F.lit("DUAL")))).alias("table"))
+    """(template_id, table): tables that a statement names in any scope, without the names that its WITH clauses give."""
+    return scopes.tables_read(statements).select("template_id", "table").distinct()
 
 
 def subquery_relations(statements: DataFrame) -> DataFrame:
-    """(template_id, src_table, dst_table, relation_type): the table of an IN or EXISTS subquery and the first table of
-    the query around it."""
-    sql = F.upper(F.regexp_replace("sql_text", r"\s+", " "))
-    outer = F.regexp_extract(sql, r"^(?:[^()]|\([^()]*\))*?\bFROM ([A-Z_][\w.$#]*)", 1)
-    inner = F.regexp_extract_all(sql, F.lit(r"(?:\bIN|\bEXISTS) ?\( ?SELECT\b[^()]*?\bFROM ([A-Z_][\w.$#]*)"), F.lit(1))
-    kind = F.regexp_extract_all(sql, F.lit(r"(\bIN|\bEXISTS) ?\( ?SELECT\b[^()]*?\bFROM [A-Z_]"), F.lit(1))
-    found = statements.select("template_id", outer.alias("dst_table"), F.explode(F.arrays_zip(inner.alias("t"), kind.alias("k"))).alias("x"))
-    return found.select("template_id", F.col("x.t").alias("src_table"), "dst_table", F.when(F.col("x.k") == "IN", "SUBQUERY").otherwise("EXISTS").alias("relation_type")).filter("dst_table <> '' and src_table <> dst_table").distinct()
+    """(template_id, src_table, dst_table, relation_type): tables of nested queries and those of the query around them."""
+    found = scopes.relations(statements).filter("relation_type in ('SUBQUERY', 'EXISTS') and src_table <> dst_table")
+    return found.select("template_id", "src_table", "dst_table", "relation_type").distinct()
 
 
 def recovered_statements(scripts: DataFrame, least: int = 10) -> DataFrame:
@@ -170,11 +160,13 @@ def recovered_statements(scripts: DataFrame, least: int = 10) -> DataFrame:
 
 
 def owners(objects: DataFrame, excluded: list[str]) -> DataFrame:
-    """(owner,): owners of any object in upper case, without those that a glob excludes; no rows are an error, as an
-    empty list would wipe what is known."""
+    """(owner,): owners of any object in upper case, without those that a glob excludes. No owner at all is an
+    error when the rows are read, as an empty list would wipe what is known."""
     globs = [p.upper().replace("\\", "\\\\").replace(".", r"\.").replace("$", r"\$").replace("*", ".*").replace("?", ".") for p in excluded]
     found = objects.select(F.upper("owner").alias("owner")).filter("coalesce(owner, '') <> ''").distinct()
-    return found.filter(~F.col("owner").rlike("^(?:" + "|".join(globs or ["(?!)"]) + ")$"))
+    kept = found.filter(~F.col("owner").rlike("^(?:" + "|".join(globs or ["(?!)"]) + ")$"))
+    counted = kept.agg(F.collect_set("owner").alias("all"))  # owners are few: schemas of a database
+    return counted.select(F.explode(F.when(F.size("all") == 0, F.raise_error(F.lit("no owner is left")).cast("array<string>")).otherwise(F.col("all"))).alias("owner"))
 
 
 def sheet_evidence(records: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import mask, text
@@ -116,17 +116,16 @@ SELECT doc_id, lineno, score, md5(passage) AS passage_md5 FROM b WHERE best = 1
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    longest = docs.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "n_chars")
-    hits = search.line_hits(text.lines_of(docs), ["the "]).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(50)
-    a = longest.select(F.lit("length").alias("path"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.col("doc_id").alias("doc"))
-    b = hits.select(F.lit("hits").alias("path"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "doc_id")).alias("rank"), F.col("doc_id").alias("doc"))
+    hits = search.line_hits(text.lines_of(docs), ["the "]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    a = search.ranked(docs.select("doc_id", "n_chars"), F.desc("n_chars"), F.asc("doc_id")).select(F.lit("length").alias("path"), "rank", F.col("doc_id").alias("doc"))
+    b = search.ranked(hits, F.desc("n"), F.asc("doc_id")).select(F.lit("hits").alias("path"), "rank", F.col("doc_id").alias("doc"))
     return fusion.rank_fusion(a.unionByName(b))
 
 
 RRF_FUSION = f"""
-WITH {LINES}, a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50),
+WITH {LINES}, a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 h AS (SELECT doc_id, count(*) AS n FROM l WHERE contains(lower(line), 'the ') GROUP BY doc_id),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM h QUALIFY rank <= 50)
+b AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM h)
 SELECT doc_id AS doc, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id
 """
 

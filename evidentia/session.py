@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "evidentia", **conf: str) -> SparkSession:
@@ -26,3 +28,15 @@ def local_session(cores: int | str = 8, app: str = "evidentia", **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage and the plan: df from files in the shared folder of spark.checkpoint.dir, or where that is unset on
+    one machine (tests) in one of our own. On a cluster it must be set, as no local folder will do."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidentia-checkpoints-"))
+    return df.checkpoint()

@@ -195,15 +195,16 @@ def jsonl_methods(rows: DataFrame) -> DataFrame:
 
 
 def readonly(sql: Column) -> Column:
-    """Whether a statement may be sent: one statement, SELECT or WITH, no keyword that changes anything."""
+    """Whether a statement may be sent: one statement, SELECT or WITH, no keyword that changes anything; null may not."""
     bare = F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
     one = ~F.regexp_replace(F.btrim(bare), r";+\s*$", "").contains(";")
-    return one & bare.rlike(r"(?i)^\s*(select|with)\b") & ~bare.rlike(WRITING)
+    return F.coalesce(one & bare.rlike(r"(?i)^\s*(select|with)\b") & ~bare.rlike(WRITING), F.lit(False))
 
 
 def refused_instance(name: Column, allowed: list[str]) -> Column:
-    """Why an instance may not be queried: a word of production in its name, or not on the list; null if it may."""
-    return F.when(F.upper(name).rlike("PROD|PRD|LIVE|MASTER|RELEASE"), "production").when(~F.upper(name).isin(*[a.upper() for a in allowed]), "not allowed")
+    """Why an instance may not be queried: a word of production in its name, or not on the list (in any case); null if it
+    may. A null name is not on any list."""
+    return F.when(F.upper(name).rlike("PROD|PRD|LIVE|MASTER|RELEASE"), "production").when(name.isNull() | ~F.upper(name).isin(*[a.upper() for a in allowed]), "not allowed")
 
 
 def capped(rows: DataFrame, cap: int) -> DataFrame:

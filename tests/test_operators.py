@@ -140,6 +140,20 @@ def test_gates(spark):
     assert changes.gates(counts, ["methods"], [], 0.1, 0.0).first()["verdict"] == "ok"
 
 
+def test_no_owner_is_an_error(spark):
+    rows = spark.createDataFrame([("a_stage",), ("",), (None,)], "owner string")
+    assert [r.owner for r in evidence.owners(rows, []).collect()] == ["A_STAGE"]
+    with pytest.raises(Exception, match="no owner is left"):
+        evidence.owners(rows, ["*_STAGE"]).collect()
+
+
+def test_ranks_over_partitions(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)] + [(None, 200)], "v int, k int").repartition(5)
+    got = sorted((r["rank"], r.v is not None, r.v) for r in search.ranked(rows, F.asc_nulls_first("v"), F.asc("k")).collect())
+    assert [x[0] for x in got] == [*range(1, 103)] and [x[2] for x in got] == [None, *range(101)]
+    assert search.ranked(rows.limit(0), F.asc("v")).count() == 0
+
+
 def test_a_hot_tag_keeps_all_its_terms(spark):
     n = 1_000_005
     rows = spark.range(n).selectExpr("'t' as tag", "cast(id as string) as term", "id as at")
@@ -237,7 +251,9 @@ def test_no_value_leaves_with_a_view(spark):
         mask.without_values(leaking).collect()
 
 
-def test_gates(spark):
+def test_gates_of_queries(spark):
+    assert one(spark, files.readonly(F.lit(None).cast("string"))) is False
+    assert one(spark, files.refused_instance(F.lit(None).cast("string"), ["a"])) == "not allowed"
     allowed = lambda sql: one(spark, files.readonly(F.lit(sql)))
     assert not allowed("WITH x AS (SELECT 1) EXEC p") and not allowed("select 1 from t begin") and not allowed("select 1; select 2")
     assert allowed("SELECT LISTAGG(a, ',' ON OVERFLOW TRUNCATE) FROM t;")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import map_batches, text_runs
+from .common import map_batches, per_worker, text_runs
 
 # Wordings of public licences and of notices that name them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -86,6 +86,7 @@ class Scanner:
             zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(_spelled(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for _, words in self.templates
         ]
+        self.sizes = [len(self.plain.compress(_spelled(words).encode())) for _, words in self.templates]
         #: longest word of a piece -> (its place in the piece, piece, template, the piece's place in the template)
         self.pieces: dict[str, list[tuple[int, list[str], int, int]]] = defaultdict(list)
         for i, (_, words) in enumerate(self.templates):
@@ -94,10 +95,36 @@ class Scanner:
                 longest = max(words[x:y], key=len)
                 self.pieces[longest].append((words.index(longest, x) - x, words[x:y], i, x))
 
+    def saved(self, words: list[str], template: int) -> int:
+        """Compressed bytes that the template's dictionary saves."""
+        data = _spelled(words).encode()
+        return len(self.plain.compress(data)) - len(self.given[template].compress(data))
+
     def saving(self, words: list[str], template: int) -> float:
         """Share of the compressed words that the template's dictionary saves."""
-        data = _spelled(words).encode()
-        return 1 - len(self.given[template].compress(data)) / len(self.plain.compress(data))
+        return self.saved(words, template) / len(self.plain.compress(_spelled(words).encode()))
+
+    def blocks(self, words: list[str]) -> list[tuple[int, int, set[int]]]:
+        """(first, last, templates): the stretches where a statement of a template that shares a piece with the text would
+        stand, those that overlap as one."""
+        regions = []
+        for at, word in enumerate(words):
+            for place, piece, i, x in self.pieces.get(word, ()):
+                first = at - place
+                if first >= 0 and words[first : first + len(piece)] == piece:
+                    start = first - x - self.most[i]
+                    regions.append((max(0, start), min(len(words), start + len(self.templates[i][1]) + 2 * self.most[i]), i))
+        out: list[tuple[int, int, set[int]]] = []
+        for first, last, i in sorted(regions):
+            if out and first < out[-1][1]:
+                out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2] | {i})
+            else:
+                out.append((first, last, {i}))
+        return out
+
+    def ranked(self, words: list[str], templates: set[int]) -> list[tuple[int, int]]:
+        """(bytes that the template saves on the block, template), most first; of equal savings the smaller template's."""
+        return sorted(((self.saved(words, i), i) for i in templates), key=lambda x: (-x[0], self.sizes[x[1]], x[1]))
 
     def matches(self, words: list[str]) -> set[tuple[float, int, int, int, int, int]]:
         """(changed share, -words of the template, template, first, last, changes), overlapping ones too."""
@@ -116,27 +143,36 @@ class Scanner:
                     found.add(((left + right) / len(wording), -len(wording), i, first - taken, last + more, left + right))
         return found
 
-    def scan(self, text: str, least_saving: float) -> list[tuple[int, int, str, float, int, float]]:
-        """(start, end, licence, saving, changed words, agreement) for each licence statement; of overlapping ones the closest."""
+    def scan(self, text: str, least_saving: float) -> list[tuple[int, int, str, float, int, float, int, int]]:
+        """(start, end, licence, saving, changed words, agreement, rank, bytes saved) for each licence statement.
+
+        In each block the templates are ranked by compression. In that order their statements are confirmed by their
+        exact word differences: the closest ones first, each where nothing confirmed before stands.
+        """
         words = words_of(text)
         if self.pieces.keys().isdisjoint(words):
             return []
-        firsts, lasts, chosen = [], [], []
-        for share, _, i, first, last, changed in sorted(self.matches(words)):
-            k = bisect(firsts, first)
-            if (k and lasts[k - 1] > first) or (k < len(firsts) and firsts[k] < last):
-                continue
-            name, wording = self.templates[i]
-            saving = self.saving(words[first:last], i)
-            if saving >= least_saving:
-                firsts.insert(k, first)
-                lasts.insert(k, last)
-                common = (len(wording) + last - first - changed) // 2
-                chosen.insert(k, (name, saving, changed, common / len(wording)))
+        chosen: list[tuple] = []
+        for start, end, templates in self.blocks(words):
+            block = words[start:end]
+            found = sorted(self.matches(block))
+            firsts, lasts = [], []  # of what is confirmed, in order
+            for rank, (saved, template) in enumerate(self.ranked(block, templates), 1):
+                wording = self.templates[template]
+                for _, _, i, first, last, changed in found:
+                    k = bisect(firsts, first)
+                    if i != template or (k and lasts[k - 1] > first) or (k < len(firsts) and firsts[k] < last):
+                        continue
+                    saving = self.saving(block[first:last], i)
+                    if saving >= least_saving:
+                        firsts.insert(k, first)
+                        lasts.insert(k, last)
+                        common = (len(wording[1]) + last - first - changed) // 2
+                        chosen.append((start + first, start + last, wording[0], saving, changed, common / len(wording[1]), rank, saved))
         if not chosen:
             return []
         places = [m.span() for m in WORD.finditer(text)]
-        return [(places[x][0], places[y - 1][1], *rest) for x, y, rest in zip(firsts, lasts, chosen, strict=True)]
+        return [(places[x][0], places[y - 1][1], *rest) for x, y, *rest in sorted(chosen)]
 
 
 def _spelled(words: list[str]) -> str:
@@ -152,28 +188,31 @@ def scan_licences(
     least_saving: float = 0.3,
     most_changes: float = 0.25,
 ) -> DataFrame:
-    """(id, start, end, licence, saving, changed_words, agreement, wording): one row for each licence statement found.
+    """(id, start, end, licence, saving, changed_words, agreement, rank, rank_saved, wording): one row for each
+    licence statement found.
 
     A statement is a run of words anywhere in the text, over any number of lines, that differs from a template by at
     most most_changes of the template's words (missing or added; another word counts as both) and of whose compressed
-    size the template as zstandard raw dictionary saves at least least_saving. Of statements that overlap, the one of
-    the least share of changes stands, then that of the longer template; all others are rows of their own. start and end
+    size the template as zstandard raw dictionary saves at least least_saving. A block, the stretch where statements of the
+    templates that share a piece with the text would stand, is compressed with each of these templates as dictionary;
+    they are ranked by the bytes saved (rank, rank_saved), and the exact word difference confirms in that order. Of statements that overlap, the one of the higher rank stands, of one
+    template the closer one; all others are rows of their own. start and end
     are code points. One narrow stage; only statements leave it. Null and empty texts have none, ids may be null or
     repeated, texts may be of any length. Other columns are not read.
     """
     known = templates or TEMPLATES
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known, most_changes)
+        scanner = per_worker(("licences", tuple(known.items()), most_changes), lambda: Scanner(known, most_changes))
         for batch in batches:
-            rows, cols = [], [[] for _ in range(7)]
+            rows, cols = [], [[] for _ in range(9)]
             for row, text in enumerate(t for _, _, texts in text_runs(batch.column(1)) for t in texts):
                 for found in scanner.scan(text, least_saving):
                     rows.append(row)
                     for col, value in zip(cols, (*found, text[found[0] : found[1]]), strict=True):
                         col.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "start", "end", "licence", "saving", "changed_words", "agreement", "wording"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "start", "end", "licence", "saving", "changed_words", "agreement", "rank", "rank_saved", "wording"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), task, f"`{id_col}` {kind}, start long, end long, licence string, saving double, changed_words long, agreement double, wording string")
+    return map_batches(docs.select(id_col, text_col), task, f"`{id_col}` {kind}, start long, end long, licence string, saving double, changed_words long, agreement double, rank long, rank_saved long, wording string")

@@ -31,12 +31,20 @@ def tile(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, summed component by component in order."""
+    """Euclidean distances in double precision, summed component by component in order.
+
+    Where squares would overflow or vanish the differences are scaled by a power of two before, which is exact. A
+    difference that is itself beyond a double counts as infinite.
+    """
+    steps = rows - query
+    most = np.abs(steps).max(1, initial=0)
+    odd = ((most > 1e140) | (most < 1e-140)) & (most > 0) & (most < np.inf)
+    power = np.where(odd, -np.frexp(most)[1], 0)
     total = np.zeros(len(rows))
     for d in range(len(query)):
-        step = rows[:, d] - query[d]
+        step = np.ldexp(steps[:, d], power) if odd.any() else steps[:, d]
         total += step * step
-    return np.sqrt(total)
+    return np.ldexp(np.sqrt(total), -power) if odd.any() else np.sqrt(total)
 
 
 class Tiles:
@@ -49,6 +57,10 @@ class Tiles:
         if len(np.unique(cid)) < len(cid):  # a row that is repeated must not stand for several of the k best
             first = list({(i, v.tobytes()): at for at, (i, v) in reversed([*enumerate(zip(cid.tolist(), c, strict=True))])}.values())
             cid, c = cid[first], c[first]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.compare(qid, q, cid, c)
+
+    def compare(self, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> None:
         qi, qs, qe = quantised(q)
         ci, cs, ce = quantised(c)
         q2, c2 = ((qi.astype(np.float64) * qs[:, None]) ** 2).sum(1), ((ci.astype(np.float64) * cs[:, None]) ** 2).sum(1)
@@ -57,14 +69,17 @@ class Tiles:
         slack = 1e-6 * (1 + np.sqrt(q2[:, None] + c2[None]))
         error = qe[:, None] + ce[None] + slack
         low, high = near - error, near + error
-        high[qid[:, None] == cid[None]] = np.inf
-        low[qid[:, None] == cid[None]] = np.inf
+        # of huge vectors the bounds overflow: such pairs are all computed
+        low[~np.isfinite(low) | ~np.isfinite(high)] = -np.inf
+        high[~np.isfinite(high) | np.isinf(low)] = np.inf
+        own = qid[:, None] == cid[None]
+        high[own] = np.inf
         k = min(self.k, high.shape[1])
         bound = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= self.k else np.full(len(q), np.inf)
         for i, query in enumerate(qid.tolist()):
             heap = self.heaps.setdefault(query, [])
             most = min(bound[i], -heap[0][0]) if len(heap) == self.k else bound[i]
-            alive = np.flatnonzero((low[i] <= most) & (low[i] < np.inf))
+            alive = np.flatnonzero((low[i] <= most) & ~own[i])
             for score, other in zip(exact(q[i], c[alive]).tolist(), cid[alive].tolist(), strict=True):
                 item = (-score, -other)
                 if item in heap:

@@ -80,6 +80,21 @@ SELECT 'm.P' || p_partkey || unnest(['.one', '.up']) AS statement, unnest(['sele
 """
 
 
+def mapper_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments five deep, over files, in a circle, unknown, and of one name in two files."""
+    xml = """concat('<mapper namespace="m.P', k, '"><sql id="cols">c_', p_size, ' <include refid="m.P', k + 1, '.rest"/></sql><sql id="rest">r_', k, ' <include refid="deep"/></sql><sql id="deep">d <include refid="turn"/></sql>',
+      '<sql id="turn">u_', k, ' <include refid="rest"/></sql><select id="one">SELECT <include refid="cols"></include>, <include refid="nowhere"/> FROM <choose><when test="a > 1">t_', p_size, '</when><otherwise>o_', k, '</otherwise></choose></select></mapper>')"""
+    rows = made(spark, sf_dir, "concat(lpad(k, 9, '0'), '.xml')", xml)
+    return files.mapper_statements(rows).select("statement", "sql", F.array_join("branches", "|").alias("branches"))
+
+
+MAPPER_CLOSURE = """
+WITH p AS (SELECT p_partkey AS k, p_size AS z, max(p_partkey) OVER () AS most FROM part),
+t AS (SELECT k, z, 'SELECT c_' || z || CASE WHEN k < most THEN ' r_' || (k + 1) || ' d u_' || k || ' r_' || k ELSE '' END || ' , FROM' AS head FROM p)
+SELECT 'm.P' || k || '.one' AS statement, head || ' t_' || z || ' o_' || k AS sql, head || '|t_' || z || '|o_' || k AS branches FROM t
+"""
+
+
 def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddl = r"concat('CREATE TABLE own.a', k, ' (\n id NUMBER(10,2),\n name VARCHAR2(', p_size, ') not null,\n PRIMARY KEY (id)\n);\ncreate table b', k, ' (x date);')"
     return files.ddl_columns(made(spark, sf_dir, "concat(k, '.sql')", ddl)).select("table", "column", "type")
@@ -245,7 +260,7 @@ SHEET_ROWS = """SELECT * FROM (VALUES ('s', 2, 'name', 'CMPK_USER via API', 'CMP
 
 _ALL = (
     term_expansion, provider_scores, case_files, sheet_rows,
-    source_scan, properties_items, tree_items, spring_beans, mapper_statements, ddl_columns, tns_aliases, jsonl_methods, readonly_gate, email_body, segments, segment_groups, sanitize_text,
+    source_scan, properties_items, tree_items, spring_beans, mapper_statements, mapper_closure, ddl_columns, tns_aliases, jsonl_methods, readonly_gate, email_body, segments, segment_groups, sanitize_text,
     redact_connections, text_rules, stream_incremental,
 )
 QUERIES = {f.__name__: f for f in _ALL}

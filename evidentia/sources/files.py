@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import value_type
+from evidentia.session import checkpointed
 
 
 # Words that no statement to be sent may hold; TRUNCATE is one only before what it truncates.
@@ -115,21 +116,68 @@ def spring_beans(files: DataFrame) -> DataFrame:
     return named.select("path", "bean", "class", F.explode_outer("props").alias("p")).select("path", "bean", "class", attribute("p", "name").alias("property"), attribute("p", "value").alias("value"))
 
 
+INCLUDE = r"""(?s)<include\b[^>]*?\brefid\s*=\s*["']([^"']*)["'][^>]*?(?:/>|>.*?</include>)"""
+#: Tags at which a dynamic statement takes one of several ways.
+BRANCH = r"""(?s)</?(?:if|when|otherwise|choose)\b(?:"[^"]*"|'[^']*'|[^'">])*>"""
+
+
+def xml_attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"""^<[^>]*?\b{name}\s*=\s*["']([^"']*)["']""", 1)
+
+
+def include_parts(body: Column) -> Column:
+    """A body as an array of (text, ref): what stands between includes, each behind it its include ('' for none)."""
+    mark = "\x01"
+    pieces = F.split(F.regexp_replace(body, INCLUDE, mark + "$1" + mark), mark)
+    return F.transform(F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(2)), lambda i: F.struct(F.element_at(pieces, i + 1).alias("text"), F.when(i + 2 <= F.size(pieces), F.element_at(pieces, i + 2)).otherwise("").alias("ref")))
+
+
+def mapper_fragments(files: DataFrame) -> DataFrame:
+    """(path, ns, id, parts): the <sql> fragments of mapper files, the first of an id in its file."""
+    content = F.regexp_replace("content", r"(?s)<!--.*?-->", " ")
+    blocks = F.regexp_extract_all(content, F.lit(r"(?s)<sql\b[^>]*>.*?</sql>"), F.lit(0))
+    found = files.select("path", F.regexp_extract(content, r"""<mapper\b[^>]*?\bnamespace\s*=\s*["']([^"']*)["']""", 1).alias("ns"), F.posexplode(blocks).alias("at", "x"))
+    body = F.regexp_extract("x", r"(?s)^<sql\b[^>]*>(.*)</sql>$", 1)
+    return found.groupBy("path", xml_attribute(F.col("x"), "id").alias("id")).agg(F.min_by(F.struct("ns", include_parts(body).alias("parts")), "at").alias("f")).filter("id <> ''").select("path", "f.ns", "id", "f.parts")
+
+
 def mapper_statements(files: DataFrame) -> DataFrame:
-    """(path, statement, verb, sql): namespace.id of each statement with its text without tags.
+    """(path, statement, verb, sql, branches): namespace.id of each statement with its text without tags.
 
-    <include> takes the <sql> fragment of that id in the same file, also of one inside another; an unknown one is blank.
+    An include takes the <sql> fragment of its refid: of the statement's own file, else the fragment of that full name
+    (namespace.id), else the first file's (by path) of that bare id; also inside fragments, to any depth and over files.
+    A fragment inside itself and an unknown one are blank. branches are the stretches between the tags at which a
+    statement takes one of several ways. Includes are filled round by round, each a join of the open ones with the
+    fragments, as many rounds as fragments are nested.
     """
-    include = lambda k: F.concat(F.lit('<include refid="'), k, F.lit('"/>'))
-    content = F.regexp_replace("content", r'<include\s+refid\s*=\s*"([^"]*)"\s*(?:/>|>\s*</include>)', '<include refid="$1"/>')
-    namespace = F.regexp_extract(content, r'<mapper\s+namespace\s*=\s*"([^"]*)"', 1)
-    blocks = F.regexp_extract_all(content, F.lit(r'(?s)<sql\b[^>]*\bid\s*=\s*"[^"]*"[^>]*>.*?</sql>'), F.lit(0))
-    fragments = F.transform(blocks, lambda x: F.named_struct(F.lit("id"), F.regexp_extract(x, r'\bid\s*=\s*"([^"]*)"', 1), F.lit("body"), F.regexp_extract(x, r"(?s)^<sql\b[^>]*>(.*)</sql>$", 1)))
+    content = F.regexp_replace("content", r"(?s)<!--.*?-->", " ")
+    namespace = F.regexp_extract(content, r"""<mapper\b[^>]*?\bnamespace\s*=\s*["']([^"']*)["']""", 1)
     statements = F.regexp_extract_all(content, F.lit(r"(?s)<(?:select|insert|update|delete)\b[^>]*>.*?</(?:select|insert|update|delete)>"), F.lit(0))
-    found = files.select("path", namespace.alias("ns"), fragments.alias("fragments"), F.explode(statements).alias("x"))
-    filled = lambda body: F.aggregate("fragments", body, lambda acc, f: F.replace(acc, include(f["id"]), f["body"]))
-    body = F.btrim(F.regexp_replace(F.regexp_replace(filled(filled(F.col("x"))), r"<[^>]+>", " "), r"\s+", " "))
-    return found.select("path", F.concat_ws(".", "ns", F.regexp_extract("x", r'\bid\s*=\s*"([^"]*)"', 1)).alias("statement"), F.regexp_extract("x", r"^<(\w+)", 1).alias("verb"), body.alias("sql"))
+    found = files.select("path", namespace.alias("ns"), F.posexplode(statements).alias("n", "x"))
+    named = found.select("path", "n", F.concat_ws(".", "ns", xml_attribute(F.col("x"), "id")).alias("statement"), F.regexp_extract("x", r"^<(\w+)", 1).alias("verb"), include_parts(F.col("x")).alias("parts"))
+    fragments = checkpointed(mapper_fragments(files).withColumn("key", F.concat_ws("#", "path", "id")))
+    local = fragments.select("path", F.col("id").alias("ref"), F.struct("key", "parts").alias("local"))
+    full = fragments.filter("ns <> ''").select(F.concat_ws(".", "ns", "id").alias("ref"), F.lit(0).alias("way"), "path", "key", "parts")
+    bare = fragments.select(F.col("id").alias("ref"), F.lit(1).alias("way"), "path", "key", "parts")
+    everywhere = full.unionByName(bare).groupBy("ref").agg(F.min_by(F.struct("key", "parts"), F.struct("way", "path")).alias("anywhere"))
+
+    keys = ("path", "n", "statement", "verb")
+    rows = named.select(*keys, F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("chain"), "parts")
+    done, opened = [], rows
+    while True:
+        apart = opened.select(*keys, "place", "chain", F.posexplode("parts").alias("i", "part"))
+        step = checkpointed(apart.select(*keys, F.concat("place", F.array(F.col("i"))).alias("place"), "chain", "part.text", "part.ref"))
+        done.append(step.select(*keys, "place", "text"))
+        asked = step.filter("ref <> ''")
+        if asked.isEmpty():
+            break
+        met = asked.join(local, ["path", "ref"], "left").join(everywhere, "ref", "left").withColumn("f", F.coalesce("local", "anywhere"))
+        # what an include gives stands behind the text before it, hence one place further
+        opened = met.filter(F.col("f").isNotNull() & ~F.array_contains("chain", F.col("f.key"))).select(*keys, F.concat("place", F.array(F.lit(0))).alias("place"), F.concat("chain", F.array("f.key")).alias("chain"), F.col("f.parts").alias("parts"))
+    whole = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("body"))
+    bare_text = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"""(?s)<!\[CDATA\[(.*?)\]\]>|</?[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>""", " $1 "), r"\s+", " "))
+    branches = F.filter(F.transform(F.split("body", BRANCH), bare_text), lambda x: x != "")
+    return whole.select("path", "statement", "verb", bare_text(F.col("body")).alias("sql"), branches.alias("branches"))
 
 
 def xml_kind(content: Column) -> Column:

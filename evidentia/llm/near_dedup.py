@@ -46,8 +46,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, rows: int) -> DataFrame:
-    """(doc, body, n_shingles, same_a, same_b, bands, bits_a, bits_b): the text's hash, set size, set identity, band keys,
-    one-bit signature."""
+    """(doc, body, n_shingles, same_a, same_b, bands): the text's hash, set size, set identity, band keys."""
     bands = coordinates // rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +58,6 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
                 n = len(sets)
                 same = np.zeros((n, 2), U64)
                 keys = np.zeros((n, bands), U64)
-                bits = np.zeros((n, 2), U64)
                 if full:
                     with np.errstate(over="ignore"):
                         for i in full:
@@ -71,9 +69,6 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
                         for r in range(rows):
                             acc = mixed(acc * U64(0x9E3779B97F4A7C15) + wide[:, r::rows][:, :bands])
                         keys[full] = acc
-                        one = (sig & U32(1)).astype(np.uint8)
-                        one = np.pad(one, ((0, 0), (0, max(0, 128 - one.shape[1]))))[:, :128]
-                        bits[full] = np.packbits(one, axis=1).view(U64)
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 offsets = pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -83,13 +78,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
                         pa.array(np.array([len(s) for s in sets], np.int64)),
                         *(pa.array(same[:, j].copy().view(np.int64)) for j in (0, 1)),
                         pa.ListArray.from_arrays(offsets, flat),
-                        *(pa.array(bits[:, j].copy().view(np.int64)) for j in (0, 1)),
                     ],
-                    ["doc", "body", "n_shingles", "same_a", "same_b", "bands", "bits_a", "bits_b"],
+                    ["doc", "body", "n_shingles", "same_a", "same_b", "bands"],
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
-    return map_batches(source, task, "doc long, body long, n_shingles long, same_a long, same_b long, bands array<long>, bits_a long, bits_b long")
+    return map_batches(source, task, "doc long, body long, n_shingles long, same_a long, same_b long, bands array<long>")
 
 
 def with_texts(wanted: DataFrame, classes: DataFrame, texts: DataFrame, few_rows: int = 500_000) -> DataFrame:
@@ -218,9 +212,9 @@ def near_duplicates(
        less pairs each time; this saves work and changes no result.
     3. In buckets that still lie in several components, pairs across components are due.
        Each member gets a home, the smallest pivot within two steps over buckets; members of one home (a text and its
-       many copies at all distances, as a rule) are compared block by block, as matrices. Pairs of different homes are kept unless the distances to the bucket's pivot rule them out
-       by the triangle inequality of the Jaccard distance, or the 128 one-bit minima differ in more places than a
-       similar pair's can (five standard deviations); those are verified one by one. Then components are formed again.
+       many copies at all distances, as a rule) are compared block by block, as matrices. Pairs of different homes are
+       verified one by one, but for those that the distances to the bucket's pivot rule out by the triangle inequality
+       of the Jaccard distance, which loses none. Then components are formed again.
 
     A pair at the threshold is missed with probability (1 - 0.75**4)**32 = 5e-6, less above it. Null, empty and
     blank texts have no shingles and are linked with nothing. Rows of the same id are one document, which all
@@ -238,7 +232,7 @@ def near_duplicates(
     by_id = member.join(several, "doc").filter("node > a").select("a", F.col("node").alias("b"))
 
     chiefs = known.join(classes.select(F.col("chief").alias("doc"), "body", "node"), ["doc", "body"]).dropDuplicates(["node"])
-    buckets = written(chiefs.select("node", "bits_a", "bits_b", F.posexplode("bands").alias("band", "key")), "buckets")
+    buckets = written(chiefs.select("node", F.posexplode("bands").alias("band", "key")), "buckets")
     pivots = written(buckets.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "pivots")
 
     star = buckets.join(pivots, ["band", "key"]).filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
@@ -283,7 +277,7 @@ def near_duplicates(
     # what is left: pairs across components, without those of the first pivots
     reach = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "share")
     away = side.filter("node <> pivot").join(reach, ["pivot", "node"], "left").withColumn("away", 1.0 - F.col("share"))
-    whole, side = side, written(away.select("band", "key", "pivot", "node", "component", "bits_a", "bits_b", "away"), "side")
+    whole, side = side, written(away.select("band", "key", "pivot", "node", "component", "away"), "side")
     homes = side.groupBy("node").agg(F.min("pivot").alias("home"))
     # one step further: the smallest home that any member of a document's buckets has
     least = side.join(homes, "node").groupBy("band", "key").agg(F.min("home").alias("least"))
@@ -293,13 +287,9 @@ def near_duplicates(
     at_home = linked_in_blocks(side.select("home", "node", "component").distinct(), classes, base, width, percent)
     x, y = side.alias("x"), side.alias("y")
     gap = 1 - percent / 100 + 1e-9
-    differ = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
-    used = min(128, coordinates)
-    odds = (1 - percent / 100) / 2
-    most_differing = used * odds + 5 * (used * odds * (1 - odds)) ** 0.5
     same_bucket = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
     due = (F.col("x.component") != F.col("y.component")) & (F.col("x.home") != F.col("y.home"))
-    possible = (F.abs(F.col("x.away") - F.col("y.away")) <= gap) & (differ <= most_differing)
+    possible = F.abs(F.col("x.away") - F.col("y.away")) <= gap
     across = written(
         x.join(y, same_bucket & due & possible)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))

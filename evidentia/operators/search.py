@@ -43,13 +43,24 @@ def capped_hits(hits: DataFrame, per_file: int, limit: int, file_col: str = "doc
 def enclosing(hits: DataFrame, scopes: DataFrame, file_col: str = "file") -> DataFrame:
     """The innermost scope(file, name, kind, start_line, end_line) around each hit(file, lineno); null where none is.
 
-    An equi-join on the file with the containment as residual; among scopes that hold the line a method goes before a
-    class, then the latest start.
+    Among scopes that hold the line a method goes before a class, then the latest start. A scope is cut into its dyadic
+    blocks (of 2**level lines, at most two a level), of which each keeps its best scope only, and a line asks for the
+    blocks that hold it, one a level up to its file's longest scope. So hits and scopes meet by equality, a file of many
+    of both costs their sum times a logarithm, and scopes may overlap in any way.
     """
-    h, s = hits.alias("h"), scopes.alias("s")
-    inside = (F.col(f"h.{file_col}") == F.col(f"s.{file_col}")) & (F.col("s.start_line") <= F.col("h.lineno")) & (F.col("s.end_line") >= F.col("h.lineno"))
-    best = F.max(F.when(F.col("s.name").isNotNull(), F.struct((F.col("s.kind") == "method").cast("int").alias("m"), F.col("s.start_line").alias("line"), F.col("s.name").alias("name")))).alias("best")
-    return h.join(s, inside, "left").groupBy(F.col(f"h.{file_col}"), F.col("h.lineno")).agg(best).select(file_col, "lineno", F.col("best.name").alias("scope"))
+    rank = F.struct((F.col("kind") == "method").cast("int").alias("m"), F.col("start_line").alias("line"), "name")
+    held = scopes.filter("name is not null and start_line <= end_line").select(F.col(file_col).alias("__file"), F.col("start_line").cast("long").alias("lo"), (F.col("end_line").cast("long") + 1).alias("hi"), rank.alias("best"))
+    longest = F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int")
+    left, right = (lambda x: -F.expr(f"shiftright(-lo, {x})")), (lambda x: F.expr(f"shiftright(hi, {x})"))
+    levels = held.withColumn("level", F.explode(F.sequence(F.lit(0), longest))).withColumns({"l": left("level"), "r": right("level")}).filter("l < r")
+    ends = F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 != 0, F.col("r") - 1))
+    blocks = levels.select("__file", "level", F.explode(F.array_compact(ends)).alias("block"), "best").groupBy("__file", "level", "block").agg(F.max("best").alias("best"))
+    tops = held.groupBy("__file").agg(F.max(longest).alias("top"))
+    lines = hits.select(F.col(file_col).alias("__file"), "lineno").distinct()
+    asked = lines.join(tops, "__file", "left").withColumn("level", F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))))
+    asked = asked.withColumn("block", F.expr("shiftright(cast(lineno as bigint), level)"))
+    met = asked.join(blocks, ["__file", "level", "block"], "left")
+    return met.groupBy("__file", "lineno").agg(F.max("best").alias("best")).select(F.col("__file").alias(file_col), "lineno", F.col("best.name").alias("scope"))
 
 
 def passages(lines: DataFrame, hits: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
-from evidentia.operators import lineage, scopes
+from evidentia.operators import lineage, scopes, search
 
 # What refers to a configuration key in Java.
 VALUE_ANNOTATIONS = ("Value",)
@@ -58,13 +58,16 @@ def config_references(files: DataFrame, framework: tuple[str, ...] = ()) -> Data
 def table_candidates(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """(term, table, evidence_count, n_edges): tables of edges whose name holds the term or is held by it, upper case.
 
-    Edges are summed by table before anything meets: the product is of distinct tables and terms. Terms are a stated
-    query; each is broadcast to the tables, in which names are short.
+    Edges are summed by table before anything meets, and names meet in both directions by their rarest piece.
     """
     ends = edges.select(F.explode(F.array("src_table", "dst_table")).alias("table"), "evidence_count").filter("coalesce(table, '') <> ''")
-    tables = ends.groupBy("table").agg(F.sum("evidence_count").alias("evidence_count"), F.count("*").alias("n_edges"))
-    name, term = F.upper("table"), F.upper("term")
-    return tables.join(terms.select("term").distinct(), F.contains(name, term) | F.contains(term, name)).select("term", "table", "evidence_count", "n_edges")
+    tables = ends.groupBy("table").agg(F.sum("evidence_count").alias("evidence_count"), F.count("*").alias("n_edges")).withColumn("__name", F.upper("table"))
+    asked = terms.select("term").distinct().withColumn("__term", F.upper("term"))
+    names, words = tables.select("__name"), asked.select("__term")
+    down = search.contained(words.toDF("needle"), names.toDF("text")).toDF("__term", "__name")
+    up = search.contained(names.toDF("needle"), words.toDF("text")).toDF("__name", "__term")
+    pairs = down.unionByName(up).distinct()
+    return pairs.join(asked, "__term").join(tables, "__name").select("term", "table", "evidence_count", "n_edges")
 
 
 def code_of_tables(wanted: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -13,12 +13,9 @@ def configs(wanted: DataFrame, items: DataFrame, entities: DataFrame) -> DataFra
     """Items of each wanted(key): those of that key, else those whose path holds it; with their entity; texts redacted."""
     exact = wanted.join(items, wanted["key"] == items["config_key"]).withColumn("how", F.lit("exact"))
     missed = wanted.join(items.select(F.col("config_key").alias("key")).distinct(), "key", "left_anti")
-    # a key inside a path: they meet by the key's first three characters, which the path must hold
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key_path") - 2, F.lit(1))), lambda i: F.substring(F.col("key_path"), i, F.lit(3))))
-    inside = missed.filter(F.length("key") >= 3).withColumn("__gram", F.substring("key", 1, 3)).join(items.withColumn("__gram", F.explode(grams)), "__gram").drop("__gram")
-    # what is shorter than that is wanted rarely: a stated few, which meet each path
-    short = missed.filter(F.length("key") < 3).join(items, F.contains(items["key_path"], missed["key"]))
-    part = inside.filter(F.contains("key_path", "key")).unionByName(short).withColumn("how", F.lit("path"))
+    # a key inside a path: the distinct paths that hold it, then their items
+    pairs = search.contained(missed.select(F.col("key").alias("needle")), items.select(F.col("key_path").alias("text")))
+    part = missed.join(pairs, missed["key"] == pairs["needle"]).drop("needle").join(items, F.col("text") == items["key_path"]).drop("text").withColumn("how", F.lit("path"))
     found = exact.unionByName(part)
     named = entities.select("entity_id", "entity_key", "entity_type")
     return found.join(named, "entity_id", "left").select("key", "how", "item_id", "key_path", mask.redacted(F.col("value_raw")).alias("value"), "entity_key")

@@ -63,6 +63,32 @@ def enclosing(hits: DataFrame, scopes: DataFrame, file_col: str = "file") -> Dat
     return met.groupBy("__file", "lineno").agg(F.max("best").alias("best")).select(F.col("__file").alias(file_col), "lineno", F.col("best.name").alias("scope"))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct pieces of one to three characters of a text, and the empty one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(text, i, n))))
+    return F.array_distinct(pieces)
+
+
+def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text): each pair of needles(needle) and texts(text), both taken once, where the text holds the needle.
+
+    An index of the texts by pieces of three characters. A needle meets only the texts of its rarest piece (one of
+    less than three characters those of itself), and a needle with a piece that no text has meets none, so a frequent
+    piece is a join key only for needles all of whose pieces are as frequent. Nulls are left out; an empty needle is in
+    every text.
+    """
+    wanted = needles.select("needle").filter("needle is not null").distinct()
+    index = texts.select("text").filter("text is not null").distinct().select("text", F.explode(_grams(F.col("text"))).alias("gram"))
+    long = F.length("needle") >= 3
+    own = F.when(long, F.filter(_grams(F.col("needle")), lambda g: F.length(g) == 3)).otherwise(F.array("needle"))
+    asked = wanted.select("needle", F.size(own).alias("n"), F.explode(own).alias("gram"))
+    frequency = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = asked.join(frequency, "gram").groupBy("needle").agg(F.count("*").alias("found"), F.min("n").alias("n"), F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    met = rarest.filter("found = n").select("needle", "gram").join(index, "gram")
+    return met.filter(F.contains("text", "needle")).select("needle", "text")
+
+
 def passages(lines: DataFrame, hits: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
     """(id, lineno, passage): the lines around each hit. The hit's few neighbours are joined by line number."""
     near = hits.select(id_col, F.col("lineno").alias("hit"), F.explode(F.sequence(F.col("lineno") - radius, F.col("lineno") + radius)).alias("lineno"))

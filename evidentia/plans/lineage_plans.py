@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import scores
 from evidentia.operators import changes, config, graph, lineage
 from evidentia.plans.search_plans import table
+from evidentia.sources import dictionary
 
 
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -314,12 +316,45 @@ def fan_out_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 FAN_OUT_UNION = "SELECT s_suppkey, n_regionkey AS instance FROM supplier JOIN nation ON n_nationkey = s_nationkey"
 
 
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as dictionary rows: a nation is an owner, its region the instance. Owner 05 fails, 24 has no instance, and
+    owners of over the mean number of rows are cut where they are read by themselves."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.format_string("O%02d", "n_nationkey").alias("owner"), F.concat(F.lit("TEST_"), "n_regionkey").alias("instance"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    rows = customer.join(nation, "n_nationkey").select("owner", "instance", F.col("c_custkey").alias("id"))
+    routes = [(r["owner"], None if r["owner"] == "O24" else r["instance"]) for r in nation.collect()]
+    instances = sorted({i for _, i in routes if i})
+    dump = dictionary.dump_reader({i: rows.filter(F.col("instance") == i).drop("instance") for i in instances}, "owner", ["owner", "id"])
+
+    def read(instance: str, owners: list[str], most: int) -> DataFrame:
+        if "O05" in owners:
+            raise PySparkException(message="no privilege")
+        return dump(instance, owners, most)
+
+    found = dictionary.scan(spark, read, routes, instances, owner_col="owner", group=2, cap=max(1, customer.count() // 25))
+    sums = found.rows.groupBy("owner").agg(F.sum("id").alias("size"))
+    return found.report.join(sums, "owner", "left").select("owner", "instance", "n_rows", "status", F.coalesce("size", F.lit(0)).alias("size"))
+
+
+DICTIONARY_SCAN = """
+WITH cap AS (SELECT greatest(1, count(*) // 25) AS cap FROM customer),
+o AS (SELECT n_nationkey, printf('O%02d', n_nationkey) AS owner, CASE WHEN n_nationkey <> 24 THEN 'TEST_' || n_regionkey END AS instance FROM nation),
+k AS (SELECT n_nationkey, owner, instance, count(c_custkey) AS n FROM o LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, owner, instance),
+c AS (SELECT *, (row_number() OVER (PARTITION BY instance ORDER BY owner) - 1) // 2 AS g FROM k),
+s AS (SELECT *, sum(n) OVER w > cap * count(*) OVER w OR bool_or(n_nationkey = 5) OVER w AS alone FROM c, cap WINDOW w AS (PARTITION BY instance, g)),
+t AS (SELECT *, CASE WHEN instance IS NULL OR n_nationkey = 5 THEN 'failed' WHEN n = 0 THEN 'empty' WHEN alone AND n > cap THEN 'truncated' ELSE 'ok' END AS status FROM s),
+r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)
+SELECT owner, instance, CASE status WHEN 'failed' THEN 0 WHEN 'truncated' THEN any_value(cap) ELSE any_value(n) END::BIGINT AS n_rows, status, coalesce(sum(c_custkey) FILTER (status = 'ok' OR (status = 'truncated' AND k <= cap)), 0)::BIGINT AS size
+FROM t LEFT JOIN r ON c_nationkey = n_nationkey GROUP BY owner, instance, status
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         calls_2hop_callees, calls_2hop_callers, calls_truncation_flags, lineage_edge_dedup, lineage_validate, lineage_up_down, table_edge_counts, object_dependency_edges, name_resolution,
         fk_unresolved_dblinks, dataflow_trace, lineage_edges_build, fk_self_join, column_comment_left_join, index_column_listagg, sequence_capacity, materialize_plan, incremental_plan,
-        incremental_expand, fan_out_union,
+        incremental_expand, fan_out_union, dictionary_scan,
     )
 }
 ORACLE_SQL = {
@@ -327,5 +362,5 @@ ORACLE_SQL = {
     "lineage_validate": LINEAGE_VALIDATE, "lineage_up_down": LINEAGE_UP_DOWN, "table_edge_counts": TABLE_EDGE_COUNTS, "object_dependency_edges": OBJECT_DEPENDENCY_EDGES,
     "name_resolution": NAME_RESOLUTION, "fk_unresolved_dblinks": FK_UNRESOLVED_DBLINKS, "dataflow_trace": DATAFLOW_TRACE, "lineage_edges_build": LINEAGE_EDGES_BUILD, "fk_self_join": FK_SELF_JOIN,
     "column_comment_left_join": COLUMN_COMMENT_LEFT_JOIN, "index_column_listagg": INDEX_COLUMN_LISTAGG, "sequence_capacity": SEQUENCE_CAPACITY, "materialize_plan": MATERIALIZE_PLAN,
-    "incremental_plan": INCREMENTAL_PLAN, "incremental_expand": INCREMENTAL_EXPAND, "fan_out_union": FAN_OUT_UNION,
+    "incremental_plan": INCREMENTAL_PLAN, "incremental_expand": INCREMENTAL_EXPAND, "fan_out_union": FAN_OUT_UNION, "dictionary_scan": DICTIONARY_SCAN,
 }

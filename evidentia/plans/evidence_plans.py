@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import mask, scores, text
 from evidentia.operators import builds, cases, config, evidence, fusion, lineage, requirements, search
+from evidentia.operators import config_store as stored
 from evidentia.plans.search_plans import table
 from evidentia.plans.source_plans import made, scratch
 from evidentia.sources import files
+from evidentia.sources.snapshots import SnapshotStore
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +403,43 @@ UNION ALL SELECT 'bindings', count(*) FROM (SELECT DISTINCT key_path, class_fqn,
 """
 
 
+def config_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two builds of a configuration store with decisions between them: the items of the second, what changed since the
+    first, what people decided, and the classes that use an entity."""
+    rows = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    entity = F.concat(F.when(F.col("k") % 5 == 0, "db.password.").otherwise("app.size."), F.col("k") % 40)
+    items = rows.select(
+        "k", F.concat(F.lit("f"), F.col("k") % 7, F.lit(".properties")).alias("file_path"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("e"), F.col("k") % 3)).alias("env"),
+        entity.alias("entity_key"), F.concat(entity, F.lit(".v")).alias("key_path"), F.col("c_name").alias("value"), F.col("k").alias("order"),
+    )
+    references = rows.select(F.concat(F.lit("app.size."), F.col("k") % 60).alias("ref_key"), F.concat(F.lit("C"), F.col("k") % 10).alias("class_fqn"))
+    store = SnapshotStore(spark, f"{scratch(spark)}/config-store-{spark.sql('select uuid()').first()[0]}")
+    stored.rebuild(store, items, references, b"salt", "first")
+    decision = F.when(F.col("entity_key") == "app.size.1", "confirm").when(F.col("entity_key") == "app.size.2", "reject")
+    stored.decide(store, "confirmations", store.read("entities").select("entity_id", decision.alias("decision"), F.lit("me").alias("decided_by")).filter("decision is not null"))
+    changed = items.filter("k % 4 <> 0").withColumn("value", F.when(F.col("k") % 11 == 0, F.concat("value", F.lit("x"))).otherwise(F.col("value")))
+    stored.rebuild(store, changed, references, b"salt", "second")
+    used = stored.effective_bindings(store.read("bindings"), store.read("confirmations")).groupBy("entity_id").agg(F.count("*").alias("n_classes"))
+    what = ["item_id", "file_path", "env", "key_path"]
+    now = store.read("items").select(*what, "entity_id", "value").join(store.read("history").select(*what, "change", "value_before"), what, "full")
+    known = now.join(store.read("confirmations").select("entity_id", "decision"), "entity_id", "left").join(used, "entity_id", "left")
+    return known.select(*what, *[F.coalesce(c, F.lit("")).alias(c) for c in ("entity_id", "value", "change", "value_before", "decision")], F.coalesce("n_classes", F.lit(0)).alias("n_classes"))
+
+
+CONFIG_STORE = """
+WITH r AS (SELECT c_custkey AS k, 'f' || (k % 7) || '.properties' AS file_path, CASE WHEN k % 3 > 0 THEN 'e' || (k % 3) ELSE '' END AS env, CASE WHEN k % 5 = 0 THEN 'db.password.' ELSE 'app.size.' END || (k % 40) AS entity_key, c_name AS v FROM customer),
+a AS (SELECT file_path, env, entity_key, arg_max(v, k) AS v FROM r GROUP BY ALL),
+b AS (SELECT file_path, env, entity_key, arg_max(CASE WHEN k % 11 = 0 THEN v || 'x' ELSE v END, k) AS v FROM r WHERE k % 4 <> 0 GROUP BY ALL),
+j AS (SELECT file_path, env, entity_key, a.v AS v_a, b.v AS v_b, 'src_' || substr(sha256(file_path), 1, 24) AS src FROM a FULL JOIN b USING (file_path, env, entity_key)),
+m AS (SELECT *, CASE WHEN v_a IS NULL THEN 'added' WHEN v_b IS NULL THEN 'removed' WHEN v_a <> v_b THEN 'changed' ELSE '' END AS change, CASE WHEN entity_key LIKE 'db.%' THEN '****' || right(v_a, 4) ELSE v_a END AS shown_a, CASE WHEN entity_key LIKE 'db.%' THEN '****' || right(v_b, 4) ELSE v_b END AS shown_b FROM j),
+u AS (SELECT 'app.size.' || (c_custkey % 60) AS entity_key, count(DISTINCT c_custkey % 10) AS n FROM customer GROUP BY 1)
+SELECT 'item_' || substr(sha256(src || '|' || entity_key || '.v|snap_' || substr(sha256(src || '|' || env), 1, 24)), 1, 24) AS item_id, file_path, env, entity_key || '.v' AS key_path,
+  CASE WHEN v_b IS NULL THEN '' ELSE 'ent_' || substr(sha256(src || '|' || entity_key), 1, 24) END AS entity_id, coalesce(shown_b, '') AS value, change, CASE WHEN change <> '' THEN coalesce(shown_a, '') ELSE '' END AS value_before,
+  CASE WHEN v_b IS NULL THEN '' WHEN entity_key = 'app.size.1' THEN 'confirm' WHEN entity_key = 'app.size.2' THEN 'reject' ELSE '' END AS decision, CASE WHEN v_b IS NULL OR entity_key = 'app.size.2' THEN 0 ELSE coalesce(n, 0) END AS n_classes
+FROM m LEFT JOIN u USING (entity_key)
+"""
+
+
 def mapper_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = """concat('<?xml version="1.0"?><mapper namespace="m.P', k, '"><sql id="cols">a.id, <include refid="more" /></sql><sql id="more">b.x', k, '</sql>',
       '<select id="one">SELECT <include refid="cols"></include> FROM t_', p_size, ' a JOIN u_', k % 5, ' b ON a.id = b.id</select><insert id="put">INSERT INTO w_', k, ' SELECT * FROM t_', p_size, '</insert></mapper>')"""
@@ -488,7 +527,7 @@ SPLIT_HEADER_ROWS = f"WITH {PARTS} SELECT 's' || (k % 3) AS sheet, (k + 10)::INT
 _ALL = (
     config_table_identify, config_references, table_candidates, code_of_tables, owner_backfill, config_path_signals, rule_set_tables, judged_candidates, shown_signals, unresolved_ratio, real_tables, subquery_relations, recovered_statements,
     owner_discovery, sheet_evidence, module_scope, text_summaries, evidence_pointers, prompt_redaction, compatible_terms, decoded_texts, index_row_sets, instance_gate, normalised_tables, vote_samples, excluded_paths,
-    linked_names, stopped_keywords, synonyms_expanded, split_header_rows, mapper_ingest, config_items, view_counts, projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension,
+    linked_names, stopped_keywords, synonyms_expanded, split_header_rows, mapper_ingest, config_items, view_counts, projection_gate, dimension_build, run_artifact, requirement_breakdown, config_dimension, config_store,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

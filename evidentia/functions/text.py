@@ -62,12 +62,13 @@ def preprocessed_sql(sql: Column) -> Column:
     return sql
 
 
-def normalised_table(name: Column, shard: str = r"_\d{1,2}$", typos: dict[str, str] | None = None) -> Column:
-    """Upper case, known typos mended, then without shard suffix, then without month suffix."""
+def normalised_table(name: Column, shard: str = r"_\d{1,2}$", typos: dict[str, str] | None = None, month: str | None = MONTH_SUFFIX) -> Column:
+    """Upper case, known typos mended, then without shard suffix, then without month suffix (month None: none is cut)."""
     out = F.upper(F.btrim(name))
     if typos:
         out = F.coalesce(F.create_map(*[F.lit(x) for pair in typos.items() for x in pair])[out], out)
-    return F.regexp_replace(F.regexp_replace(out, shard, ""), MONTH_SUFFIX, "")
+    out = F.regexp_replace(out, shard, "")
+    return F.regexp_replace(out, month, "") if month else out
 
 
 def datasource_key(url: Column) -> Column:

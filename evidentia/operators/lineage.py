@@ -67,11 +67,12 @@ def object_edges(dependencies: DataFrame, kinds: tuple[str, ...] = ("TABLE", "VI
     return kept.select(src.alias("src"), dst.alias("dst"), F.lit("OBJECT_DEPENDENCY").alias("edge_kind"), F.lit("DIRECT").alias("lineage_type")).distinct()
 
 
-def linked_names(names: DataFrame, dblinks: DataFrame) -> DataFrame:
+def linked_names(names: DataFrame, dblinks: DataFrame, month: str | None = text.MONTH_SUFFIX) -> DataFrame:
     """(raw, table, db, status): where a name after @ leads by dblinks(link, instance), also by the link's base name; the
-    status tells local names from links that are resolved or not."""
+    status tells local names from links that are resolved or not. month is the suffix of monthly tables, None if the
+    database has none and six digits are part of a name."""
     link = F.upper(F.regexp_extract("raw", "@(.+)$", 1))
-    placed = names.select("raw", text.normalised_table(F.substring_index("raw", "@", 1)).alias("table"), link.alias("link"), F.substring_index(link, ".", 1).alias("base"))
+    placed = names.select("raw", text.normalised_table(F.substring_index("raw", "@", 1), month=month).alias("table"), link.alias("link"), F.substring_index(link, ".", 1).alias("base"))
     known = dblinks.select(F.upper("link").alias("link"), "instance")
     by_full, by_base = known.withColumnRenamed("instance", "by_full"), known.select(F.col("link").alias("base"), F.col("instance").alias("by_base"))
     found = placed.join(by_full, "link", "left").join(by_base, "base", "left")

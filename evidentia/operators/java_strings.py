@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.session import met, parts_for, stored
+
 # What makes a text a statement, where statements are sent to, and what may or may not run.
 SQL_HINTS = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "FROM", "JOIN")
 SQL_VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "WITH")
@@ -58,7 +60,7 @@ def tokens(files: DataFrame) -> DataFrame:
     return based.select("path", "pos", "tok", "line", "prev", "prev2", "depth", running(ends.cast("int"), before).alias("stmt"), rel.alias("rel"))
 
 
-def surroundings(toks: DataFrame) -> DataFrame:
+def surroundings(toks: DataFrame, parts: int) -> DataFrame:
     """(path, stmt, method(level, stmt, name), class(level, name), branch) of each statement inside a class.
 
     A statement at depth d is inside the last block opened at each level below d, so blocks and statements meet by
@@ -78,12 +80,12 @@ def surroundings(toks: DataFrame) -> DataFrame:
     heads = stmts.filter(F.endswith("text", F.lit("{"))).select("path", "stmt", F.col("depth").alias("level"), opened.alias("head"), F.lit(False).alias("asks"), F.lit(False).alias("own"))
     asks = stmts.filter("depth > 0").select("path", "stmt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth") - 1)).alias("level"), F.lit(None).cast(heads.schema["head"].dataType).alias("head"), F.lit(True).alias("asks"), is_branch.alias("own"))
     last = F.last("head", ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("stmt"))
-    met = heads.unionByName(asks).withColumn("head", last).filter("asks")
+    inside = heads.unionByName(asks).repartition(parts, "path").withColumn("head", last).filter("asks")
 
     def inner(kind: str, *names: str) -> Column:
         return F.max(F.when(F.col("head.kind") == kind, F.struct("level", *[f"head.{n}" for n in names])))
 
-    found = met.groupBy("path", "stmt").agg(inner("method", "stmt", "name").alias("method"), inner("class", "name").alias("class"), inner("branch").alias("within"), F.max("own").alias("own"))
+    found = inside.groupBy("path", "stmt").agg(inner("method", "stmt", "name").alias("method"), inner("class", "name").alias("class"), inner("branch").alias("within"), F.max("own").alias("own"))
     branch = F.col("own") | F.coalesce(F.col("within.level") > F.coalesce("method.level", F.lit(-1)), F.lit(False))
     return found.select("path", "stmt", "method", "class", branch.alias("branch"))
 
@@ -112,8 +114,10 @@ def sql_strings(files: DataFrame) -> DataFrame:
     Files with null or no content give no rows.
     """
     hinted = files.filter(F.upper("content").rlike("|".join(SQL_HINTS))).select("path", "content")
-    toks = tokens(hinted)
-    inside = toks.join(surroundings(toks), ["path", "stmt"])
+    # what tokens become is read many times, so it is stored; partitions follow the texts' bytes, see parts_for
+    parts = parts_for(hinted, "content")
+    toks = stored(tokens(hinted.repartition(parts, "path"))).repartition(parts, "path")
+    inside = stored(met(parts, toks, surroundings(toks, parts), ["path", "stmt"])).repartition(parts, "path", "stmt")
     tok, rel = F.col("tok"), F.col("rel")
     order = Window.partitionBy("path", "stmt").orderBy("pos")
     sets = F.when((rel == 0) & tok.isin("=", "+="), F.col("pos"))
@@ -136,39 +140,39 @@ def sql_strings(files: DataFrame) -> DataFrame:
     one = F.when(F.size("toks") == 1, F.get("toks", F.lit(0)))
     operands = operands.withColumns({"text": F.when(_is_text(one), _bare(one)), "uses": F.when(one.rlike(r"^[A-Za-z_$]"), one), "called": _called(F.col("toks"))})
     alone = operands.groupBy(*key).agg(F.count("*").alias("n"), F.max("text").alias("text"))
-    literals = targets.filter("declares").join(alone.filter("n = 1 and text is not null").select("path", "stmt", "part", "text"), ["path", "stmt", "part"])
+    literals = met(parts, targets.filter("declares"), alone.filter("n = 1 and text is not null").select("path", "stmt", "part", "text"), ["path", "stmt", "part"])
     known = literals.filter("method is not null").groupBy("path", F.col("method.stmt").alias("of"), "name").agg(F.max_by("text", F.struct("stmt", "part")).alias("value"))
-    owned = operands.join(targets.select("path", "stmt", "part", "name", "declares", "line_start", "line_end"), ["path", "stmt", "part"])
+    owned = met(parts, operands, targets.select("path", "stmt", "part", "name", "declares", "line_start", "line_end"), ["path", "stmt", "part"])
     k = known.select(F.col("path").alias("k_path"), "of", F.col("name").alias("k_name"), "value")
     own = F.col("declares") & (F.col("uses") == F.col("name"))
-    filled = owned.join(k, (F.col("path") == F.col("k_path")) & (F.col("method.stmt") == F.col("of")) & (F.col("uses") == F.col("k_name")) & ~own, "left")
+    filled = owned.repartition(parts, "path", "method.stmt", "uses").join(k.repartition(parts, "k_path", "of", "k_name").hint("merge"), (F.col("path") == F.col("k_path")) & (F.col("method.stmt") == F.col("of")) & (F.col("uses") == F.col("k_name")) & ~own, "left")
     value = F.coalesce("text", "value", F.lit(UNKNOWN))
     together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("operand", value.alias("v")))), lambda x: x["v"]), "")
-    values = filled.groupBy(*key, "name", "declares", "line_start", "line_end").agg(together.alias("joined"), F.count("*").alias("n"), F.max("text").alias("only"), F.max("called").alias("called"), F.max("odd").alias("odd"), F.max(F.col("value").isNotNull()).alias("local")).filter("not odd")
+    values = filled.repartition(parts, "path", "stmt").groupBy(*key, "name", "declares", "line_start", "line_end").agg(together.alias("joined"), F.count("*").alias("n"), F.max("text").alias("only"), F.max("called").alias("called"), F.max("odd").alias("odd"), F.max(F.col("value").isNotNull()).alias("local")).filter("not odd")
     static = F.when(F.col("n") == 1, F.coalesce("only", "called"))
     mode = F.when(static.isNotNull(), "literal").when(F.col("local"), "local_var").otherwise("concat")
 
     sends = inside.filter("method is not null").withColumn("sink", F.max(tok.isin(*SINKS) & (F.lead("tok").over(order) == "(")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    sunk = sends.filter((rel > 0) & F.col("sink")).select(F.col("path").alias("s_path"), F.col("method.stmt").alias("s_of"), F.col("tok").alias("s_name")).distinct()
-    reach = values.withColumn("mode", mode).withColumn("sql_text", F.coalesce(static, "joined")).join(sunk, (F.col("path") == F.col("s_path")) & (F.col("method.stmt") == F.col("s_of")) & (F.col("name") == F.col("s_name")), "left")
+    sunk = sends.filter((rel > 0) & F.col("sink")).select(F.col("path").alias("s_path"), F.col("method.stmt").alias("s_of"), F.col("tok").alias("s_name")).repartition(parts, "s_path").distinct()
+    reach = values.withColumn("mode", mode).withColumn("sql_text", F.coalesce(static, "joined")).repartition(parts, "path", "method.stmt", "name").join(sunk.repartition(parts, "s_path", "s_of", "s_name").hint("merge"), (F.col("path") == F.col("s_path")) & (F.col("method.stmt") == F.col("s_of")) & (F.col("name") == F.col("s_name")), "left")
     sure = F.col("declares") & (F.col("mode").isin("literal", "local_var") | F.col("s_name").isNotNull())
     container = F.concat_ws(".", "class.name", "method.name")
     assigned = reach.select("path", "line_start", "line_end", container.alias("container"), "sql_text", F.col("mode").alias("recovery_mode"), F.when(sure, "medium").otherwise("low").alias("confidence"), F.lit(False).alias("branch_detected"))
 
     # builders: names declared as one, and the calls of append in statements that begin a chain at such a name
     in_method = inside.filter("method is not null").withColumn("of", F.col("method.stmt"))
-    builders = in_method.filter(F.col("prev").isin(*BUILDERS) & (F.col("prev2") != "new") & tok.rlike(r"^[A-Za-z_$]")).select("path", "of", F.col("tok").alias("name")).distinct()
+    builders = in_method.filter(F.col("prev").isin(*BUILDERS) & (F.col("prev2") != "new") & tok.rlike(r"^[A-Za-z_$]")).select("path", "of", F.col("tok").alias("name")).repartition(parts, "path").distinct()
     nth = F.coalesce(F.sum(F.when((rel == 0) & (tok == "append") & (F.col("prev") == "."), 1)).over(order), F.lit(0))
     chained = in_method.withColumn("nth", nth).withColumn("dot", F.when((tok == ".") & (rel == 0) & (F.lead("tok").over(order) == "append"), F.struct("pos", "prev")))
     named = chained.withColumn("name", F.min("dot").over(Window.partitionBy("path", "stmt"))["prev"]).filter("nth > 0 and rel > 0")
     arguments = named.groupBy("path", "of", "class", "method", "name", "stmt", "nth").agg(listed.alias("toks"), F.max("branch").alias("branch"))
     inner = F.get("toks", F.lit(1))
     piece = F.when((F.size("toks") == 3) & _is_text(inner), _bare(inner)).when(F.size("toks") > 2, UNKNOWN).otherwise("")
-    pieces = arguments.join(builders, ["path", "of", "name"]).groupBy("path", "of", "class", "method", "name")
+    pieces = met(parts, arguments, builders, ["path", "of", "name"]).groupBy("path", "of", "class", "method", "name")
     built = pieces.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stmt", "nth", piece.alias("v")))), lambda x: x["v"]), "").alias("sql_text"), F.max("branch").alias("branch_detected"))
     spans = toks.groupBy("path", "stmt").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
     heads = spans.select("path", F.col("stmt").alias("of"), F.col("lo").alias("line_start"))
-    ends = in_method.groupBy("path", "of").agg(F.max("line").alias("line_end"))
-    long = built.join(heads, ["path", "of"]).join(ends, ["path", "of"]).select("path", "line_start", "line_end", container.alias("container"), "sql_text", F.lit("string_builder").alias("recovery_mode"), F.lit("low").alias("confidence"), "branch_detected")
+    ends = in_method.select("path", "of", "line").repartition(parts, "path").groupBy("path", "of").agg(F.max("line").alias("line_end"))
+    long = met(parts, met(parts, built, heads, ["path", "of"]), ends, ["path", "of"]).select("path", "line_start", "line_end", container.alias("container"), "sql_text", F.lit("string_builder").alias("recovery_mode"), F.lit("low").alias("confidence"), "branch_detected")
     upper, verbs = F.upper(F.btrim("sql_text")), "|".join(SQL_VERBS)
     return assigned.unionByName(long).filter(upper.rlike(rf"(?s)^(?:{verbs})| (?:{verbs}) "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators import lineage, scopes, search
+from evidentia.session import stored
 
 # What refers to a configuration key in Java.
 VALUE_ANNOTATIONS = ("Value",)
@@ -148,8 +149,7 @@ def real_tables(statements: DataFrame) -> DataFrame:
 
 def subquery_relations(statements: DataFrame) -> DataFrame:
     """(template_id, src_table, dst_table, relation_type): tables of nested queries and those of the query around them."""
-    found = scopes.relations(statements).filter("relation_type in ('SUBQUERY', 'EXISTS') and src_table <> dst_table")
-    return found.select("template_id", "src_table", "dst_table", "relation_type").distinct()
+    return scopes.nested_relations(statements).filter("src_table <> dst_table").select("template_id", "src_table", "dst_table", "relation_type").distinct()
 
 
 def recovered_statements(scripts: DataFrame, least: int = 10) -> DataFrame:
@@ -230,6 +230,7 @@ def mapper_ingest(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     and the edges between tables that its text tells."""
     kept = statements.filter(F.col("statement").rlike(text.FQN_FORM))
     templates = kept.select(F.concat(F.lit("T"), F.upper(F.substring(F.md5(F.concat_ws(":", "path", "statement")), 1, 12))).alias("template_id"), F.col("path").alias("source_file"), F.col("statement").alias("container"), F.col("sql").alias("sql_text"), F.lit("mybatis_mapper").alias("recovery_mode"))
+    templates = stored(templates)  # read by four joins
     pairs = lineage.equal_pairs(templates).unionByName(subquery_relations(templates))
-    named = pairs.join(templates.select("template_id", "source_file", "container"), "template_id")
+    named = pairs.join(templates.select("template_id", "source_file", "container").hint("merge"), "template_id")
     return templates, named.select(lineage.edge_id(F.col("src_table"), F.col("dst_table"), F.col("relation_type")).alias("edge_id"), "src_table", "dst_table", "relation_type", "container", "source_file").distinct()

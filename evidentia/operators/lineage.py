@@ -122,7 +122,7 @@ def equal_pairs(statements: DataFrame) -> DataFrame:
     part = F.btrim(F.regexp_replace("source", r"(?i)\s+as\s+", " "))
     sources = tabled.select("template_id", F.explode(F.flatten(F.transform("sources", lambda x: F.split(x, ",")))).alias("source")).select(
         "template_id", F.upper(F.element_at(F.split(part, " "), 1)).alias("table"), F.upper(F.element_at(F.split(part, " "), -1)).alias("alias")
-    ).filter("table <> 'DUAL'").distinct()
+    ).filter("table <> 'DUAL'").distinct().hint("merge")  # exploded rows are many times the bytes that Spark takes them for
     written = tabled.filter("target <> ''").select("template_id", F.upper("target").alias("dst_table"), F.when(F.lower("verb").isin("insert", "create"), "INSERT_SELECT").otherwise(F.upper("verb")).alias("relation_type"))
     writes = written.join(sources, "template_id").filter("table <> dst_table").select("template_id", F.col("table").alias("src_table"), "dst_table", "relation_type")
     sides = tabled.select("template_id", "sql", F.explode("equalities").alias("eq")).select(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import value_type
-from evidentia.session import checkpointed
+from evidentia.session import checkpointed, parts_for
 
 
 # Words that no statement to be sent may hold; TRUNCATE is one only before what it truncates.
@@ -94,17 +94,19 @@ def tree_items(files: DataFrame) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the same parser in C, where it is built
         for batch in batches:
             out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    tree = json.loads(content) if path.endswith(".json") else yaml.safe_load(content)
+                    tree = json.loads(content) if path.endswith(".json") else yaml.load(content, loader)
                 except (ValueError, yaml.YAMLError):
                     continue
                 out += [(path, key, value) for key, value in flattened(tree)]
             yield pd.DataFrame(out, columns=["path", "key_path", "value"])
 
-    items = files.select("path", "content").mapInPandas(task, "path string, key_path string, value string")
+    dealt = files.select("path", "content").repartition(parts_for(files, "content"), "path")  # a few files may hold all rows
+    items = dealt.mapInPandas(task, "path string, key_path string, value string")
     return items.withColumn("value_type", value_type(F.col("value")))
 
 
@@ -156,10 +158,11 @@ def mapper_statements(files: DataFrame) -> DataFrame:
     found = files.select("path", namespace.alias("ns"), F.posexplode(statements).alias("n", "x"))
     named = found.select("path", "n", F.concat_ws(".", "ns", xml_attribute(F.col("x"), "id")).alias("statement"), F.regexp_extract("x", r"^<(\w+)", 1).alias("verb"), include_parts(F.col("x")).alias("parts"))
     fragments = checkpointed(mapper_fragments(files).withColumn("key", F.concat_ws("#", "path", "id")))
-    local = fragments.select("path", F.col("id").alias("ref"), F.struct("key", "parts").alias("local"))
+    # joined by sorting: Spark sizes what is exploded by the files that it came from, and would broadcast all fragments
+    local = fragments.select("path", F.col("id").alias("ref"), F.struct("key", "parts").alias("local")).hint("merge")
     full = fragments.filter("ns <> ''").select(F.concat_ws(".", "ns", "id").alias("ref"), F.lit(0).alias("way"), "path", "key", "parts")
     bare = fragments.select(F.col("id").alias("ref"), F.lit(1).alias("way"), "path", "key", "parts")
-    everywhere = full.unionByName(bare).groupBy("ref").agg(F.min_by(F.struct("key", "parts"), F.struct("way", "path")).alias("anywhere"))
+    everywhere = full.unionByName(bare).groupBy("ref").agg(F.min_by(F.struct("key", "parts"), F.struct("way", "path")).alias("anywhere")).hint("merge")
 
     keys = ("path", "n", "statement", "verb")
     rows = named.select(*keys, F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("chain"), "parts")

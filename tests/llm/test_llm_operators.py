@@ -667,6 +667,24 @@ def test_counts_through_levels_agree(documents):
     assert score() == score(bucket_bytes=20_000, level_bits=2)
 
 
+def shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_shuffles_of_counts_stay_in_proportion(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(1)
+    size = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    took = []
+    for bits, more in ((4, {}), (8, {}), (8, {"level_bits": 4})):
+        before = shuffled(spark)
+        lm_scores.score_documents(docs, batch_chars=300_000, bucket_bytes=size // 2**bits + 1, **more).count()
+        took.append(shuffled(spark) - before)
+    assert took[1] < 1.25 * took[0] and took[2] < 1.4 * took[0]
+
+
 def test_request_rows_grow_with_the_input(documents):
     batches = lm_scores.batches_of(documents, "doc_id", "text", 7, 2, 30_000)
     assert lm_scores.requests_of(batches, 3).count() == 8 * batches.count()
